@@ -295,7 +295,7 @@ class MixtureImputer:
 
     def fill(self, rows: DataFrame, fills: DataFrame, model: MixtureModel) -> DataFrame:
         """(_key, _group, one column per field, ``filled``: names of the filled cells)."""
-        joined = salted_join(rows.where("_group is not null"), fills, "_group", "weight", "_key")
+        joined = salted_join(rows.where("_group is not null"), fills, ["_group"], "weight", "_key")
         cells, marks = [], []
         fields = [(s.name, f"x{j}", self.expectation(j, model)) for j, s in enumerate(self.numeric)]
         fields += [(s.name, f"c{j}", F.col(f"mode{j}")) for j, s in enumerate(self.categorical)]

@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 HOT_PARTS = 400
 
 
-def salted_join(facts: DataFrame, dims: DataFrame, key: str, weight: str, spread: str, how: str = "inner") -> DataFrame:
-    """Join ``facts`` with ``dims`` (unique ``key``; ``weight`` estimates its number of facts). Hot keys are cut into
-    salted parts: ``dims`` is repeated once per part, each fact goes to the part of the hash of its ``spread`` column.
-    The hot list is proven to be shorter than ``HOT_PARTS``, so it may go through the driver as literals."""
+def salted_join(facts: DataFrame, dims: DataFrame, keys: list[str], weight: str, spread: str, how: str = "inner") -> DataFrame:
+    """Join ``facts`` with ``dims`` (unique ``keys``; ``weight`` estimates a key's number of facts). Hot keys are cut
+    into salted parts: ``dims`` is repeated once per part, each fact goes to the part of the hash of its ``spread``
+    column. The hot list is proven to be shorter than ``HOT_PARTS``, so it may go through the driver as literals; it
+    goes by the first of ``keys``. ``dims`` is read three times, so it should be cheap to read."""
     total = dims.agg(F.sum(weight)).first()[0] or 0
     part = max(10_000, -(-total // HOT_PARTS))
-    hot = [(r[0], -(-r[1] // part)) for r in dims.where(F.col(weight) > part).select(key, weight).collect()]
+    hot: dict = {}
+    for r in dims.where(F.col(weight) > part).select(keys[0], weight).collect():
+        hot[r[0]] = max(hot.get(r[0], 1), -(-r[1] // part))
     if not hot:
-        return facts.join(dims, key, how)
-    parts = F.coalesce(F.create_map(*[F.lit(x) for kv in hot for x in kv])[F.col(key)], F.lit(1))
+        return facts.join(dims, keys, how)
+    parts = F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[F.col(keys[0])], F.lit(1))
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int"))
     right = dims.withColumn("_salt", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
