@@ -5,25 +5,147 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import mixing, packing, splitting, vectors
 from tessella.llm import near_dup as nd
 from tessella.session import table
 
+DIM = 64
+
 
 # --- 4: overlaps across splits ---------------------------------------------------------------------------------
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.cross_split_pairs(table(spark, d, "split_rows"), "row_id", "note", "dataset")
 
 
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping rows and pairs per evaluation split and source."""
+    pairs = p4_found(spark, d)
+    rows = table(spark, d, "split_rows").where("dataset <> 'train'").select("row_id", "dataset", "dataset_key").dropDuplicates(["row_id"])
+    ends = pairs.select(F.explode(F.array("row_id_a", "row_id_b")).alias("row_id"))
+    return (
+        ends.groupBy("row_id").agg(F.count(F.lit(1)).alias("pairs")).join(rows, "row_id")
+        .groupBy("dataset", "dataset_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("pairs").alias("pairs"))
+    )
+
+
+# --- 5: most similar vectors -----------------------------------------------------------------------------------
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.usable(table(spark, d, "feature_vectors"), "vec_id", "vec", DIM)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.mutual_pairs(_vectors(spark, d), DIM)
+
+
+def p5_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of all vectors for every vector whose id is divisible by 100."""
+    v = _vectors(spark, d)
+    return vectors.top_k(v.where("id % 100 = 0"), v, DIM).withColumn("cos", F.round("cos", 6))
+
+
+def p5_outlier_score(spark: SparkSession, d: str) -> DataFrame:
+    """Outlier score of the same vectors: exp(-mean distance / median of it), distance being 1 - cosine."""
+    found = p5_topk(spark, d).groupBy("query_id").agg(F.avg(1 - F.col("cos")).alias("far"))
+    middle = found.agg(F.percentile_approx("far", 0.5, 10_000).alias("middle"))
+    return found.join(F.broadcast(middle)).select(
+        F.col("query_id").alias("vec_id"), F.round(F.exp(-F.col("far") / F.col("middle")), 6).alias("outlier_score")
+    )
+
+
 # --- 6: near-duplicate groups ----------------------------------------------------------------------------------
-def _train(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "split_rows").where("dataset = 'train'")
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return nd.near_duplicate_groups(table(spark, d, "split_rows").where("dataset = 'train'"), "row_id", "note")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    groups = nd.near_duplicate_groups(_train(spark, d), "row_id", "note")
-    return groups.where("id <> group_id").select(F.col("group_id").alias("row_id_a"), F.col("id").alias("row_id_b"))
+    return _groups(spark, d).where("id <> group_id").select(F.col("group_id").alias("row_id_a"), F.col("id").alias("row_id_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by size and by number of different texts."""
+    sizes = _groups(spark, d).groupBy("group_id", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("group_id").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts"))
+
+
+# --- 8, 9, 10: texts in tokens ---------------------------------------------------------------------------------
+def _limits(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
+    row = table(spark, d, "text_limits").where(F.col("purpose") == purpose).first()
+    return row.max_tokens, row.overlap_tokens
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    size, _ = _limits(spark, d, "container")
+    return packing.fill_containers(table(spark, d, "documents"), "doc_id", "text", size).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    size, _ = _limits(spark, d, "container")
+    return packing.fill_report(p8_containers(spark, d), size)
+
+
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).rows().withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    m = _mixture(spark, d)
+    return m.report(m.rows())
+
+
+def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of plain temperature mixing for comparison: as even as the targets are, within the repetition limits."""
+    m = _mixture(spark, d)
+    held = sum(m.held.values())
+    natural = {s: t / held if held else 0.0 for s, t in m.held.items()}
+    exponent, weights = mixing.temperature(natural, target_entropy=mixing.entropy(m.targets), most=m.limits())
+    rows = [(s, natural[s], m.targets[s], weights[s], exponent) for s in sorted(weights)]
+    return spark.createDataFrame(rows, "source string, natural_share double, target_share double, weight double, exponent double")
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    size, overlap = _limits(spark, d, "piece")
+    return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text", size, overlap).withColumnRenamed("id", "doc_id")
+
 
+QUERIES = {
+    "p4_found": p4_found, "p4_report": p4_report,
+    "p5_found": p5_found, "p5_topk": p5_topk, "p5_outlier_score": p5_outlier_score,
+    "p6_found": p6_found, "p6_groups": p6_groups,
+    "p8_containers": p8_containers, "p8_report": p8_report,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_temperature": p9_temperature,
+    "p10_pieces": p10_pieces,
+}
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
+_NOTES = """
+WITH RECURSIVE n AS (SELECT row_id, min(dataset) AS dataset, min(dataset_key) AS dataset_key, list_distinct(regexp_extract_all(lower(min(note)), '[a-z0-9]+')) AS w FROM split_rows GROUP BY row_id),
+e AS (SELECT *, len(w) AS k FROM n WHERE len(w) >= 10),
+u AS (SELECT row_id, dataset, k, unnest(w) AS x FROM e),
+"""
+_PAIRS = """p AS (SELECT a.row_id AS i, b.row_id AS j FROM u a JOIN u b ON a.x = b.x AND a.row_id < b.row_id AND {cond}
+  AND least(a.k, b.k) >= 0.7 * greatest(a.k, b.k) - 1e-9 GROUP BY a.row_id, b.row_id, a.k, b.k HAVING count(*) >= 0.7 * (a.k + b.k - count(*)) - 1e-9)
+"""
+_P4 = _NOTES + _PAIRS.format(cond="(a.dataset = 'train') <> (b.dataset = 'train')")
+_P6 = _NOTES + _PAIRS.format(cond="a.dataset = 'train' AND b.dataset = 'train'") + """,
+s AS (SELECT i, j FROM p UNION SELECT j, i FROM p),
+r(id, other) AS (SELECT i, j FROM s UNION SELECT r.id, s.j FROM r JOIN s ON r.other = s.i),
+g AS (SELECT id, least(id, min(other)) AS root FROM r GROUP BY id)
+"""
+_P5 = """
+WITH v AS (SELECT vec_id, any_value(vec) AS vec FROM feature_vectors WHERE len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+n AS (SELECT vec_id, [CAST(x AS double) FOR x IN vec] AS x FROM v),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.x, b.x) AS c FROM n a JOIN n b ON a.vec_id <> b.vec_id {more}),
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM e QUALIFY r <= 5)
+"""
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": _P4 + "SELECT i AS row_id_a, j AS row_id_b FROM p",
+    "p4_report": _P4
+    + """, q AS (SELECT unnest([i, j]) AS row_id FROM p), c AS (SELECT row_id, count(*) AS n FROM q GROUP BY 1)
+SELECT e.dataset, e.dataset_key, count(*) AS rows, CAST(sum(n) AS bigint) AS pairs FROM c JOIN e ON e.row_id = c.row_id WHERE e.dataset <> 'train' GROUP BY 1, 2""",
+    "p5_found": _P5.format(more="") + "SELECT x.a AS vec_id_a, x.b AS vec_id_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.c >= 0.9",
+    "p6_found": _P6 + "SELECT root AS row_id_a, id AS row_id_b FROM g WHERE id <> root",
+}
