@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+CACHED = 1024
+EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)  # fixed values: multipliers of the splitmix64 finaliser
 
 
@@ -25,11 +27,14 @@ def seeds(n: int, salt: int) -> np.ndarray:
 def minwise(values: np.ndarray, starts: np.ndarray, t: int, salt: int = 1) -> np.ndarray:
     """``t`` minima per set. ``values``: elements of all sets one after another, ``starts``: where each set begins; no
     set may be empty."""
-    out = np.empty((len(starts), t), dtype=U)
-    if not len(starts):
-        return out
-    for i, s in enumerate(seeds(t, salt)):
-        out[:, i] = np.minimum.reduceat(mix(values ^ s), starts)
+    n = len(starts)
+    out = np.empty((n, t), dtype=U)
+    ends = np.append(starts, len(values))
+    for a in range(0, n, CACHED):
+        b = min(n, a + CACHED)
+        mine, first = values[ends[a] : ends[b]], ends[a:b] - ends[a]
+        for i, s in enumerate(seeds(t, salt)):
+            out[a:b, i] = np.minimum.reduceat(mix(mine ^ s), first)
     return out
 
 
@@ -41,27 +46,44 @@ def fast_similarity(values: np.ndarray, starts: np.ndarray, t: int, salt: int =
     round the smaller hash wins. A set leaves once its bins are full: about (t log t)/size rounds. Two sets agree in a
     bin with probability equal to their Jaccard similarity, with Chernoff-like concentration over the bins."""
     n = len(starts)
-    empty = U(0xFFFFFFFFFFFFFFFF)
-    flat = np.full(n * t, empty, dtype=U)
-    if not n:
-        return flat.reshape(0, t)
-    owner = np.repeat(np.arange(n), np.diff(np.append(starts, len(values))))
-    base, elems = owner * t, values
-    for i, s in enumerate(seeds(2 * t, salt)):
+    out = np.full((n, t), EMPTY, dtype=U)
+    ends = np.append(starts, len(values))
+    marks = seeds(2 * t, salt)
+    for a in range(0, n, CACHED):  # few enough sets for their bins to stay in the cache
+        b = min(n, a + CACHED)
+        _throw(values[ends[a] : ends[b]], np.diff(ends[a : b + 1]), marks[:t], out[a:b])
+    late = np.flatnonzero((out == EMPTY).any(axis=1))  # small sets: rounds t..2t-1, bin by bin
+    if len(late):
+        sizes = np.diff(ends)[late]
+        first = np.cumsum(sizes) - sizes
+        elems = values[np.repeat(ends[late] - first, sizes) + np.arange(sizes.sum())]
+        bins = out[late]
+        for j in range(t):
+            need = bins[:, j] == EMPTY
+            if need.any():
+                low = np.minimum.reduceat(mix(elems ^ marks[t + j]) & U(0xFFFFFFFF), first)
+                bins[need, j] = (U(t + j) << U(32)) | low[need]
+        out[late] = bins
+    return out
+
+
+def _throw(values: np.ndarray, sizes: np.ndarray, marks: np.ndarray, out: np.ndarray) -> None:
+    """Rounds 0..t-1 of ``fast_similarity``."""
+    n, t = out.shape
+    flat = np.full(n * t, EMPTY, dtype=U)
+    base, elems = np.repeat(np.arange(n) * t, sizes), values
+    for i, s in enumerate(marks):
         h = mix(elems ^ s)
-        if i < t:
-            bins = ((h >> U(32)) * U(t)) >> U(32)
-            at = base + bins.astype(np.int64)
-        else:
-            at = base + (i - t)
-        np.minimum.at(flat, at, (U(i) << U(32)) | (h & U(0xFFFFFFFF)))
-        if i % 8 == 7 or i >= t:
-            open_ = (flat.reshape(n, t) == empty).any(axis=1)
+        at = base + (((h >> U(32)) * U(t)) >> U(32)).astype(np.int64)
+        free = np.flatnonzero(flat[at] == EMPTY)  # an earlier round's value stands
+        np.minimum.at(flat, at[free], (U(i) << U(32)) | (h[free] & U(0xFFFFFFFF)))
+        if i % 16 == 15:
+            open_ = (flat.reshape(n, t) == EMPTY).any(axis=1)
             if not open_.any():
                 break
             keep = open_[base // t]
             base, elems = base[keep], elems[keep]
-    return flat.reshape(n, t)
+    out[:] = flat.reshape(n, t)
 
 
 def bands(sketch: np.ndarray, rows: int, salt: int) -> np.ndarray:
