@@ -172,7 +172,7 @@ def parse_records(df: DataFrame, text: str, rules: list[FieldRule]) -> DataFrame
 
     Adds ``parsed``, a struct of ``reason`` (null for a valid record), ``message``, ``pos`` (character of the
     error), ``record`` (the typed fields, null unless valid) and ``recovered`` (typed records found at anchors after a
-    broken quote). All input columns stay, whatever their names. A null text holds no field and so fails as
+    broken quote). All other input columns stay, whatever their names; one called ``parsed`` is replaced. A null text holds no field and so fails as
     ``columns``; an empty text is one empty field. Numbers beyond double range become infinite. No row is dropped.
     """
     names = [r.name for r in rules]
@@ -224,8 +224,10 @@ def parse_records(df: DataFrame, text: str, rules: list[FieldRule]) -> DataFrame
 
 
 def valid_records(parsed: DataFrame, key: str) -> DataFrame:
-    """Typed rows of the valid records, beside their key."""
-    return parsed.where("parsed.reason is null").select(F.col(f"`{key}`"), "parsed.record.*")
+    """Typed rows of the valid records, beside their key, which is called ``key_<name>`` if a field has its name."""
+    fields = [f.name.lower() for f in parsed.schema["parsed"].dataType["record"].dataType]
+    name = f"key_{key}" if key.lower() in fields else key
+    return parsed.where("parsed.reason is null").select(F.col(f"`{key}`").alias(name), "parsed.record.*")
 
 
 def rejected_records(parsed: DataFrame, key: str) -> DataFrame:

@@ -60,9 +60,12 @@ def _chosen(rules: list[ColumnRule], pick) -> Column:
 
 def value_counts(df: DataFrame, rules: list[ColumnRule], load: str, key: str | None) -> DataFrame:
     """Counts by (load_id, column_name, value): ``text`` holds cat and txt values, ``number`` num values; both null
-    for null and NaN. Columns of a rule that the data lack are left out."""
+    for null and NaN. Columns of a rule that the data lack are left out; without any column there are no counts."""
     have = {c: t for c, t in df.dtypes}
     rules = [r for r in rules if r.column in have]
+    if not rules:
+        load_type = df.schema[load].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"load_id {load_type}, column_name string, text string, number double, n bigint")
     cells = []
     for r in rules:
         c = F.col(f"`{r.column}`")

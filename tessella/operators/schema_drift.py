@@ -74,13 +74,16 @@ def _place(df: DataFrame, fields: Column, schema: TargetSchema, keep: list[str])
 
 
 def ingest(records: DataFrame, body: str, schema: TargetSchema, keep: list[str]) -> DataFrame:
-    """Records as one consistent table: columns ``keep``, the typed columns, ``_rescued`` and ``_broken`` (the body
+    """Records as one consistent table: columns ``keep`` (``source_<name>`` where a target column has the name), the
+    typed columns, ``_rescued`` and ``_broken`` (the body
     itself where it isn't a JSON object). A field that is absent or null is null. If a column stands in a record under
     several of its names, the first that casts fills it and the others stay in ``_rescued``."""
     b = F.col(f"`{body}`")
-    base = records.select(*[F.col(f"`{c}`") for c in keep], b.alias("_body"), json_map(b).alias("_map"))
+    taken = {c.lower() for c in schema.columns}
+    named = {c: f"source_{c}" if c.lower() in taken else c for c in keep}
+    base = records.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], b.alias("_body"), json_map(b).alias("_map"))
     base = base.withColumn("_broken", F.when(F.col("_map").isNull(), F.col("_body")))
-    return _place(base, F.col("_map"), schema, [*keep, "_broken"])
+    return _place(base, F.col("_map"), schema, [*named.values(), "_broken"])
 
 
 def replay(table: DataFrame, schema: TargetSchema, keep: list[str]) -> DataFrame:
