@@ -53,11 +53,10 @@ class Splitter:
         inner = own[np.searchsorted(own, lo, "right") : np.searchsorted(own, hi, "left")]
         if level == len(cuts) - 1:  # characters: as long as may be
             at = lo
-            while hi - at > most:
-                stop = inner[np.searchsorted(inner, at + most, "right") - 1]
-                at = int(stop) if stop > at else int(inner[np.searchsorted(inner, at, "right")])
+            while at < hi:
+                stop = own[np.searchsorted(own, min(hi, at + most), "right") - 1]
+                at = int(stop if stop > at else own[np.searchsorted(own, at, "right")])  # a character may be larger
                 out.append((at, level))
-            out.append((hi, level))
             return
         at = lo
         for stop in [*inner.tolist(), hi]:
