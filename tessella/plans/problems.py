@@ -9,7 +9,7 @@ from tessella.operators import mixture_impute as mi
 from tessella.operators import parsing
 from tessella.operators import quality_profile as qp
 from tessella.operators import schema_drift as sd
-from tessella.session import table
+from tessella.session import cut, table
 
 
 # --- 1: rows that fail to parse ------------------------------------------------------------------------------------
@@ -34,12 +34,14 @@ def p1_errors(spark: SparkSession, d: str) -> DataFrame:
 def _profile(spark: SparkSession, d: str):
     rules = qp.rules_from(table(spark, d, "column_rules"))
     rows = table(spark, d, "split_rows").where("dataset = 'train'")
-    counts = qp.value_counts(rows, rules, "load_id", "row_id")
-    return rules, counts, qp.states(counts, rules)
+    return rules, rows, qp.states(qp.value_counts(rows, rules, "load_id", "row_id"), rules)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rules, counts, state = _profile(spark, d)
+    rules, rows, state = _profile(spark, d)
+    state = cut(state)  # a row per load and column; read by every check
+    shared = [r for r in rules if r.column in ("channel", "age_band")]
+    counts = qp.value_counts(rows, shared, "load_id", "row_id")
     reported = table(spark, d, "profile_statistics").where("dataset = 'train'")
     return qp.findings(
         state, counts, table(spark, d, "loads"), reported, rules,
