@@ -16,6 +16,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import cut, written
+
 
 @dataclass(frozen=True)
 class TargetSchema:
@@ -111,11 +113,12 @@ def kind_of(json: Column) -> Column:
 
 
 def field_rows(records: DataFrame, file_id: str, body: str, key_field: str) -> DataFrame:
-    """(file_id, rec_key, field, kind, value), one row per record and field, read once per record."""
-    held = records.select(F.col(f"`{file_id}`").alias("file_id"), json_map(F.col(f"`{body}`")).alias("m")).where("m is not null")
+    """(file_id, rec_key, field, kind, value), one row per record and field, the record key's own field among them. The
+    bodies are parsed once, here; the result is a written table, as several stages read it."""
+    held = records.select(F.col(f"`{file_id}`").alias("file_id"), F.explode(F.array(json_map(F.col(f"`{body}`")))).alias("m"))
     rows = held.select("file_id", F.col("m")[key_field].alias("rec_key"), F.explode("m").alias("field", "value"))
-    return rows.where(F.col("field") != key_field).select(
-        "file_id", "rec_key", "field", kind_of(F.col("value")).alias("kind"), F.when(F.col("value") != "null", F.col("value")).alias("value")
+    return written(
+        rows.select("file_id", "rec_key", "field", kind_of(F.col("value")).alias("kind"), F.when(F.col("value") != "null", F.col("value")).alias("value")), "fields"
     )
 
 
@@ -133,7 +136,8 @@ def drift_ledger(
     order = Window.partitionBy("feed").orderBy("seq", "file_id")
     chain = files.select(F.col(f"`{file_id}`").alias("file_id"), F.col(f"`{feed}`").alias("feed"), F.col(f"`{seq}`").alias("seq")).dropDuplicates(["file_id"])
     chain = chain.withColumn("prev_file", F.lag("file_id").over(order)).withColumn("next_file", F.lead("file_id").over(order)).withColumn("place", F.row_number().over(order))
-    rows = field_rows(records, file_id, body, key_field)
+    parsed = field_rows(records, file_id, body, key_field)
+    rows = parsed.where(F.col("field") != key_field)
 
     # which fields each file holds, and of which kind: partial aggregates, however large a file is
     counted = rows.groupBy("file_id", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -150,6 +154,7 @@ def drift_ledger(
         "file_id", "feed", "field", "place", "kind", "prev_file", "next_file",
         known.alias("known"), last_place.alias("last_place"), next_place.alias("next_place"),
     )
+    seen = cut(seen)  # a row per file and field, read five times
     # a change is filed under the later of the two files
     new = seen.where("prev_file is not null and (last_place is null or last_place < place - 1)").select("file_id", "field")
     gone = seen.where("next_file is not null and (next_place is null or next_place > place + 1)").select(
@@ -162,7 +167,7 @@ def drift_ledger(
     # fingerprints over the keys common to both files, only for fields that are gone or new
     doubtful = gone.select("file_id", "field", F.lit(0).alias("side")).unionByName(new.select("file_id", "field", F.lit(1).alias("side")))
     pairs = chain.where("prev_file is not null").select("file_id", "prev_file")
-    keys = records.select(F.col(f"`{file_id}`").alias("at"), json_map(F.col(f"`{body}`"))[key_field].alias("rec_key")).where("rec_key is not null")
+    keys = parsed.where(F.col("field") == key_field).select(F.col("file_id").alias("at"), "rec_key").where("rec_key is not null")
     sides = (
         keys.join(pairs.select("file_id", F.col("file_id").alias("at")), "at").select("file_id", "rec_key", F.lit(1).alias("side"))
         .unionByName(keys.join(pairs.select("file_id", F.col("prev_file").alias("at")), "at").select("file_id", "rec_key", F.lit(2).alias("side")))
