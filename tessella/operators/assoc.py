@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.profile import number, q
+from tessella.operators.profile import correlation, number, q
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, value double")
     x = df.select(*[F.coalesce(number(q(c)), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
     at = {c: f"x{i}" for i, c in enumerate(columns)}
-    wide = x.agg(*[F.corr(at[a], at[b]).alias(f"v{i}") for i, (a, b) in enumerate(pairs)])
+    wide = x.agg(*[correlation(F.col(at[a]), F.col(at[b])).alias(f"v{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"v{i}").alias("value")) for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(rows).alias("r")).select("r.col_a", "r.col_b", F.when(~F.isnan("r.value"), F.col("r.value")).alias("value"))
 

@@ -11,12 +11,13 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.types import is_numeric
 from tessella.operators.features import medians
-from tessella.operators.profile import number, q
+from tessella.operators.profile import correlation, number, q
 from tessella.operators.split import folds
 
 #: Trees and depth by preset, from fast to thorough.
@@ -82,6 +83,11 @@ class TabularModel:
             best = min(scores) if self.problem_type == "regression" else max(scores)
             candidates = [candidates[scores.index(best)]]
         self.model = Pipeline(stages=self._stages(candidates[0])).fit(x)
+        if not hasattr(self.model.stages[-1], "featureImportances"):
+            made = x
+            for stage in self.model.stages[:-1]:
+                made = stage.transform(made)
+            self.spread = made.select(Summarizer.std(F.col("_features")).alias("s")).first().s.toArray()
         x.unpersist()
         return self
 
@@ -104,13 +110,13 @@ class TabularModel:
         return out.select(q(self.target), vector_to_array("_features").alias("features"))
 
     def importance(self, spark, top: int = 20) -> DataFrame:
-        """(feature, importance), sorted; coefficients' absolute values for linear models."""
+        """(feature, importance), sorted; for linear models coefficients' absolute values per deviation of the feature."""
         names, last = [*self.numeric, *self.categorical], self.model.stages[-1]
         if hasattr(last, "featureImportances"):
             values = last.featureImportances.toArray()
         else:
             m = last.coefficientMatrix.toArray() if hasattr(last, "coefficientMatrix") else last.coefficients.toArray()[None, :]
-            values = abs(m).max(axis=0)
+            values = abs(m).max(axis=0) * self.spread
         rows = sorted(((n, float(v)) for n, v in zip(names, values, strict=True)), key=lambda r: (-r[1], r[0]))[:top]
         return spark.createDataFrame(rows, "feature string, importance double")
 
@@ -145,7 +151,7 @@ def synthesise(df: DataFrame, target: str, numeric: list[str], categorical: list
         return df, []
     names = [*made, *[f"freq({c})" for c in categorical]]
     wide = out.withColumns(made)
-    r = wide.agg(*[F.abs(F.corr(q(m), number(q(target)))).alias(f"r{i}") for i, m in enumerate(names)]).first()
+    r = wide.agg(*[F.abs(correlation(q(m), F.when(q(m).isNotNull(), number(q(target))))).alias(f"r{i}") for i, m in enumerate(names)]).first()
     good = [(m, r[i]) for i, m in enumerate(names) if r[i] is not None and r[i] == r[i]]
     best = [m for m, _ in sorted(good, key=lambda z: (-z[1], z[0]))[:n]]
     return wide.select(*df.columns, *[q(m) for m in best]), best

@@ -24,6 +24,11 @@ def number(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson correlation, null if either side is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def tidy(df: DataFrame, columns: list[str], aggs, by: str) -> DataFrame:
     """``aggs(column name) -> named aggregates``, all in one pass, one row per (by, column)."""
     wide = df.groupBy(q(by).alias(by)).agg(*[F.struct(*aggs(c)).alias(f"_{i}") for i, c in enumerate(columns)])
@@ -50,13 +55,14 @@ def distinct_counts(counts: DataFrame, by: str) -> DataFrame:
 
 def num_profile(df: DataFrame, columns: list[str], by: str, exact_distinct: bool = True) -> DataFrame:
     """Mean, sample std, population excess kurtosis and skewness, range, distinct count (missing is one value) and
-    missing count per (by, column). Null and NaN are missing. Columns without a value have null statistics."""
+    missing count per (by, column). Null and NaN are missing. Columns without a value have null statistics, constant
+    ones null kurtosis and skewness."""
 
     def aggs(c):
         x = number(q(c))
         more = [] if exact_distinct else [F.approx_count_distinct(x, 0.01).alias("n_unique")]
         return [
-            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.kurtosis(x).alias("kurtosis"), F.skewness(x).alias("skewness"),
+            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), number(F.kurtosis(x)).alias("kurtosis"), number(F.skewness(x)).alias("skewness"),
             F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x.isNull()).alias("null_count"), *more,
         ]
 

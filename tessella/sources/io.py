@@ -28,9 +28,9 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "utf-16"
     try:
-        head[: max(0, len(head) - 3)].decode("utf-8")
+        head.decode("utf-8")
     except UnicodeDecodeError as e:
-        if e.start < len(head) - 6:
+        if len(head) < SNIFFED or e.start < len(head) - 3:  # else the last character was cut
             return "iso-8859-1"
     return "utf-8"
 
