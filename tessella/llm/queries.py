@@ -48,7 +48,7 @@ def p5_outlier_score(spark: SparkSession, d: str) -> DataFrame:
     found = p5_topk(spark, d).groupBy("query_id").agg(F.avg(1 - F.col("cos")).alias("far"))
     middle = found.agg(F.percentile_approx("far", 0.5, 10_000).alias("middle"))
     return found.join(F.broadcast(middle)).select(
-        F.col("query_id").alias("vec_id"), F.round(F.exp(-F.col("far") / F.col("middle")), 6).alias("outlier_score")
+        F.col("query_id").alias("vec_id"), F.round(F.exp(-F.col("far") / F.nullif("middle", F.lit(0.0))), 6).alias("outlier_score")
     )
 
 
