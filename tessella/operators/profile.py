@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import clean_text, words
+from tessella.session import cut
 
 PROBS = (0.25, 0.5, 0.75)
+BROADCAST = 100_000  # bounds (40 bytes each) up to which they are broadcast
 
 
 def q(name: str) -> Column:
@@ -100,8 +102,10 @@ def nearest_quantiles(df: DataFrame, columns: list[str], by: str, probs: tuple[f
     bounds = tidy(df, columns, first, by).where("n > 0").select(F.col(by).alias("_by"), "column", F.explode(spans).alias("s")).select("_by", "column", "s.*")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), number(q(c)).alias("x")) for c in columns])
     long = df.select(q(by).alias(by), F.explode(cells).alias("c")).select(by, "c.*").where("x is not null")
-    # a handful of bounds per (by, column); the join is a lookup in them
-    joined = long.join(F.broadcast(bounds.withColumnRenamed("column", "_c")), q(by).eqNullSafe(F.col("_by")) & (F.col("column") == F.col("_c")) & (F.col("x") <= F.col("hi")))
+    bounds = cut(bounds.withColumnRenamed("column", "_c"))
+    if bounds.count() <= BROADCAST:  # a lookup, as there are few groups and rows would crowd on them
+        bounds = F.broadcast(bounds)
+    joined = long.join(bounds, q(by).eqNullSafe(F.col("_by")) & (F.col("column") == F.col("_c")) & (F.col("x") <= F.col("hi")))
     near = joined.groupBy(by, "column", "prob", "rank", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("k"))
     # null (what lies below) sorts first; cumulative counts give ranks
     seen = F.expr(f"sum(k) over (partition by `{by}`, column, prob order by v nulls first)")

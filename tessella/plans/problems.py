@@ -227,6 +227,15 @@ SQL = {
     "p2_found": _P2_FOUND_SQL,
     "p2_profile": _P2_SQL
     + """SELECT load_id, column_name, n AS row_count, nulls AS null_count, uniq AS n_unique, round(nulls / n, 6) AS null_rate, round(mean, 4) AS mean, round(sd, 4) AS std, lo AS min_value, hi AS max_value, oor AS out_of_range, bad AS pattern_misses FROM s""",
+    "p2_merged": _P2_SQL
+    + """SELECT u.column_name, count(*) AS row_count, count(*) FILTER (txt IS NULL AND num IS NULL) AS null_count, min(num) AS min_value, max(num) AS max_value, count(*) FILTER (num < lo OR num > hi) AS out_of_range,
+  count(*) FILTER (NOT regexp_full_match(txt, value_pattern)) AS pattern_misses, count(*) FILTER (NOT list_contains(list_transform(value_list, lambda v: lower(trim(v))), lower(trim(txt)))) AS list_misses
+  FROM u JOIN (SELECT column_name, min_value AS lo, max_value AS hi, value_pattern, value_list FROM column_rules) c ON u.column_name = c.column_name GROUP BY 1""",
+    "p2_control_limits": _P2_SQL
+    + """, m AS (SELECT load_id, column_name, 'null_rate' AS metric, nulls / n AS value FROM s UNION ALL SELECT load_id, column_name, 'n_unique', CAST(uniq AS double) FROM s UNION ALL SELECT load_id, column_name, 'mean', mean FROM s UNION ALL SELECT load_id, column_name, 'std', sd FROM s),
+w AS (SELECT m.*, count(value) OVER h AS history, avg(value) OVER h AS c, stddev_samp(value) OVER h AS d FROM m JOIN loads l ON l.load_id = m.load_id WHERE value IS NOT NULL
+  WINDOW h AS (PARTITION BY regexp_extract(l.file_name, '^(drop_[0-9]+)', 1), column_name, metric ORDER BY l.loaded_at, l.load_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+SELECT load_id, column_name, metric, history, round(value, 4) AS value, round(c - 3 * d, 4) AS lower, round(c + 3 * d, 4) AS upper FROM w WHERE history >= 5 AND (value < c - 3 * d OR value > c + 3 * d)""",
     "p3_found": _P3_SQL,
     "p3_typed": _P3_TYPED_SQL,
     "p7_found": _P7_SQL,
