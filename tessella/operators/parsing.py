@@ -153,19 +153,26 @@ class RecordGrammar:
                 pos = self.anchor(text, start)
                 single = False  # what follows a broken record are lines
                 continue
-            yield self.validated(start, fields)
+            yield self.validated(text, start, fields)
             pos = LINE.match(text, pos).end() if pos < len(text) else None
             if pos is not None and pos >= len(text):
                 pos = None
 
-    def validated(self, start: int, fields: list[str]) -> Parsed:
+    def validated(self, text: str, start: int, fields: list[str]) -> Parsed:
         if len(fields) != len(self.rules):
             return Parsed(start, fields, "columns", f"{len(fields)} fields, not {len(self.rules)}", start)
-        for rule, value in zip(self.rules, fields, strict=True):
+        for i, (rule, value) in enumerate(zip(self.rules, fields, strict=True)):
             if not rule.accepts(value):
-                return Parsed(start, fields, "value", f"{rule.name} is not a {rule.kind}", start)
+                return Parsed(start, fields, "value", f"{rule.name} is not a {rule.kind}", self.place(text, start, i))
         return Parsed(start, fields)
 
+    def place(self, text: str, start: int, field: int) -> int:
+        """Where a field of a well-formed record begins; walked again only for records with an error."""
+        pos = start
+        for _ in range(field):
+            pos = self.field(text, pos)[1] + 1
+        return pos
+
 
 def parse_records(df: DataFrame, text: str, rules: list[FieldRule]) -> DataFrame:
     """Parse one record per row of ``df[text]``.

@@ -219,6 +219,12 @@ SELECT record_id, file_id, """ + ", ".join(
     )
 ) + " FROM file_records"
 
+_P3_COLUMNS = ("battery_v", "crop", "moisture", "is_covered", "ph", "air_c")
+_P3_UNIFIED_SQL = f"""WITH t AS ({_P3_TYPED_SQL}), e AS (SELECT record_id, body, unnest(json_keys(body)) AS k FROM file_records),
+v AS (SELECT e.record_id, k, regexp_replace(CAST(json_extract(body, '$."' || k || '"') AS varchar), '^(\\[?-?[0-9]+)[.]0(\\]?)$', '\\1\\2') AS x, CASE k {' '.join(f"WHEN '{c}' THEN {c} IS NOT NULL" for c in _P3_COLUMNS)} ELSE false END AS placed FROM e JOIN t ON t.record_id = e.record_id),
+r AS (SELECT record_id, '{{' || string_agg('"' || k || '":' || x, ',' ORDER BY k) || '}}' AS _rescued FROM v WHERE NOT placed AND x <> 'null' GROUP BY 1)
+SELECT t.*, _rescued FROM t LEFT JOIN r ON r.record_id = t.record_id"""
+
 SQL = {
     "p1_found": _PARSED_SQL + "SELECT line_id, reason FROM h WHERE reason IS NOT NULL",
     "p1_valid": _PARSED_SQL
@@ -238,5 +244,6 @@ w AS (SELECT m.*, count(value) OVER h AS history, avg(value) OVER h AS c, stddev
 SELECT load_id, column_name, metric, history, round(value, 4) AS value, round(c - 3 * d, 4) AS lower, round(c + 3 * d, 4) AS upper FROM w WHERE history >= 5 AND (value < c - 3 * d OR value > c + 3 * d)""",
     "p3_found": _P3_SQL,
     "p3_typed": _P3_TYPED_SQL,
+    "p3_unified": _P3_UNIFIED_SQL,
     "p7_found": _P7_SQL,
 }

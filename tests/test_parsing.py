@@ -50,6 +50,10 @@ def test_reasons(text, reason):
     assert first(text) == reason
 
 
+def test_errors_are_located():
+    assert next(G.parse('1,"2",,,2 ,,,')).pos == 8 and next(G.parse('1,2,,,,,,a"b')).pos == 10
+
+
 def test_recovery_resumes_at_a_valid_record_start():
     text = '1,2,,,,,,"open\nnot a start\n3,4,,,,,,x\n5,6,,,,,,y'
     found = list(G.parse(text))
