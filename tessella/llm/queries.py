@@ -147,5 +147,10 @@ SQL = {
     + """, q AS (SELECT unnest([i, j]) AS row_id FROM p), c AS (SELECT row_id, count(*) AS n FROM q GROUP BY 1)
 SELECT e.dataset, e.dataset_key, count(*) AS rows, CAST(sum(n) AS bigint) AS pairs FROM c JOIN e ON e.row_id = c.row_id WHERE e.dataset <> 'train' GROUP BY 1, 2""",
     "p5_found": _P5.format(more="") + "SELECT x.a AS vec_id_a, x.b AS vec_id_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.c >= 0.9",
+    "p5_topk": _P5.format(more="WHERE a.vec_id % 100 = 0") + "SELECT a AS query_id, CAST(r AS int) AS rank, b AS id, round(c, 6) AS cos FROM t",
+    "p5_outlier_score": _P5.format(more="WHERE a.vec_id % 100 = 0")
+    + ", f AS (SELECT a AS vec_id, avg(1 - round(c, 6)) AS far FROM t GROUP BY 1) SELECT vec_id, round(exp(-far / (SELECT quantile_disc(far, 0.5) FROM f)), 6) AS outlier_score FROM f",
+    "p6_groups": _P6
+    + """, m AS (SELECT root AS group_id, id FROM g) SELECT group_id, CAST(count(*) AS bigint) AS rows, count(DISTINCT array_to_string(list_sort(w), ' ')) AS texts FROM m JOIN e ON e.row_id = m.id GROUP BY 1""",
     "p6_found": _P6 + "SELECT root AS row_id_a, id AS row_id_b FROM g WHERE id <> root",
 }
