@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share. It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made, once per session."""
+    (local tests) a temporary folder is made, once per session. On a cluster without the setting this is an error, as
+    a folder of one machine would not do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return sc.getCheckpointDir()
 
