@@ -4,15 +4,14 @@ Stages, all distributed:
 
 1. *Classes.* Texts with the same set of words collapse into one class (map-side combined), represented by its smallest
    key. A text copied into a third of all rows is one class from here on.
-2. *Frequent words.* Document frequencies over all texts; words in more than ``frequent`` of them (at most mean
-   length / ``frequent`` words, which bounds the list) are left out of the sketch. They carry nearly all chance
-   agreement, so far fewer bands and candidates are needed. Sets with few other words are sketched whole as well.
-3. *Bands.* Every class is sketched in vectorised blocks. Band hashes travel as packed planes per shuffle part (about
-   seven bytes an entry), never as rows.
-4. *Candidates.* Each part sorts its entries and pairs equal hashes. Buckets beyond ``STAR`` members emit a star to
-   their first member instead of all pairs where only links are wanted; members that fail verification are compared
-   with the whole bucket afterwards, so no link is lost.
-5. *Verification.* The exact Jaccard similarity of the word sets themselves.
+2. *Bands.* Every class is sketched over all its words, so that no kind of pair is out of reach: a pair of similarity s
+   shares a band with probability 1 - (1 - s^rows)^bands. Band hashes travel as packed planes per shuffle part, never as
+   rows, with the size of the set and a 64-bit parity map of its words.
+3. *Candidates.* Each part sorts its entries and pairs equal hashes. Words that stand in most texts make most of these
+   meet by chance, so a pair goes on only if its parity maps allow the measure: they differ in no more bits than the
+   sets do in words, so no pair is lost. Buckets beyond ``STAR`` members emit stars instead of all pairs where only
+   links are wanted; members that fail verification are compared with the whole star afterwards, so no link is lost.
+4. *Verification.* The exact Jaccard similarity of the word sets themselves.
 """
 
 from __future__ import annotations
@@ -49,48 +48,27 @@ def word_table(df: DataFrame, key: str, text: str, least: int, flag: Column | No
     return written(rows.select("id", "flag", F.array_join("words", " ").alias("w")), "words")
 
 
-def frequent_words(texts: DataFrame, share: float) -> list[int]:
-    """Hashes of words that stand in more than ``share`` of all texts. The list is bounded by mean length / share."""
-    counted = texts.select(F.explode(F.array_append(F.split("w", " "), "")).alias("x"))  # the empty word counts the texts
-    counts = cut(counted.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.where("x = ''").first()
-    hot = counts.where((F.col("x") != "") & (F.col("n") > (total.n if total else 0) * share)).select(F.xxhash64("x").alias("h"))
-    return sorted(r.h for r in hot.collect())
-
-
-def band_entries(classes: DataFrame, frequent: list[int], rows: int, n_bands: int, method: str, parts: int) -> DataFrame:
-    """``classes``: (tag bigint, hashes array<bigint>). Returns (part, blob)."""
-    stop = np.array(frequent, dtype=np.int64)
+def band_entries(classes: DataFrame, rows: int, n_bands: int, method: str, parts: int) -> DataFrame:
+    """``classes``: (tag bigint, hashes array<bigint>). Returns (part, blob, marks): packed hashes and tags, and packed
+    parity maps and sizes of the same entries."""
     t = rows * n_bands
     sketch = {"minwise": sk.minwise, "fast": sk.fast_similarity}[method]
 
-    def sketched(tags, values, lengths, salt):
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        return np.repeat(tags, n_bands), sk.bands(sketch(values, starts, t), rows, salt).ravel()
-
     def block(tags, values, lengths):
-        owner = np.repeat(np.arange(len(tags)), lengths)
-        if len(stop):
-            at = np.minimum(np.searchsorted(stop, values), len(stop) - 1)
-            rare = stop[at] != values
-        else:
-            rare = np.ones(len(values), dtype=bool)
-        n_rare = np.bincount(owner[rare], minlength=len(tags))
-        out = []
-        for chosen, elems, salt in ((n_rare >= 4, rare, 11), (n_rare < 8, np.ones(len(values), dtype=bool), 13)):
-            if chosen.any():
-                mine = chosen[owner] & elems
-                count = np.bincount(owner[mine], minlength=len(tags))[chosen]
-                out.append(sketched(tags[chosen], values[mine].view(np.uint64), count, salt))
-        tags, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        values = values.view(np.uint64)
+        hashes = sk.bands(sketch(values, starts, t), rows, 13).ravel()
         part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.uint64)
         low = hashes & np.uint64(0xFFFFFFFF)
         order = np.argsort((part << np.uint64(32)) | low)
-        part, low, tags = part[order], low[order], tags[order]
+        part, low, owner = part[order], low[order], order // n_bands
+        tags, maps, sizes = tags[owner], sk.parity(values, starts)[owner], np.minimum(lengths, sk.LONG)[owner]
         edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         kept = [p for p in range(parts) if edges[p] < edges[p + 1]]
         blobs = [sk.pack(low[edges[p] : edges[p + 1]], tags[edges[p] : edges[p + 1]]) for p in kept]
-        return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+        marks = [sk.pack_marks(maps[edges[p] : edges[p + 1]], sizes[edges[p] : edges[p + 1]]) for p in kept]
+        columns = [pa.array(kept, pa.int32()), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "blob", "marks"])
 
     def run(batches):
         held, count = [], 0
@@ -108,61 +86,103 @@ def band_entries(classes: DataFrame, frequent: list[int], rows: int, n_bands: in
         if count:
             yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return classes.mapInArrow(run, "part int, blob binary")
-
-
-def bucket_pairs(entries: DataFrame, parts: int, cross: bool, star: bool) -> DataFrame:
-    """Candidate pairs (a, b, bucket) with a < b. Tags are id * 4 + flags. ``cross``: one must have flag 1 and the
-    other flag 2. ``bucket`` is set for pairs of a star."""
-
-    def emit(a, b, bucket):
-        ids_a, ids_b = a >> 2, b >> 2
-        ok = ids_a != ids_b
-        if cross:
-            fa, fb = a & 3, b & 3
-            ok &= ((fa & 1) & (fb >> 1) | (fa >> 1) & (fb & 1)).astype(bool)
-        lo, hi = np.minimum(ids_a, ids_b)[ok], np.maximum(ids_a, ids_b)[ok]
-        if bucket is None:
-            both = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.empty((0, 2), np.int64)
-            lo, hi = both[:, 0], both[:, 1]
-            named = pa.nulls(len(lo), pa.int64())
-        else:
-            named = pa.array(np.full(len(lo), bucket), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), named], names=["a", "b", "bucket"])
-
-    def runs(part, hashes, tags):
+    return classes.mapInArrow(run, "part int, blob binary, marks binary")
+
+
+def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star: bool) -> DataFrame:
+    """Candidate pairs (a, b, bucket) with a < b that may reach ``least``. Tags are id * 4 + flags. ``cross``: one must
+    have flag 1 and the other flag 2. ``bucket`` is set for pairs of a star and names the star."""
+    share = (1 - least) / (1 + least)
+
+    def batch(lo, hi, bucket):
+        return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), bucket], names=["a", "b", "bucket"])
+
+    def runs(part, hashes, tags, maps, sizes):
         order = np.argsort(hashes, kind="stable")
-        hashes, tags = hashes[order], tags[order]
+        hashes, tags, maps, sizes = hashes[order], tags[order], maps[order], sizes[order]
+        ids = tags >> 2
+
+        def near(i, j):
+            """Whether entries i and j may be a pair."""
+            a, b = sizes[i], sizes[j]
+            apart = np.maximum(np.bitwise_count(maps[i] ^ maps[j]), np.abs(a - b))
+            return (apart <= share * (a + b) + 1e-6) | (np.maximum(a, b) >= sk.LONG)
+
+        def emit(i, j):
+            ok = near(i, j) & (ids[i] != ids[j])
+            if cross:
+                fa, fb = tags[i] & 3, tags[j] & 3
+                ok &= ((fa & 1) & (fb >> 1) | (fa >> 1) & (fb & 1)).astype(bool)
+            one, two = ids[i[ok]], ids[j[ok]]
+            return np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
+
+        def grid(one, two):
+            step = max(1, CHUNK // max(1, len(two)))
+            for x in range(0, len(one), step):
+                left = one[x : x + step]
+                yield emit(np.repeat(left, len(two)), np.tile(two, len(left)))
+
+        def stars(rest, bucket):
+            """A star takes in what may be similar to its centre; those of one star meet those of no star or a later one
+            directly."""
+            level = 0
+            while len(rest) > STAR:
+                centre, others = rest[0], rest[1:]
+                hit = near(centre, others)
+                mine, rest = others[hit & (ids[others] != ids[centre])], others[~hit]
+                if len(mine):
+                    name = int(sk.mix(np.array([bucket], dtype=np.uint64) ^ sk.mix(np.array([level + 1], dtype=np.uint64)))[0] >> np.uint64(1))
+                    lo, hi = np.minimum(ids[centre], ids[mine]), np.maximum(ids[centre], ids[mine])
+                    yield np.stack([lo, hi], axis=1), name
+                    for found in grid(mine, rest):
+                        yield found, None
+                level += 1
+            i, j = np.triu_indices(len(rest), 1)
+            yield emit(rest[i], rest[j]), None
+
         starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        sizes = np.diff(np.append(starts, len(hashes)))
-        for m in np.unique(sizes[sizes > 1]):
-            at = starts[sizes == m]
+        counts = np.diff(np.append(starts, len(hashes)))
+        for m in np.unique(counts[counts > 1]):
+            at = starts[counts == m]
             if m <= STAR:
                 i, j = np.triu_indices(m, 1)
                 step = max(1, CHUNK // len(i))
                 for s in range(0, len(at), step):
-                    members = tags[at[s : s + step, None] + np.arange(m)]
-                    yield emit(members[:, i].ravel(), members[:, j].ravel(), None)
+                    members = at[s : s + step, None] + np.arange(m)
+                    yield emit(members[:, i].ravel(), members[:, j].ravel()), None
                 continue
             for s in at:  # few: a bucket of more than STAR classes
-                members = np.sort(tags[s : s + m])
+                members = s + np.argsort(tags[s : s + m], kind="stable")
                 if star:
-                    yield emit(np.full(m - 1, members[0]), members[1:], (part << 32) | int(hashes[s]))
+                    yield from stars(members, (part << 32) | int(hashes[s]))
                     continue
-                one, two = (members, members) if not cross else (members[members & 1 == 1], members[members & 2 == 2])
-                step = max(1, CHUNK // max(1, len(two)))
-                for x in range(0, len(one), step):
-                    left = one[x : x + step]
-                    yield emit(np.repeat(left, len(two)), np.tile(two, len(left)), None)
+                one, two = (members[tags[members] & 1 == 1], members[tags[members] & 2 == 2]) if cross else (members, members)
+                for found in grid(one, two):
+                    yield found, None
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
         for b in batches:
-            for p, blob in zip(b.column("part").to_pylist(), b.column("blob"), strict=True):
-                held.setdefault(p, []).append(blob.as_buffer().to_pybytes())
+            for p, blob, marks in zip(b.column("part").to_pylist(), b.column("blob"), b.column("marks"), strict=True):
+                held.setdefault(p, []).append((blob.as_buffer().to_pybytes(), marks.as_buffer().to_pybytes()))
         for p in list(held):
-            hashes, tags = (np.concatenate(x) for x in zip(*map(sk.unpack, held.pop(p)), strict=True))
-            yield from runs(p, hashes, tags)
+            hashes, tags, maps, sizes = (
+                np.concatenate(x) for x in zip(*((*sk.unpack(blob), *sk.unpack_marks(marks)) for blob, marks in held.pop(p)), strict=True)
+            )
+            waiting, count = [], 0
+            for pairs, name in runs(p, hashes, tags, maps, sizes):
+                if name is not None:
+                    yield batch(pairs[:, 0], pairs[:, 1], pa.array(np.full(len(pairs), name), pa.int64()))
+                elif len(pairs):
+                    waiting.append(pairs)
+                    count += len(pairs)
+                if count >= CHUNK:
+                    both = np.unique(np.concatenate(waiting), axis=0)
+                    yield batch(both[:, 0], both[:, 1], pa.nulls(len(both), pa.int64()))
+                    waiting, count = [], 0
+            if count:
+                both = np.unique(np.concatenate(waiting), axis=0)
+                yield batch(both[:, 0], both[:, 1], pa.nulls(len(both), pa.int64()))
 
     return entries.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint, bucket bigint")
 
@@ -185,12 +205,11 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def similar_classes(
-    texts: DataFrame, *, method: str, least: float, rows: int, n_bands: int, frequent: float, cross: bool = False, star: bool = False
+    texts: DataFrame, *, method: str, least: float, rows: int, n_bands: int, cross: bool = False, star: bool = False
 ) -> DataFrame:
     """Pairs (a, b) of class representatives whose word sets reach ``least``. ``cross`` limits pairs to those of flags
-    1 and 2; ``star`` compares large buckets over their first member where only links are wanted."""
+    1 and 2; ``star`` compares large buckets over the centres of stars where only links are wanted."""
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    stop = frequent_words(texts, frequent)
     classes = (
         texts.groupBy("w")
         .agg(F.min("id").alias("id"), F.bit_or("flag").alias("flag"))
@@ -199,7 +218,7 @@ def similar_classes(
             F.transform(F.split("w", " "), lambda x: F.xxhash64(x)).alias("hashes"),
         )
     )
-    found = bucket_pairs(band_entries(classes, stop, rows, n_bands, method, parts), parts, cross, star)
+    found = bucket_pairs(band_entries(classes, rows, n_bands, method, parts), parts, least, cross, star)
     if not star:
         pairs = cut(found.select("a", "b").distinct())
         return verified(pairs, texts, least).where("ok").select("a", "b")
@@ -209,7 +228,7 @@ def similar_classes(
     stars = checked.where("size(buckets) > 0").select("a", "b", "ok", F.explode("buckets").alias("bucket"))
     if stars.where("not ok").isEmpty():
         return links
-    # members that aren't linked to their star's centre meet the whole bucket
+    # members that aren't linked to their star's centre meet the whole star
     lone = stars.where("not ok").select("bucket", F.col("b").alias("x"))
     members = stars.select("bucket", F.col("b").alias("y"))
     rest = lone.join(members, "bucket").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -227,7 +246,7 @@ def row_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cross_split_pairs(
     df: DataFrame, key: str, text: str, split: str, train: str = "train", *, least: float = 0.7, min_words: int = 10,
-    rows: int = 5, n_bands: int = 40, frequent: float = 0.05,
+    rows: int = 5, n_bands: int = 40,
 ) -> DataFrame:
     """Pairs (row_id_a < row_id_b) of a train row and a row of another split with similar texts, by minwise hashing.
 
@@ -237,7 +256,7 @@ def cross_split_pairs(
     """
     side = F.when(F.col(f"`{split}`") == train, 1).when(F.col(f"`{split}`").isNotNull(), 2)
     texts = word_table(df.where(side.isNotNull()), key, text, min_words, side)
-    found = cut(similar_classes(texts, method="minwise", least=least, rows=rows, n_bands=n_bands, frequent=frequent, cross=True))
+    found = cut(similar_classes(texts, method="minwise", least=least, rows=rows, n_bands=n_bands, cross=True))
     members, classes = row_classes(texts)
     wanted = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).distinct().withColumn("linked", F.lit(True))
     classes = cut(classes.join(wanted, "rep", "left").where("flags = 3 or linked").drop("last"))
@@ -278,14 +297,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(
     df: DataFrame, key: str, text: str, *, least: float = 0.7, min_words: int = 10, rows: int = 5, n_bands: int = 40,
-    frequent: float = 0.05,
 ) -> DataFrame:
     """(id, group_id, class_id) for each row in a group of at least two rows. Groups are everything linked by similar
     texts, directly or through others; ``group_id`` is the smallest key of the group, ``class_id`` that of the rows
     with the same word set. Sketches are fast similarity sketches. Null, empty and short texts are in no group; a key
     delivered several times counts once."""
     texts = word_table(df, key, text, min_words)
-    links = similar_classes(texts, method="fast", least=least, rows=rows, n_bands=n_bands, frequent=frequent, star=True)
+    links = similar_classes(texts, method="fast", least=least, rows=rows, n_bands=n_bands, star=True)
     roots = components(links)
     members, classes = row_classes(texts)
     grouped = cut(classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").where("root is not null or last > rep"))

@@ -6,6 +6,7 @@ import numpy as np
 
 U = np.uint64
 CACHED = 1024
+LONG = 65_535  # sizes from which they are not told apart
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)  # fixed values: multipliers of the splitmix64 finaliser
 
@@ -107,3 +108,19 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
     ids = np.ascontiguousarray(raw[4 * n :].reshape(8, n).T).view("<i8").ravel()
     return hashes, ids
+
+
+def parity(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit map per set: each element turns over one bit, so two maps differ in at most as many bits as the sets do
+    in elements. No set may be empty."""
+    return np.bitwise_xor.reduceat(U(1) << (mix(values) & U(63)), starts) if len(starts) else np.array([], dtype=U)
+
+
+def pack_marks(maps: np.ndarray, sizes: np.ndarray) -> bytes:
+    return maps.astype("<u8").tobytes() + sizes.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpack_marks(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 10
+    sizes = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 2 * n, 8 * n).reshape(2, n).T).view("<u2").ravel()
+    return np.frombuffer(blob, "<u8", n), sizes.astype(np.int64)

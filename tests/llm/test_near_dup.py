@@ -114,3 +114,35 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)]
     got = {r.id: r.root for r in nd.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100}
+
+
+def hot_rows():
+    """A note copied into a third of the rows, beside copies of it with 8 or more new words and unrelated notes."""
+    rng = random.Random(4)
+    hot = [f"h{i}" for i in range(40)]
+    out = [(i, "train" if i % 2 else "val", " ".join(hot)) for i in range(100)]
+    out += [(200 + i, "train" if i % 2 else "val", " ".join([*hot, *(f"e{i}x{j}" for j in range(8 + i % 5))])) for i in range(60)]
+    out += [(400 + i, "train" if i % 2 else "val", " ".join(rng.sample([f"w{j}" for j in range(3000)], 20))) for i in range(140)]
+    return out
+
+
+def test_edited_copies_of_a_hot_note(spark):
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "row_id long, dataset string, note string")
+    got = {tuple(r) for r in nd.cross_split_pairs(df, "row_id", "note", "dataset").collect()}
+    want = brute(rows, True)
+    assert got <= want and len(got) >= 0.995 * len(want)
+    assert any(a >= 200 for a, b in want) and {p for p in got if p[0] < 100 <= p[1]} == {p for p in want if p[0] < 100 <= p[1]}
+    groups = nd.near_duplicate_groups(df, "row_id", "note").collect()
+    assert {r.id for r in groups if r.group_id == 0} == {i for i, _, _ in rows if i < 400}
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    for _ in range(200):
+        a, b = rng.choice(pool, 30, replace=False), rng.choice(pool, 25, replace=False)
+        maps = sk.parity(np.concatenate([a, b]), np.array([0, 30]))
+        assert np.bitwise_count(maps[0] ^ maps[1]) <= len(set(a.tolist()) ^ set(b.tolist()))
+    got = sk.unpack_marks(sk.pack_marks(maps, np.array([30, sk.LONG])))
+    assert (got[0] == maps).all() and got[1].tolist() == [30, sk.LONG]
