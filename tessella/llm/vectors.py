@@ -3,9 +3,10 @@
 A vector is coded as a sum of full-dimensional codewords, one from each codebook: ``x ~ c0[i0] + c1[i1] + ...``. The
 codebooks are fitted on a bounded sample (residual k-means, then least squares on the beam-search codes); every vector
 is encoded by beam search. Scores come from lookup tables of codeword products with the stored norms of the coded
-vectors, and the best are reranked with the exact vectors. Codebook 0 doubles as inverted lists: vectors meet in
-*cells*, cells that grow too large are refined by their second codewords, and what is still too large is cut into
-tiles, so that work grows with the number of vectors.
+vectors, and the best are reranked with the exact vectors (``top_k``). Codebook 0 doubles as inverted lists: vectors
+meet in *cells*, cells that grow too large are refined by their second codewords, and what is still too large is cut
+into tiles, so that work grows with the number of vectors. ``similar_pairs`` compares all vectors of a tile exactly, as
+in a group of near copies the codes can't tell the best from the others.
 """
 
 from __future__ import annotations
@@ -164,10 +165,39 @@ def _column(batch, name: str, dim: int) -> np.ndarray:
     return lists.values.to_numpy(zero_copy_only=False)[a:b].reshape(-1, dim)
 
 
-def _cells(x: np.ndarray, aq: AdditiveQuantiser, spread: int, refined: np.ndarray, finer: int) -> tuple[np.ndarray, np.ndarray]:
+def _merged(words: np.ndarray, least: float) -> np.ndarray:
+    """Group of each codeword, named by its first member: codewords linked by distances no larger than that of two
+    vectors at a cosine of ``least``. Such cells cut a dense group finer than what is sought in it."""
+    squares = (words.astype(np.float64) ** 2).sum(1)
+    close = squares[:, None] + squares - 2 * words.astype(np.float64) @ words.T <= 2 - 2 * least
+    group = np.arange(len(words))
+    while True:
+        low = np.where(close, group, len(words)).min(axis=1)  # each word is close to itself
+        if (low == group).all():
+            return group
+        group = low
+
+
+def _nearest_cells(x: np.ndarray, words: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` nearest groups of codewords, each as near as its nearest member."""
+    names = np.unique(groups)
+    if len(names) == len(words):
+        return nearest(x, words, min(k, len(words)))
+    order = np.argsort(groups, kind="stable")
+    first = np.searchsorted(groups[order], names)
+    half = 0.5 * (words * words).sum(1)
+    k = min(k, len(names))
+    out = np.empty((len(x), k), dtype=np.int32)
+    for s in range(0, len(x), 8192):
+        score = np.minimum.reduceat((half - x[s : s + 8192] @ words.T)[:, order], first, axis=1)
+        out[s : s + 8192] = names[np.argpartition(score, k - 1, axis=1)[:, :k]]
+    return out
+
+
+def _cells(x: np.ndarray, aq: AdditiveQuantiser, groups: np.ndarray, spread: int, refined: np.ndarray, finer: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) assignments: the ``spread`` nearest cells, and within refined cells the ``finer`` nearest of their
     sub-cells."""
-    first = nearest(x, aq.books[0], min(spread, len(aq.books[0])))
+    first = _nearest_cells(x, aq.books[0], groups, spread)
     row = np.repeat(np.arange(len(x)), first.shape[1])
     cell = first.ravel().astype(np.int64)
     deep = refined[cell]
@@ -181,11 +211,12 @@ def _cells(x: np.ndarray, aq: AdditiveQuantiser, spread: int, refined: np.ndarra
     return np.concatenate(flat_row), np.concatenate(flat_cell)
 
 
-def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.9, spread: int = 3, finer: int = 3, rerank: int = 24) -> DataFrame:
+def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.9, spread: int = 3, finer: int = 3) -> DataFrame:
     """Directed edges (a, b, cos): ``b`` is one of the ``k`` most similar vectors of ``a`` and their cosine is at least
-    ``least``. Each vector joins its ``spread`` nearest cells (of those too large, ``finer`` sub-cells each), so close
-    vectors meet in at least one: of vectors at a cosine of just 0.9 in random directions 99 % do. Ties go to the
-    smaller id.
+    ``least``. Each vector joins its ``spread`` nearest cells, cells within a dense group being one (of those too large, ``finer`` sub-cells each), so close
+    vectors meet in at least one: of vectors at a cosine of just 0.9 in random directions 99 % do. Vectors that
+    meet are compared exactly, however many they are. Ties, which are cosines equal to 12 digits, go to the smaller id,
+    so copies scaled by a factor count as equal.
 
     Of exactly equal vectors the ``k + 1`` of smallest id stay: all of them prefer the same ``k``, and so does any other
     vector, so the others are in nobody's list but their own; a list of their own is not given. No partner of the
@@ -200,6 +231,7 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
     if aq is None:
         return spark.createDataFrame([], schema)
 
+    groups = _merged(aq.books[0], least)
     none = np.zeros(len(aq.books[0]), dtype=bool)
 
     def sizes_of(refined):
@@ -207,7 +239,7 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
             held: dict[int, int] = {}
             for b in batches:
                 if b.num_rows:
-                    _, cell = _cells(unit(_column(b, "vec", dim)), aq, spread, refined, finer)
+                    _, cell = _cells(unit(_column(b, "vec", dim)), aq, groups, spread, refined, finer)
                     for c, n in zip(*np.unique(cell, return_counts=True), strict=True):
                         held[int(c)] = held.get(int(c), 0) + int(n)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["cell", "n"])
@@ -229,10 +261,7 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
             if not b.num_rows:
                 continue
             ids, raw = b.column("id").to_numpy(), _column(b, "vec", dim)
-            x = unit(raw)
-            codes = aq.encode(x)
-            norms = aq.norms(codes)
-            row, cell = _cells(x, aq, spread, refined, finer)
+            row, cell = _cells(unit(raw), aq, groups, spread, refined, finer)
             tile = np.zeros(len(row), dtype=np.int64)
             side = np.zeros(len(row), dtype=np.int8)  # 0: both query and stored; 1: only query; 2: only stored
             if large:
@@ -250,46 +279,39 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
                     row, cell, tile, side = (np.concatenate(z) for z in zip(*keep, strict=True))
             for s in range(0, len(row), 20_000):
                 r = row[s : s + 20_000]
-                packed = codes[r].astype("<i2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cell[s : s + 20_000], pa.int64()), pa.array(tile[s : s + 20_000], pa.int64()),
                         pa.array(side[s : s + 20_000].astype(np.int32), pa.int32()), pa.array(ids[r], pa.int64()),
-                        pa.array([v.tobytes() for v in packed], pa.binary()), pa.array(norms[r], pa.float32()),
                         pa.array([v.tobytes() for v in raw[r]], pa.binary()),
                     ],
-                    names=["cell", "tile", "side", "id", "codes", "norm", "raw"],
+                    names=["cell", "tile", "side", "id", "raw"],
                 )
 
-    entries = vectors.mapInArrow(place, "cell bigint, tile bigint, side int, id bigint, codes binary, norm float, raw binary")
-    width = len(aq.books)
+    entries = vectors.mapInArrow(place, "cell bigint, tile bigint, side int, id bigint, raw binary")
 
     def meet(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         side = table.column("side").to_numpy()
-        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), "<i2").reshape(-1, width).astype(np.int64)
-        norms = table.column("norm").to_numpy()
         raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), "<f4").reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
-        ids, side, codes, norms, raw = ids[order], side[order], codes[order], norms[order], raw[order]
+        ids, side, raw = ids[order], side[order], raw[order]
         exact = raw.astype(np.float64)
         exact /= np.linalg.norm(exact, axis=1, keepdims=True)
-        x = exact.astype(np.float32)
         asks, held = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         out = []
-        for s in range(0, len(asks), 512):
+        for s in range(0, len(asks) if len(held) else 0, 512):
             q = asks[s : s + 512]
-            score = aq.scores(x[q], codes[held], norms[held])
-            score[ids[q][:, None] == ids[held][None, :]] = -np.inf
-            top = min(rerank, len(held))
-            best = np.argpartition(-score, top - 1, axis=1)[:, :top] if top < len(held) else np.broadcast_to(np.arange(len(held)), score.shape)
-            best = np.sort(best, axis=1)  # held is in order of id, so stable sorts break ties by id
-            cos = np.einsum("qd,qkd->qk", exact[q], exact[held[best]])
-            cos = np.where(ids[q][:, None] == ids[held[best]], -2.0, cos)
-            first = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            cos, best = np.take_along_axis(cos, first, 1), np.take_along_axis(best, first, 1)
-            at = np.nonzero(cos >= least)
-            out.append((ids[q][at[0]], ids[held[best[at]]], cos[at]))
+            cos = exact[q] @ exact[held].T
+            cos[ids[q][:, None] == ids[held][None, :]] = -2.0
+            some = cos.max(axis=1) >= least
+            q, cos = q[some], cos[some]
+            left, every = np.round(cos, 12), np.arange(len(q))
+            for _ in range(min(k, len(held)) if len(q) else 0):
+                best = left.argmax(axis=1)  # the first of equal ones; held is in order of id
+                at = np.flatnonzero(cos[every, best] >= least)
+                out.append((ids[q[at]], ids[held[best[at]]], left[at, best[at]]))
+                left[every, best] = -3.0
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cos": pa.array(c, pa.float64())})
 

@@ -80,3 +80,25 @@ def test_beam_search_is_no_worse_than_greedy():
         errors.append(float(((x - made) ** 2).sum(1).mean()))
         assert np.allclose(aq.scores(x[:3], codes, aq.norms(codes)), x[:3] @ made.T / np.linalg.norm(made, axis=1), atol=1e-4)
     assert errors[1] < errors[0]
+
+
+@pytest.mark.parametrize("tile", [8192, 500])
+def test_dense_group_of_near_copies(spark, monkeypatch, tile):
+    monkeypatch.setattr(v, "CELL", 4_000)
+    monkeypatch.setattr(v, "TILE", tile)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64)
+    near_copies = (centre + rng.normal(size=(2000, 64)) * 0.2) * rng.uniform(0.1, 50, size=(2000, 1))
+    x = np.vstack([rng.normal(size=(1000, 64)), near_copies]).astype(np.float32)
+    ids = list(range(len(x)))
+    near = brute(x, ids, 5, 0.9)
+    want = {(min(a, b), max(a, b)) for a in near for b in near[a] if a in near[b]}
+    got = {tuple(r) for r in v.mutual_pairs(v.usable(frame(spark, x, ids), "vec_id", "vec", 64), 64).collect()}
+    assert len(want) > 1000 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_scaled_copies_prefer_the_smallest_ids(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([data(50), rng.normal(size=16) * rng.uniform(0.1, 50, size=(300, 1))]).astype(np.float32)
+    got = {tuple(r) for r in v.mutual_pairs(v.usable(frame(spark, x, list(range(len(x)))), "vec_id", "vec", 16), 16).collect()}
+    assert {p for p in got if p[0] >= 50} == {(a, b) for a in range(50, 56) for b in range(a + 1, 56)}
