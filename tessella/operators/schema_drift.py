@@ -42,6 +42,8 @@ def _clean(value: Column, type_name: str) -> Column:
         return F.when(is_string, plain)
     if type_name == "boolean":
         return F.when(F.lower(F.trim(plain)).isin("true", "false"), F.trim(plain).try_cast("boolean"))
+    if type_name == "array<string>":
+        return F.when(value.rlike(r'\A\[("([^"\\]|\\.)*"(,"([^"\\]|\\.)*")*)?\]\z'), F.from_json(value, type_name))
     number = F.trim(plain)
     ok = number.rlike(r"\A[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z")
     if type_name in ("bigint", "int"):
@@ -62,10 +64,11 @@ def _place(df: DataFrame, fields: Column, schema: TargetSchema, keep: list[str])
     for name, kind in schema.columns.items():
         options = []
         for held in schema.names(name):
-            options.append(_clean(F.col("_fields")[held], kind))
-            used.append((held, options[-1]))
+            value = _clean(F.col("_fields")[held], kind)
+            used.append((held, value.isNotNull() & F.coalesce(*options).isNull() if options else value.isNotNull()))
+            options.append(value)
         cells.append(F.coalesce(*options).alias(name))
-    typed = df.select("*", F.struct(*cells).alias("_typed"), F.array(*[F.when(v.isNotNull(), F.lit(h)) for h, v in used]).alias("_placed"))
+    typed = df.select("*", F.struct(*cells).alias("_typed"), F.array(*[F.when(fills, F.lit(h)) for h, fills in used]).alias("_placed"))
     left = F.map_filter("_fields", lambda k, v: ~F.array_contains(F.array_compact("_placed"), k) & (v != "null"))
     rescued = F.concat(
         F.lit("{"),
@@ -195,3 +198,23 @@ def drift_ledger(
         "file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), F.col("field").alias("new_field")
     )
     return renamed.unionByName(removed).unionByName(added).unionByName(retyped)
+
+
+def approved_aliases(ledger: DataFrame, columns: dict[str, str]) -> dict[str, str]:
+    """Name in files -> column, from the renames of a ledger: names that lead, over renames in either direction and
+    other names, to exactly one of ``columns``. A name that leads to several stays rescued. The renames that reach the
+    driver are bounded by the names of fields."""
+    near: dict[str, set[str]] = {}
+    for r in ledger.where("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect():
+        near.setdefault(r.old_field, set()).add(r.new_field)
+        near.setdefault(r.new_field, set()).add(r.old_field)
+    leads: dict[str, set[str]] = {}
+    for column in columns:
+        seen, todo = set(), [column]
+        while todo:
+            new = {n for n in near.get(todo.pop(), ()) if n not in columns} - seen
+            seen |= new
+            todo += sorted(new)
+        for name in seen:
+            leads.setdefault(name, set()).add(column)
+    return {name: min(to) for name, to in leads.items() if len(to) == 1}

@@ -77,6 +77,13 @@ def p2_merged(spark: SparkSession, d: str) -> DataFrame:
 # --- 3: drifting schemas -------------------------------------------------------------------------------------------
 FEED_SCHEMA = sd.TargetSchema({"battery_v": "double", "crop": "string", "moisture": "bigint", "is_covered": "boolean"})
 
+#: Every base field of the feeds.
+WHOLE_SCHEMA = FEED_SCHEMA.promote({
+    "ph": "double", "air_c": "double", "rain_mm": "double", "soil_c": "double", "yield_g": "double", "plant_count": "bigint",
+    "light_lux": "bigint", "plot_no": "string", "site_code": "string", "cultivar": "string", "grower_band": "string",
+    "is_irrigated": "boolean", "tags": "array<string>", "remark": "string",
+})
+
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return sd.drift_ledger(table(spark, d, "file_records"), table(spark, d, "split_files"))
@@ -94,6 +101,13 @@ def p3_typed(spark: SparkSession, d: str) -> DataFrame:
     return p3_unified(spark, d).select("record_id", "file_id", "battery_v", "crop", "moisture", "is_covered", "ph", "air_c")
 
 
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """All files as one table with every base field typed, also where the ledger found it under another name; what
+    can't be cast without changing what it says is rescued."""
+    schema = WHOLE_SCHEMA.promote(aliases=sd.approved_aliases(p3_found(spark, d), WHOLE_SCHEMA.columns))
+    return sd.ingest(table(spark, d, "file_records"), "body", schema, ["record_id", "file_id"])
+
+
 # --- 7: missing values ---------------------------------------------------------------------------------------------
 def _impute(spark: SparkSession, d: str, only_missing: bool) -> DataFrame:
     rules = {r.column: r for r in qp.rules_from(table(spark, d, "column_rules"))}
@@ -116,7 +130,7 @@ def p7_filled(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_valid": p1_valid, "p1_errors": p1_errors,
     "p2_found": p2_found, "p2_profile": p2_profile, "p2_control_limits": p2_control_limits, "p2_merged": p2_merged,
-    "p3_found": p3_found, "p3_unified": p3_unified, "p3_typed": p3_typed,
+    "p3_found": p3_found, "p3_unified": p3_unified, "p3_typed": p3_typed, "p3_table": p3_table,
     "p7_found": p7_found, "p7_filled": p7_filled,
 }
 

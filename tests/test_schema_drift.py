@@ -42,3 +42,23 @@ def test_rescue_promote_replay_keeps_everything(spark):
     again = sd.replay(first, schema.promote({"k": "bigint", "temp": "double"}, {"deg": "temp"}), ["record_id"])
     a = next(x for x in again.collect() if x.record_id == 0)
     assert (a.n, a.s, a.k, a.temp, json.loads(a._rescued)) == (5, 'q"uote', 7, 1.5, {"rec_key": "a"})
+
+
+def test_aliases_follow_unambiguous_renames(spark):
+    pairs = [("air_c", "AirC"), ("AirC", "t2"), ("lux", "light_lux"), ("air_c", "col_1"), ("col_1", "light_lux"), ("x", "y")]
+    ledger = spark.createDataFrame([(1, "renamed", a, b) for a, b in pairs] + [(1, "added", "", "air_c")], "file_id long, change_kind string, old_field string, new_field string")
+    assert sd.approved_aliases(ledger, {"air_c": "double", "light_lux": "bigint"}) == {"AirC": "air_c", "t2": "air_c", "lux": "light_lux"}
+
+
+def test_whole_table_types_every_field_under_all_its_names(spark, tmp_path):
+    from tessella.plans import problems
+
+    body = {1: {"air_c": 1.5, "tags": ["a", "b"], "rain_mm": 2.0}, 2: {"AirC": 1.5, "tags": "a", "rain_mm": [2.0]}, 3: {"AirC": 7.0, "air_c": 8.0, "plot_no": "4"}}
+    records(spark, {f: [{"rec_key": "k"} | b] for f, b in body.items()}).write.parquet(str(tmp_path / "file_records.parquet"))
+    feed(spark, 3).write.parquet(str(tmp_path / "split_files.parquet"))
+    got = {r.file_id: r for r in problems.p3_table(spark, str(tmp_path)).collect()}
+    assert (got[1].air_c, got[1].tags, got[1].rain_mm, json.loads(got[1]._rescued)) == (1.5, ["a", "b"], 2.0, {"rec_key": "k"})
+    assert (got[2].air_c, got[2].tags, json.loads(got[2]._rescued)) == (1.5, None, {"rec_key": "k", "tags": "a", "rain_mm": [2]})
+    # of two names in one record the other value stays rescued
+    assert (got[3].air_c, got[3].plot_no, json.loads(got[3]._rescued)) == (8.0, "4", {"rec_key": "k", "AirC": 7})
+    assert len(problems.WHOLE_SCHEMA.columns) == 18
