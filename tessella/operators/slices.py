@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tessella.operators.profile import q
 
 
-def find_slices(df: DataFrame, features: list[str], error: str, *, alpha: float = 0.95, k: int = 1, min_support: int = 1, max_level: int = 2) -> DataFrame:
+def find_slices(df: DataFrame, features: list[str], error: str, *, alpha: float = 0.95, k: int = 1, min_support: int = 1, max_level: int | None = None) -> DataFrame:
     """(slice, level, n, avg_error, score): the ``k`` best slices by alpha (mean error / overall mean - 1) - (1 - alpha)
-    (rows / slice rows - 1), ties by name. Levels are enumerated one by one; a level only extends slices of the level
+    (rows / slice rows - 1), ties by name. Levels are enumerated one by one, up to all features unless ``max_level`` is given; a level only extends slices of the level
     before that have the support and a score above 0 at its best, so pruning loses no top slice of positive score.
     Missing values are the value "missing"; rows without error take no part."""
     base = df.where(q(error).isNotNull()).select(q(error).cast("double").alias("e"), *[F.concat(F.lit(f"{c}="), F.coalesce(q(c).cast("string"), F.lit("missing"))).alias(c) for c in features])
@@ -26,7 +26,7 @@ def find_slices(df: DataFrame, features: list[str], error: str, *, alpha: float
 
     out = None
     alive = None
-    for level in range(1, min(max_level, len(features)) + 1):
+    for level in range(1, min(max_level or len(features), len(features)) + 1):
         sets = list(combinations(features, level))
         cells = F.array(*[F.struct(F.lit(",".join(s)).alias("cols"), F.concat_ws(" & ", *[q(c) for c in s]).alias("slice"), F.array(*[F.concat_ws(" & ", *[q(c) for c in sub]) for sub in combinations(s, level - 1)]).alias("parents")) for s in sets])
         rows = base.select("e", F.explode(cells).alias("c")).select("e", "c.*")

@@ -331,3 +331,10 @@ def test_semantic_types(spark):
     out = {r["column"]: r.semantic_type for r in semantic.semantic_types(df, {"row_id": "num", "m": "txt", "d": "txt", "k": "txt"}, "row_id").collect()}
     assert out == {"row_id": "identifier", "m": "email", "d": "date", "k": "code"}
     assert semantic.parse_names("a: b: c\nnothing\n d :e") == {"a": "b: c", "d": "e"}
+
+
+def test_slices_reach_all_features_by_default(spark):
+    rows = [(i, f"a{i % 2}", f"b{i // 2 % 2}", f"c{i // 4 % 2}", 10.0 if i % 8 == 0 else 1.0) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, c string, e double")
+    best = one(slices.find_slices(df, ["a", "b", "c"], "e"))
+    assert (best.slice, best.level, best.n) == ("a=a0 & b=b0 & c=c0", 3, 10)
