@@ -4,9 +4,9 @@ A vector is coded as a sum of full-dimensional codewords, one from each codebook
 codebooks are fitted on a bounded sample (residual k-means, then least squares on the beam-search codes); every vector
 is encoded by beam search. Scores come from lookup tables of codeword products with the stored norms of the coded
 vectors, and the best are reranked with the exact vectors (``top_k``). Codebook 0 doubles as inverted lists: vectors
-meet in *cells*, cells that grow too large are refined by their second codewords, and what is still too large is cut
-into tiles, so that work grows with the number of vectors. ``similar_pairs`` compares all vectors of a tile exactly, as
-in a group of near copies the codes can't tell the best from the others.
+meet in *cells*. ``similar_pairs`` cuts large cells into tiles that all meet each other, so that the size of a cell
+changes no result, and compares all vectors of a tile exactly, as in a group of near copies the codes can't tell the
+best from the others.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tessella.session import written
 
 SAMPLE = 20_000  # vectors the codebooks are fitted on, at most
-CELL = 8_192  # entries from which a cell is refined
-TILE = 8_192  # entries from which a refined cell is cut into tiles
+CELL = 8_192  # entries from which a cell is cut into tiles
+TILE = 8_192  # entries of a tile
 
 
 def usable(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
@@ -194,26 +194,15 @@ def _nearest_cells(x: np.ndarray, words: np.ndarray, groups: np.ndarray, k: int)
     return out
 
 
-def _cells(x: np.ndarray, aq: AdditiveQuantiser, groups: np.ndarray, spread: int, refined: np.ndarray, finer: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) assignments: the ``spread`` nearest cells, and within refined cells the ``finer`` nearest of their
-    sub-cells."""
+def _cells(x: np.ndarray, aq: AdditiveQuantiser, groups: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) assignments: the ``spread`` nearest cells."""
     first = _nearest_cells(x, aq.books[0], groups, spread)
-    row = np.repeat(np.arange(len(x)), first.shape[1])
-    cell = first.ravel().astype(np.int64)
-    deep = refined[cell]
-    sub = len(aq.books[1])
-    flat_row, flat_cell = [row[~deep]], [cell[~deep] * (sub + 1)]
-    if deep.any():
-        rest = x[row[deep]] - aq.books[0][cell[deep]]
-        second = nearest(rest, aq.books[1], min(finer, sub))
-        flat_row.append(np.repeat(row[deep], second.shape[1]))
-        flat_cell.append((np.repeat(cell[deep], second.shape[1]) * (sub + 1)) + 1 + second.ravel())
-    return np.concatenate(flat_row), np.concatenate(flat_cell)
-
-
-def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.9, spread: int = 3, finer: int = 3) -> DataFrame:
+    return np.repeat(np.arange(len(x)), first.shape[1]), first.ravel().astype(np.int64)
+
+
+def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.9, spread: int = 3) -> DataFrame:
     """Directed edges (a, b, cos): ``b`` is one of the ``k`` most similar vectors of ``a`` and their cosine is at least
-    ``least``. Each vector joins its ``spread`` nearest cells, cells within a dense group being one (of those too large, ``finer`` sub-cells each), so close
+    ``least``. Each vector joins its ``spread`` nearest cells, cells within a dense group being one, so close
     vectors meet in at least one: of vectors at a cosine of just 0.9 in random directions 99 % do. Vectors that
     meet are compared exactly, however many they are. Ties, which are cosines equal to 12 digits, go to the smaller id,
     so copies scaled by a factor count as equal.
@@ -232,36 +221,25 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
         return spark.createDataFrame([], schema)
 
     groups = _merged(aq.books[0], least)
-    none = np.zeros(len(aq.books[0]), dtype=bool)
-
-    def sizes_of(refined):
-        def run(batches):
-            held: dict[int, int] = {}
-            for b in batches:
-                if b.num_rows:
-                    _, cell = _cells(unit(_column(b, "vec", dim)), aq, groups, spread, refined, finer)
-                    for c, n in zip(*np.unique(cell, return_counts=True), strict=True):
-                        held[int(c)] = held.get(int(c), 0) + int(n)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["cell", "n"])
-
-        got = vectors.select("vec").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-        return got
-
-    sub = len(aq.books[1]) + 1
-    refined = none.copy()
-    for r in sizes_of(none).where(F.col("n") > CELL).collect():  # at most one row per codeword
-        refined[r.cell // sub] = True
-    large = {}
-    if refined.any():
-        # more than a few only if vectors crowd even within sub-cells; at most one row per pair of codewords
-        large = {r.cell: -(-r.n // TILE) for r in sizes_of(refined).where(F.col("n") > TILE).collect()}
+
+    def sizes(batches):
+        held: dict[int, int] = {}
+        for b in batches:
+            if b.num_rows:
+                _, cell = _cells(unit(_column(b, "vec", dim)), aq, groups, spread)
+                for c, n in zip(*np.unique(cell, return_counts=True), strict=True):
+                    held[int(c)] = held.get(int(c), 0) + int(n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["cell", "n"])
+
+    counted = vectors.select("vec").mapInArrow(sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    large = {r.cell: -(-r.n // TILE) for r in counted.where(F.col("n") > CELL).collect()}  # at most one row per codeword
 
     def place(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             ids, raw = b.column("id").to_numpy(), _column(b, "vec", dim)
-            row, cell = _cells(unit(raw), aq, groups, spread, refined, finer)
+            row, cell = _cells(unit(raw), aq, groups, spread)
             tile = np.zeros(len(row), dtype=np.int64)
             side = np.zeros(len(row), dtype=np.int8)  # 0: both query and stored; 1: only query; 2: only stored
             if large:

@@ -102,3 +102,18 @@ def test_scaled_copies_prefer_the_smallest_ids(spark):
     x = np.vstack([data(50), rng.normal(size=16) * rng.uniform(0.1, 50, size=(300, 1))]).astype(np.float32)
     got = {tuple(r) for r in v.mutual_pairs(v.usable(frame(spark, x, list(range(len(x)))), "vec_id", "vec", 16), 16).collect()}
     assert {p for p in got if p[0] >= 50} == {(a, b) for a in range(50, 56) for b in range(a + 1, 56)}
+
+
+def test_size_of_cells_changes_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 64))
+    noise = rng.normal(size=(750, 64))
+    noise -= (noise * x[::2]).sum(1, keepdims=True) / (x[::2] ** 2).sum(1, keepdims=True) * x[::2]
+    x[1::2] = x[::2] + noise * (np.linalg.norm(x[::2], axis=1) / np.linalg.norm(noise, axis=1) * 0.48)[:, None]  # at a cosine of 0.9015
+    df = v.usable(frame(spark, x.astype(np.float32), list(range(1500))), "vec_id", "vec", 64)
+    found = []
+    for cell in (10_000, 20):
+        monkeypatch.setattr(v, "CELL", cell)
+        monkeypatch.setattr(v, "TILE", cell)
+        found.append({tuple(r) for r in v.mutual_pairs(df, 64).collect()})
+    assert len(found[0]) >= 0.95 * 750 and found[0] == found[1]
