@@ -2,14 +2,16 @@
 
 Stages, all distributed:
 
-1. *Classes.* Texts with the same set of words collapse into one class (map-side combined), represented by its smallest
-   key. A text copied into a third of all rows is one class from here on.
+1. *Classes.* Texts with the same set of words collapse into one class (map-side combined), represented by one of its
+   rows. A text copied into a third of all rows is one class from here on.
 2. *Bands.* Every class is sketched over all its words, so that no kind of pair is out of reach: a pair of similarity s
    shares a band with probability 1 - (1 - s^rows)^bands. Band hashes travel as packed planes per shuffle part, never as
-   rows, with the size of the set and a 64-bit parity map of its words.
+   rows, with the size of the set and a 32-bit parity map of its words. A part holds about ``PART`` entries however
+   large the data are, and is one task; within it, buckets are told apart by 40 more bits.
 3. *Candidates.* Each part sorts its entries and pairs equal hashes. Words that stand in most texts make most of these
-   meet by chance, so a pair goes on only if its parity maps allow the measure: they differ in no more bits than the
-   sets do in words, so no pair is lost. Buckets beyond ``STAR`` members emit stars instead of all pairs where only
+   meet by chance, so a pair goes on only if sizes and parity maps allow the measure: maps differ in no more bits than
+   the sets do in words, so no pair is lost. Buckets beyond ``LIMIT`` classes are banded again by another sketch, so the
+   work stays in proportion to the entries. Buckets beyond ``STAR`` members emit stars instead of all pairs where only
    links are wanted; members that fail verification are compared with the whole star afterwards, so no link is lost.
 4. *Verification.* The exact Jaccard similarity of the word sets themselves.
 """
@@ -22,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import sketches as sk
-from tessella.operators.skew import salted_join
+from tessella.operators.skew import hot_keys, join_parts, salted_join
 from tessella.session import cut, written
 
-BLOCK = 16_384  # classes sketched at once
+BLOCK = 32_768  # classes sketched at once
+PART = 1_000_000  # entries of a shuffle part, about: 12 MB as shuffled, 25 MB as arrays
+LIMIT = 16_384  # classes of a bucket from which it is banded again
 STAR = 64  # bucket size from which links go over a star
-CHUNK = 500_000  # pairs in one Arrow batch
+CHUNK = 500_000  # pairs looked at at once
 BROADCAST = 1_000_000  # ids up to which a list of texts to verify is broadcast (8 MB); longer ones are shuffled
 
 
@@ -37,38 +41,39 @@ def word_set(text: Column) -> Column:
 
 
 def word_table(df: DataFrame, key: str, text: str, least: int, flag: Column | None = None) -> DataFrame:
-    """(id, flag, w) of texts with at least ``least`` different words, ``w`` being the sorted words with a space
-    between. Texts are cut into words once, here, and the result is written as a table, as all later stages read it.
-    Null, empty and short texts drop out: they are no case of the measure."""
+    """(rid, key, flag, w) of texts with at least ``least`` different words, ``w`` being the sorted words with a space
+    between and ``rid`` a number of the row. Texts are cut into words once, here, and the result is written as a table,
+    as all later stages read it. Null, empty and short texts and null keys drop out: they are no case of the measure."""
     # a generator, as a filter on the words would be pushed below and find them a second time
     kept = F.explode(F.filter(F.array(word_set(F.col(f"`{text}`"))), lambda w: F.size(w) >= least))
-    rows = df.where(F.col(f"`{key}`").isNotNull()).select(
-        F.col(f"`{key}`").cast("bigint").alias("id"), (F.lit(0) if flag is None else flag).alias("flag"), kept.alias("words")
-    )
-    return written(rows.select("id", "flag", F.array_join("words", " ").alias("w")), "words")
+    rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), (F.lit(0) if flag is None else flag).alias("flag"), kept.alias("words"))
+    return written(rows.select(F.monotonically_increasing_id().alias("rid"), "key", "flag", F.array_join("words", " ").alias("w")), "words")
 
 
-def band_entries(classes: DataFrame, rows: int, n_bands: int, method: str, parts: int) -> DataFrame:
-    """``classes``: (tag bigint, hashes array<bigint>). Returns (part, blob, marks): packed hashes and tags, and packed
-    parity maps and sizes of the same entries."""
+def band_entries(classes: DataFrame, rows: int, n_bands: int, method: str, parts: int, salt: int = 1) -> DataFrame:
+    """``classes``: (tag bigint, flag int, parent bigint, hashes array<bigint>). Returns (part, blob): the packed band
+    entries of each block of classes by part. Classes with different parents never share a bucket."""
     t = rows * n_bands
     sketch = {"minwise": sk.minwise, "fast": sk.fast_similarity}[method]
+    low_bits = np.uint64((1 << sk.LOW) - 1)
 
-    def block(tags, values, lengths):
+    def block(tags, flags, parents, values, lengths):
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         values = values.view(np.uint64)
-        hashes = sk.bands(sketch(values, starts, t), rows, 13).ravel()
-        part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.uint64)
-        low = hashes & np.uint64(0xFFFFFFFF)
-        order = np.argsort((part << np.uint64(32)) | low)
-        part, low, owner = part[order], low[order], order // n_bands
-        tags, maps, sizes = tags[owner], sk.parity(values, starts)[owner], np.minimum(lengths, sk.LONG)[owner]
-        edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        kept = [p for p in range(parts) if edges[p] < edges[p + 1]]
-        blobs = [sk.pack(low[edges[p] : edges[p + 1]], tags[edges[p] : edges[p + 1]]) for p in kept]
-        marks = [sk.pack_marks(maps[edges[p] : edges[p + 1]], sizes[edges[p] : edges[p + 1]]) for p in kept]
-        columns = [pa.array(kept, pa.int32()), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "blob", "marks"])
+        hashes = sk.bands(sketch(values, starts, t, salt), rows, 13)
+        hashes = (sk.mix(hashes ^ sk.mix(parents.view(np.uint64))[:, None]) if parents.any() else hashes).ravel()
+        part = (hashes >> np.uint64(sk.LOW)) % np.uint64(parts)
+        key = (part << np.uint64(sk.LOW)) | (hashes & low_bits)
+        order = np.argsort(key)
+        key, owner = key[order], order // n_bands
+        tags, flags, maps, sizes = tags[owner], flags[owner], sk.parity(values, starts)[owner], np.minimum(lengths, sk.LONG)[owner]
+        edges = np.searchsorted(key, np.arange(parts + 1, dtype=np.uint64) << np.uint64(sk.LOW))
+        kept = np.flatnonzero(edges[1:] > edges[:-1])
+        blobs = []
+        for p in kept:
+            mine = slice(edges[p], edges[p + 1])
+            blobs.append(sk.pack(key[mine] & low_bits, tags[mine], flags[mine], maps[mine], sizes[mine]))
+        return pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def run(batches):
         held, count = [], 0
@@ -78,7 +83,7 @@ def band_entries(classes: DataFrame, rows: int, n_bands: int, method: str, parts
             lists = b.column("hashes")
             offsets = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            held.append((b.column("tag").to_numpy(), values, np.diff(offsets)))
+            held.append((b.column("tag").to_numpy(), b.column("flag").to_numpy(), b.column("parent").to_numpy(), values, np.diff(offsets)))
             count += b.num_rows
             if count >= BLOCK:
                 yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -86,21 +91,22 @@ def band_entries(classes: DataFrame, rows: int, n_bands: int, method: str, parts
         if count:
             yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return classes.mapInArrow(run, "part int, blob binary, marks binary")
+    return classes.mapInArrow(run, "part int, blob binary")
 
 
-def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star: bool) -> DataFrame:
-    """Candidate pairs (a, b, bucket) with a < b that may reach ``least``. Tags are id * 4 + flags. ``cross``: one must
-    have flag 1 and the other flag 2. ``bucket`` is set for pairs of a star and names the star."""
+def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star: bool, limit: int | None) -> DataFrame:
+    """Candidate pairs (a, b, bucket, mark) with a < b that may reach ``least``. ``cross``: one must have flag 1 and the
+    other flag 2. ``bucket`` is set for pairs of a star and names it, ``mark`` then holds size and parity map of the
+    member that isn't its centre. Members of buckets beyond ``limit`` come out with null ``b``, the bucket and, as mark,
+    their flag."""
     share = (1 - least) / (1 + least)
 
-    def batch(lo, hi, bucket):
-        return pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), bucket], names=["a", "b", "bucket"])
+    def batch(a, b, bucket, mark):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, bucket, mark], names=["a", "b", "bucket", "mark"])
 
-    def runs(part, hashes, tags, maps, sizes):
+    def runs(part, hashes, tags, flags, maps, sizes):
         order = np.argsort(hashes, kind="stable")
-        hashes, tags, maps, sizes = hashes[order], tags[order], maps[order], sizes[order]
-        ids = tags >> 2
+        hashes, tags, flags, maps, sizes = hashes[order], tags[order], flags[order], maps[order], sizes[order]
 
         def near(i, j):
             """Whether entries i and j may be a pair."""
@@ -109,18 +115,26 @@ def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star
             return (apart <= share * (a + b) + 1e-6) | (np.maximum(a, b) >= sk.LONG)
 
         def emit(i, j):
-            ok = near(i, j) & (ids[i] != ids[j])
+            ok = near(i, j) & (tags[i] != tags[j])
             if cross:
-                fa, fb = tags[i] & 3, tags[j] & 3
-                ok &= ((fa & 1) & (fb >> 1) | (fa >> 1) & (fb & 1)).astype(bool)
-            one, two = ids[i[ok]], ids[j[ok]]
+                ok &= ((flags[i] & 1) & (flags[j] >> 1) | (flags[i] >> 1) & (flags[j] & 1)).astype(bool)
+            one, two = tags[i[ok]], tags[j[ok]]
             return np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
 
-        def grid(one, two):
-            step = max(1, CHUNK // max(1, len(two)))
-            for x in range(0, len(one), step):
-                left = one[x : x + step]
-                yield emit(np.repeat(left, len(two)), np.tile(two, len(left)))
+        def grid(one, two, same=False):
+            """Pairs of members whose sizes allow the measure; ``same``: of one list with itself."""
+            one, two = one[np.argsort(sizes[one], kind="stable")], two[np.argsort(sizes[two], kind="stable")]
+            length, x = sizes[two], 0
+            while x < len(one):
+                left = one[x : x + max(1, min(256, CHUNK // max(1, len(two))))]
+                low = x if same else np.searchsorted(length, least * sizes[left[0]] - 1e-6)
+                most = sizes[left[-1]] / least + 1e-6
+                right = two[low : len(two) if most >= sk.LONG else np.searchsorted(length, most, "right")]
+                i, j = np.repeat(np.arange(len(left)), len(right)), np.tile(np.arange(len(right)), len(left))
+                if same:
+                    i, j = i[j > i], j[j > i]
+                yield emit(left[i], right[j])
+                x += len(left)
 
         def stars(rest, bucket):
             """A star takes in what may be similar to its centre; those of one star meet those of no star or a later one
@@ -129,16 +143,15 @@ def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star
             while len(rest) > STAR:
                 centre, others = rest[0], rest[1:]
                 hit = near(centre, others)
-                mine, rest = others[hit & (ids[others] != ids[centre])], others[~hit]
+                mine, rest = others[hit & (tags[others] != tags[centre])], others[~hit]
                 if len(mine):
                     name = int(sk.mix(np.array([bucket], dtype=np.uint64) ^ sk.mix(np.array([level + 1], dtype=np.uint64)))[0] >> np.uint64(1))
-                    lo, hi = np.minimum(ids[centre], ids[mine]), np.maximum(ids[centre], ids[mine])
-                    yield np.stack([lo, hi], axis=1), name
+                    yield name, tags[centre], mine
                     for found in grid(mine, rest):
-                        yield found, None
+                        yield None, found, None
                 level += 1
             i, j = np.triu_indices(len(rest), 1)
-            yield emit(rest[i], rest[j]), None
+            yield None, emit(rest[i], rest[j]), None
 
         starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         counts = np.diff(np.append(starts, len(hashes)))
@@ -149,42 +162,57 @@ def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star
                 step = max(1, CHUNK // len(i))
                 for s in range(0, len(at), step):
                     members = at[s : s + step, None] + np.arange(m)
-                    yield emit(members[:, i].ravel(), members[:, j].ravel()), None
+                    yield None, emit(members[:, i].ravel(), members[:, j].ravel()), None
                 continue
             for s in at:  # few: a bucket of more than STAR classes
                 members = s + np.argsort(tags[s : s + m], kind="stable")
-                if star:
-                    yield from stars(members, (part << 32) | int(hashes[s]))
-                    continue
-                one, two = (members[tags[members] & 1 == 1], members[tags[members] & 2 == 2]) if cross else (members, members)
-                for found in grid(one, two):
-                    yield found, None
+                bucket = (part << sk.LOW) | int(hashes[s])
+                if limit is not None and m > limit:
+                    k = len(members)
+                    yield batch(tags[members], pa.nulls(k, pa.int64()), pa.array(np.full(k, bucket)), pa.array(flags[members].astype(np.int64)))
+                elif star:
+                    for name, what, mine in stars(members, bucket):
+                        if name is None:
+                            yield None, what, None
+                            continue
+                        lo, hi = np.minimum(what, tags[mine]), np.maximum(what, tags[mine])
+                        mark = (sizes[mine] << 32) | maps[mine].astype(np.int64)
+                        # the centre has the smallest tag, so it is a
+                        yield batch(lo, pa.array(hi, pa.int64()), pa.array(np.full(len(mine), name)), pa.array(mark))
+                else:
+                    sides = (members[flags[members] & 1 == 1], members[flags[members] & 2 == 2]) if cross else (members, members, True)
+                    for found in grid(*sides):
+                        yield None, found, None
 
     def run(batches):
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        held: dict[int, list[bytes]] = {}
         for b in batches:
-            for p, blob, marks in zip(b.column("part").to_pylist(), b.column("blob"), b.column("marks"), strict=True):
-                held.setdefault(p, []).append((blob.as_buffer().to_pybytes(), marks.as_buffer().to_pybytes()))
+            for p, blob in zip(b.column("part").to_pylist(), b.column("blob"), strict=True):
+                held.setdefault(p, []).append(blob.as_buffer().to_pybytes())
+
+        def plain(waiting):
+            both = np.unique(np.concatenate(waiting), axis=0)
+            none = pa.nulls(len(both), pa.int64())
+            return batch(both[:, 0], pa.array(both[:, 1], pa.int64()), none, none)
+
         for p in list(held):
-            hashes, tags, maps, sizes = (
-                np.concatenate(x) for x in zip(*((*sk.unpack(blob), *sk.unpack_marks(marks)) for blob, marks in held.pop(p)), strict=True)
-            )
+            entries = (np.concatenate(x) for x in zip(*(sk.unpack(blob) for blob in held.pop(p)), strict=True))
             waiting, count = [], 0
-            for pairs, name in runs(p, hashes, tags, maps, sizes):
-                if name is not None:
-                    yield batch(pairs[:, 0], pairs[:, 1], pa.array(np.full(len(pairs), name), pa.int64()))
-                elif len(pairs):
+            for found in runs(p, *entries):
+                if isinstance(found, pa.RecordBatch):
+                    yield found
+                    continue
+                pairs = found[1]
+                if len(pairs):
                     waiting.append(pairs)
                     count += len(pairs)
                 if count >= CHUNK:
-                    both = np.unique(np.concatenate(waiting), axis=0)
-                    yield batch(both[:, 0], both[:, 1], pa.nulls(len(both), pa.int64()))
+                    yield plain(waiting)
                     waiting, count = [], 0
             if count:
-                both = np.unique(np.concatenate(waiting), axis=0)
-                yield batch(both[:, 0], both[:, 1], pa.nulls(len(both), pa.int64()))
+                yield plain(waiting)
 
-    return entries.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint, bucket bigint")
+    return entries.repartitionById(parts, "part").mapInArrow(run, "a bigint, b bigint, bucket bigint, mark bigint")
 
 
 def jaccard_at_least(wa: Column, wb: Column, least: float) -> Column:
@@ -194,86 +222,131 @@ def jaccard_at_least(wa: Column, wb: Column, least: float) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``pairs`` (a, b, ...) with ``ok``: whether the word sets of the two texts meet the measure exactly. Only texts
-    named in a pair are shuffled on; a key that stands in several rows is taken once."""
-    named = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    named in a pair are shuffled on."""
+    named = cut(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct())
     if named.count() <= BROADCAST:
         named = F.broadcast(named)
-    sets = cut(texts.join(named, "id", "left_semi").dropDuplicates(["id"]).select("id", F.split("w", " ").alias("words")))
-    one = sets.withColumnsRenamed({"id": "a", "words": "wa"})
-    two = sets.withColumnsRenamed({"id": "b", "words": "wb"})
+    sets = written(texts.join(named, "rid", "left_semi").select("rid", "w"), "sets").select("rid", F.split("w", " ").alias("words"))
+    one = sets.withColumnsRenamed({"rid": "a", "words": "wa"})
+    two = sets.withColumnsRenamed({"rid": "b", "words": "wb"})
     return pairs.join(one, "a").join(two, "b").withColumn("ok", jaccard_at_least(F.col("wa"), F.col("wb"), least)).drop("wa", "wb")
 
 
+def _candidates(classes: DataFrame, n: int, texts: DataFrame, least: float, rows: int, n_bands: int, method: str, cross: bool, star: bool) -> DataFrame:
+    """Candidates of (tag, flag, w) ``classes``, ``n`` at most; crowded buckets are banded a second time."""
+
+    def hashed(df: DataFrame, parent: Column) -> DataFrame:
+        return df.select("tag", F.col("flag").cast("int").alias("flag"), parent.alias("parent"), F.transform(F.split("w", " "), lambda x: F.xxhash64(x)).alias("hashes"))
+
+    parts = max(1, -(-n * n_bands // PART))
+    entries = band_entries(hashed(classes, F.lit(0).cast("bigint")), rows, n_bands, method, parts)
+    found = written(bucket_pairs(entries, parts, least, cross, star, LIMIT), "pairs")
+    crowded = found.where("b is null")
+    again = crowded.count()
+    if not again:
+        return found
+    members = crowded.select(F.col("a").alias("rid"), F.col("bucket").alias("parent"), F.col("mark").alias("flag")).join(texts.select("rid", "w"), "rid")
+    parts = max(1, -(-again * n_bands // PART))
+    entries = band_entries(hashed(members.withColumnRenamed("rid", "tag"), F.col("parent")), rows, n_bands, method, parts, salt=5)
+    return found.where("b is not null").unionByName(written(bucket_pairs(entries, parts, least, cross, star, None), "pairs"))
+
+
 def similar_classes(
     texts: DataFrame, *, method: str, least: float, rows: int, n_bands: int, cross: bool = False, star: bool = False
 ) -> DataFrame:
-    """Pairs (a, b) of class representatives whose word sets reach ``least``. ``cross`` limits pairs to those of flags
-    1 and 2; ``star`` compares large buckets over the centres of stars where only links are wanted."""
-    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    classes = (
-        texts.groupBy("w")
-        .agg(F.min("id").alias("id"), F.bit_or("flag").alias("flag"))
-        .select(
-            F.shiftleft("id", 2).bitwiseOR(F.col("flag").cast("bigint")).alias("tag"),
-            F.transform(F.split("w", " "), lambda x: F.xxhash64(x)).alias("hashes"),
-        )
-    )
-    found = bucket_pairs(band_entries(classes, rows, n_bands, method, parts), parts, least, cross, star)
+    """Pairs (a, b) of class representatives, named by ``rid``, whose word sets reach ``least``. ``cross`` limits pairs
+    to those of flags 1 and 2; ``star`` compares large buckets over the centres of stars where only links are wanted."""
+    classes = texts.groupBy("w").agg(F.min("rid").alias("tag"), F.bit_or("flag").alias("flag"))
+    found = _candidates(classes, texts.count(), texts, least, rows, n_bands, method, cross, star)
     if not star:
         pairs = cut(found.select("a", "b").distinct())
         return verified(pairs, texts, least).where("ok").select("a", "b")
-    found = cut(found.groupBy("a", "b").agg(F.collect_set("bucket").alias("buckets")))
-    checked = cut(verified(found, texts, least))
+    marked = F.collect_set(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "mark"))).alias("buckets")
+    checked = cut(verified(cut(found.groupBy("a", "b").agg(marked)), texts, least))
     links = checked.where("ok").select("a", "b")
-    stars = checked.where("size(buckets) > 0").select("a", "b", "ok", F.explode("buckets").alias("bucket"))
+    stars = checked.where("size(buckets) > 0").select("a", "b", "ok", F.explode("buckets").alias("s")).select("a", "b", "ok", "s.*")
     if stars.where("not ok").isEmpty():
         return links
     # members that aren't linked to their star's centre meet the whole star
-    lone = stars.where("not ok").select("bucket", F.col("b").alias("x"))
-    members = stars.select("bucket", F.col("b").alias("y"))
-    rest = lone.join(members, "bucket").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    lone = stars.where("not ok").select("bucket", F.col("b").alias("x"), F.col("mark").alias("mx"))
+    members = stars.select("bucket", F.col("b").alias("y"), F.col("mark").alias("my"))
+    sx, sy = F.shiftright("mx", 32), F.shiftright("my", 32)
+    bits = F.bit_count(F.col("mx").bitwiseXOR(F.col("my")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    may = F.greatest(bits, F.abs(sx - sy)) <= (1 - least) / (1 + least) * (sx + sy) + 1e-6
+    rest = lone.join(members, "bucket").where(F.col("x") != F.col("y")).where(may | (F.greatest(sx, sy) >= sk.LONG))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return links.unionByName(verified(cut(rest), texts, least).where("ok").select("a", "b")).distinct()
 
 
 def row_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, flag, k1, k2) and classes (k1, k2, rep, last, flags, n) of all texts that take part. A key delivered
-    several times has several rows, so ``n`` is only a weight."""
-    rows = texts.select("id", "flag", F.xxhash64("w").alias("k1"), F.xxhash64("w", F.lit(7)).alias("k2"))
-    return rows, rows.groupBy("k1", "k2").agg(
-        F.min("id").alias("rep"), F.max("id").alias("last"), F.bit_or("flag").alias("flags"), F.count(F.lit(1)).alias("n")
+    """Rows (key, flag, k1, k2) and classes (k1, k2, rep, first, last, flags, n) of all texts that take part. A key
+    delivered several times has several rows, so ``n`` is only a weight."""
+    rows = texts.select("rid", "key", "flag", F.xxhash64("w").alias("k1"), F.xxhash64("w", F.lit(7)).alias("k2"))
+    return rows.drop("rid"), rows.groupBy("k1", "k2").agg(
+        F.min("rid").alias("rep"), F.min("key").alias("first"), F.max("key").alias("last"), F.bit_or("flag").alias("flags"), F.count(F.lit(1)).alias("n")
     )
 
 
-def cross_split_pairs(
+def cross_split_classes(
     df: DataFrame, key: str, text: str, split: str, train: str = "train", *, least: float = 0.7, min_words: int = 10,
-    rows: int = 5, n_bands: int = 40,
-) -> DataFrame:
-    """Pairs (row_id_a < row_id_b) of a train row and a row of another split with similar texts, by minwise hashing.
-
-    Null, empty and short texts, and rows without a split, take no part. A key delivered several times counts once.
-    Equal word sets are pairs too. All row pairs come out, so copies multiply; use ``similar_classes`` for one row per
-    pair of classes.
+    rows: int = 4, n_bands: int = 28,
+) -> tuple[DataFrame, DataFrame]:
+    """The overlaps of train with other splits without expanding copies: *members* (class_id, key, side), one row per
+    row of an overlapping class, side 1 being train; and *links* (a, b), each class ``a`` with train rows beside each
+    class ``b`` with others that is similar or the same. ``class_id`` is the smallest key of a class.
+
+    Null, empty and short texts, null keys, and rows without a split take no part. A key delivered several times counts
+    once. Minwise hashing: a pair at just 0.7 is missed with a probability of (1 - 0.7^4)^28 = 0.0005.
     """
     side = F.when(F.col(f"`{split}`") == train, 1).when(F.col(f"`{split}`").isNotNull(), 2)
     texts = word_table(df.where(side.isNotNull()), key, text, min_words, side)
     found = cut(similar_classes(texts, method="minwise", least=least, rows=rows, n_bands=n_bands, cross=True))
     members, classes = row_classes(texts)
     wanted = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).distinct().withColumn("linked", F.lit(True))
-    classes = cut(classes.join(wanted, "rep", "left").where("flags = 3 or linked").drop("last"))
-    placed = cut(salted_join(members, classes, ["k1", "k2"], "n", "id").select("rep", "id", "flag", "flags").distinct())
-    own = placed.where("flags = 3").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own)
-    left = placed.where("flag = 1").select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    right = placed.where("flag = 2").select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    return both.join(left, "a").join(right, "b").select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
+    classes = cut(classes.join(wanted, "rep", "left").where("flags = 3 or linked").withColumnRenamed("first", "class_id"))
+    placed = cut(salted_join(members, classes.select("k1", "k2", "class_id", "n"), ["k1", "k2"], "n", "key").select("class_id", "key", F.col("flag").alias("side")).distinct())
+    ends = classes.select("rep", "class_id", "flags")
+    named = found.join(ends.toDF("a", "ca", "fa"), "a").join(ends.toDF("b", "cb", "fb"), "b")
+    there = named.where("fa & 1 = 1 and fb & 2 = 2").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    back = named.where("fb & 1 = 1 and fa & 2 = 2").select(F.col("cb").alias("a"), F.col("ca").alias("b"))
+    own = classes.where("flags = 3").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    return placed, cut(there.unionByName(back).unionByName(own))
+
+
+def cross_split_links(df: DataFrame, key: str, text: str, split: str, train: str = "train", **how) -> DataFrame:
+    """(key, class_id, n_links): each row that overlaps with the other side, its class and its number of partners."""
+    members, links = cross_split_classes(df, key, text, split, train, **how)
+    sizes = members.groupBy("class_id", "side").agg(F.count(F.lit(1)).alias("n"))
+    train_n, other_n = (sizes.where(F.col("side") == s).select(F.col("class_id").alias(c), "n") for s, c in ((1, "a"), (2, "b")))
+    links_of = (
+        links.join(other_n, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n_links")).withColumn("side", F.lit(1))
+        .unionByName(links.join(train_n, "a").groupBy(F.col("b").alias("class_id")).agg(F.sum("n").alias("n_links")).withColumn("side", F.lit(2)))
+    )
+    facts = cut(links_of.join(sizes, ["class_id", "side"]))
+    return salted_join(members, facts, ["class_id", "side"], "n", "key").select("key", "class_id", "n_links")
+
+
+def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, train: str = "train", **how) -> DataFrame:
+    """Pairs (row_id_a < row_id_b) of a train row and a row of another split with similar or equal word sets, as
+    ``cross_split_classes`` finds them. All row pairs come out, so copies multiply; use the classes where they are
+    many. Hot classes are joined in parts on either side."""
+    members, links = cross_split_classes(df, key, text, split, train, **how)
+    left = members.where("side = 1").select(F.col("class_id").alias("a"), F.col("key").alias("x"))
+    right = members.where("side = 2").select(F.col("class_id").alias("b"), F.col("key").alias("y"))
+    sizes = cut(left.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    asked = cut(links.join(sizes, "a").groupBy("b").agg(F.sum("n").alias("n")))  # rows that will look for b
+    half = join_parts(left, links, ["a"], hot_keys(sizes, "a", "n"), "x")
+    both = join_parts(half, right, ["b"], hot_keys(asked, "b", "n"), "x")
+    return both.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every end of a link; root is the smallest id connected with it. Alternating large-star and
-    small-star steps (Kiveris et al. 2014), each cut by a checkpoint; about log(diameter) rounds."""
+    small-star steps (Kiveris et al. 2014), each cut by a checkpoint; about log(diameter) rounds. The centre of a giant
+    component is a hot key and joined in parts."""
 
     def least_of(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
+        return cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
 
     def state(edges: DataFrame):
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -283,9 +356,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least_of(both).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both, low, ["u"], "n", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large)
         low = least_of(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = salted_join(large, low, ["u"], "n", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct())
         now = state(edges)
         if now == before:
@@ -296,16 +370,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(
-    df: DataFrame, key: str, text: str, *, least: float = 0.7, min_words: int = 10, rows: int = 5, n_bands: int = 40,
+    df: DataFrame, key: str, text: str, *, least: float = 0.7, min_words: int = 10, rows: int = 4, n_bands: int = 28,
 ) -> DataFrame:
     """(id, group_id, class_id) for each row in a group of at least two rows. Groups are everything linked by similar
     texts, directly or through others; ``group_id`` is the smallest key of the group, ``class_id`` that of the rows
-    with the same word set. Sketches are fast similarity sketches. Null, empty and short texts are in no group; a key
-    delivered several times counts once."""
+    with the same word set. Sketches are fast similarity sketches. Null, empty and short texts and null keys are in no
+    group; a key delivered several times counts once."""
     texts = word_table(df, key, text, min_words)
     links = similar_classes(texts, method="fast", least=least, rows=rows, n_bands=n_bands, star=True)
     roots = components(links)
     members, classes = row_classes(texts)
-    grouped = cut(classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").where("root is not null or last > rep"))
-    placed = salted_join(members, grouped, ["k1", "k2"], "n", "id")
-    return placed.select("id", F.coalesce("root", "rep").alias("group_id"), F.col("rep").alias("class_id")).distinct()
+    grouped = cut(classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").where("root is not null or last > first").withColumn("root", F.coalesce("root", "rep")))
+    heads = grouped.groupBy("root").agg(F.min("first").alias("group_id"))
+    grouped = cut(grouped.join(heads, "root").select("k1", "k2", "n", "group_id", F.col("first").alias("class_id")))
+    placed = salted_join(members, grouped, ["k1", "k2"], "n", "key")
+    return placed.select(F.col("key").alias("id"), "group_id", "class_id").distinct()

@@ -17,15 +17,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.cross_split_pairs(table(spark, d, "split_rows"), "row_id", "note", "dataset")
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every overlapping row with its class of equal word sets and its number of partners; copies aren't expanded."""
+    return nd.cross_split_links(table(spark, d, "split_rows"), "row_id", "note", "dataset").withColumnRenamed("key", "row_id")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping rows and pairs per evaluation split and source."""
-    pairs = p4_found(spark, d)
     rows = table(spark, d, "split_rows").where("dataset <> 'train'").select("row_id", "dataset", "dataset_key").dropDuplicates(["row_id"])
-    ends = pairs.select(F.explode(F.array("row_id_a", "row_id_b")).alias("row_id"))
-    return (
-        ends.groupBy("row_id").agg(F.count(F.lit(1)).alias("pairs")).join(rows, "row_id")
-        .groupBy("dataset", "dataset_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("pairs").alias("pairs"))
-    )
+    return p4_links(spark, d).join(rows, "row_id").groupBy("dataset", "dataset_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_links").alias("pairs"))
 
 
 # --- 5: most similar vectors -----------------------------------------------------------------------------------
@@ -112,7 +112,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_report": p4_report,
+    "p4_found": p4_found, "p4_links": p4_links, "p4_report": p4_report,
     "p5_found": p5_found, "p5_topk": p5_topk, "p5_outlier_score": p5_outlier_score,
     "p6_found": p6_found, "p6_groups": p6_groups,
     "p8_containers": p8_containers, "p8_report": p8_report,
@@ -146,6 +146,10 @@ SQL = {
     "p4_report": _P4
     + """, q AS (SELECT unnest([i, j]) AS row_id FROM p), c AS (SELECT row_id, count(*) AS n FROM q GROUP BY 1)
 SELECT e.dataset, e.dataset_key, count(*) AS rows, CAST(sum(n) AS bigint) AS pairs FROM c JOIN e ON e.row_id = c.row_id WHERE e.dataset <> 'train' GROUP BY 1, 2""",
+    "p4_links": _P4
+    + """, q AS (SELECT unnest([i, j]) AS row_id FROM p), c AS (SELECT row_id, count(*) AS n FROM q GROUP BY 1),
+k AS (SELECT array_to_string(list_sort(w), ' ') AS t, min(row_id) AS class_id FROM e WHERE dataset IS NOT NULL GROUP BY 1)
+SELECT c.row_id, k.class_id, c.n AS n_links FROM c JOIN e ON e.row_id = c.row_id JOIN k ON k.t = array_to_string(list_sort(e.w), ' ')""",
     "p5_found": _P5.format(more="") + "SELECT x.a AS vec_id_a, x.b AS vec_id_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.c >= 0.9",
     "p5_topk": _P5.format(more="WHERE a.vec_id % 100 = 0") + "SELECT a AS query_id, CAST(r AS int) AS rank, b AS id, round(c, 6) AS cos FROM t",
     "p5_outlier_score": _P5.format(more="WHERE a.vec_id % 100 = 0")

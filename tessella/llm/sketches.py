@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 CACHED = 1024
 LONG = 65_535  # sizes from which they are not told apart
+LOW = 40  # bits of a band hash that tell buckets of a part apart
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)  # fixed values: multipliers of the splitmix64 finaliser
 
@@ -97,30 +99,41 @@ def bands(sketch: np.ndarray, rows: int, salt: int) -> np.ndarray:
     return acc
 
 
-def pack(hashes: np.ndarray, ids: np.ndarray) -> bytes:
-    """Bucket entries as byte planes: sorted hashes and small ids then compress well in a shuffle."""
-    return hashes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes()
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(blob, dtype=np.uint8)
-    n = len(raw) // 12
-    hashes = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
-    ids = np.ascontiguousarray(raw[4 * n :].reshape(8, n).T).view("<i8").ravel()
-    return hashes, ids
+def _from_planes(raw: np.ndarray, n: int, width: int, dtype: str) -> np.ndarray:
+    out = np.zeros((n, np.dtype(dtype).itemsize), dtype=np.uint8)
+    out[:, :width] = raw[: n * width].reshape(width, n).T
+    return out.view(dtype).ravel()
 
 
-def parity(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit map per set: each element turns over one bit, so two maps differ in at most as many bits as the sets do
-    in elements. No set may be empty."""
-    return np.bitwise_xor.reduceat(U(1) << (mix(values) & U(63)), starts) if len(starts) else np.array([], dtype=U)
+#: Bytes of a packed entry: 40-bit hash (as the step from the one before), tag, flag, parity map, size.
+_WIDTHS = (5, 8, 1, 4, 2)
+
 
+def pack(hashes: np.ndarray, tags: np.ndarray, flags: np.ndarray, maps: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Entries of one part in order of their 40-bit hashes, as compressed byte planes."""
+    steps = np.diff(hashes.astype("<u8"), prepend=np.uint64(0))
+    columns = (steps, tags.astype("<i8"), flags.astype("u1"), maps.astype("<u4"), sizes.astype("<u2"))
+    raw = b"".join(_planes(c, w) for c, w in zip(columns, _WIDTHS, strict=True))
+    return len(hashes).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-def pack_marks(maps: np.ndarray, sizes: np.ndarray) -> bytes:
-    return maps.astype("<u8").tobytes() + sizes.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
 
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * sum(_WIDTHS), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for w, dtype in zip(_WIDTHS, ("<u8", "<i8", "u1", "<u4", "<u2"), strict=True):
+        out.append(_from_planes(raw[at:], n, w, dtype))
+        at += n * w
+    hashes, tags, flags, maps, sizes = out
+    return np.cumsum(hashes, dtype=np.uint64), tags, flags, maps, sizes.astype(np.int64)
 
-def unpack_marks(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 10
-    sizes = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 2 * n, 8 * n).reshape(2, n).T).view("<u2").ravel()
-    return np.frombuffer(blob, "<u8", n), sizes.astype(np.int64)
+
+def parity(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """32-bit map per set: each element turns over one bit, so two maps differ in at most as many bits as the sets do
+    in elements. No set may be empty."""
+    bits = (U(1) << (mix(values) & U(31))).astype(np.uint32)
+    return np.bitwise_xor.reduceat(bits, starts) if len(starts) else np.array([], dtype=np.uint32)

@@ -31,9 +31,12 @@ def test_fast_similarity_fills_every_bin_of_tiny_sets():
 
 
 def test_pack_round_trip():
-    h, ids = np.array([1, 2, 2**32 - 1], np.uint64), np.array([0, -5, 2**62], np.int64)
-    a, b = sk.unpack(sk.pack(h, ids))
-    assert (a == h).all() and (b == ids).all()
+    h = np.sort(np.array([1, 2, 2, 2**40 - 1], np.uint64))
+    ids, flags = np.array([0, 5, 2**62, 7], np.int64), np.array([0, 1, 2, 3], np.uint8)
+    maps, sizes = np.array([1, 2**32 - 1, 0, 9], np.uint32), np.array([30, sk.LONG, 1, 300])
+    got = sk.unpack(sk.pack(h, ids, flags, maps, sizes))
+    for x, y in zip(got, (h, ids, flags, maps, sizes), strict=True):
+        assert x.tolist() == y.tolist()
 
 
 def notes(seed=5, n=400):
@@ -80,9 +83,10 @@ def test_cross_split_pairs(frame, rows):
     assert len(got) == len(set(got)) and set(got) == brute(rows, True)
 
 
-@pytest.mark.parametrize("star", [64, 2])
-def test_groups(frame, rows, star, monkeypatch):
+@pytest.mark.parametrize(("star", "limit"), [(64, nd.LIMIT), (2, nd.LIMIT), (2, 3)])
+def test_groups(frame, rows, star, limit, monkeypatch):
     monkeypatch.setattr(nd, "STAR", star)
+    monkeypatch.setattr(nd, "LIMIT", limit)
     root = {}
 
     def find(x):
@@ -98,6 +102,63 @@ def test_groups(frame, rows, star, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("how", ["long", "string"])
+def test_keys_of_any_size_and_type(spark, rows, how):
+    """No bit of a key is lost, and keys need not be numbers."""
+    big = [(2**61 + i if how == "long" else f"k{i:05d}", s, t) for i, s, t in rows]
+    df = spark.createDataFrame(big, f"row_id {how}, dataset string, note string")
+    got = {tuple(r) for r in nd.cross_split_pairs(df, "row_id", "note", "dataset").collect()}
+    assert got == {(big_of(a, how), big_of(b, how)) for a, b in brute(rows, True)}
+
+
+def big_of(i, how):
+    return 2**61 + i if how == "long" else f"k{i:05d}"
+
+
+def test_parts_and_crowded_buckets(frame, rows, monkeypatch):
+    """Many small parts, and buckets that are banded again, change nothing."""
+    monkeypatch.setattr(nd, "PART", 500)
+    monkeypatch.setattr(nd, "LIMIT", 2)
+    monkeypatch.setattr(nd, "STAR", 2)
+    monkeypatch.setattr(nd, "BLOCK", 100)
+    got = [tuple(r) for r in nd.cross_split_pairs(frame, "row_id", "note", "dataset").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, True)
+
+
+def test_links_of_rows(frame, rows):
+    """One row per row with a partner: its class and the number of its partners, copies included."""
+    want = {}
+    for a, b in brute(rows, True):
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    got = nd.cross_split_links(frame, "row_id", "note", "dataset").collect()
+    assert len(got) == len(want) and {r.key: r.n_links for r in got} == want
+    assert all(r.class_id <= r.key for r in got) and {r.class_id for r in got if r.key >= 9000} == {3}
+
+
+def test_hot_classes_are_joined_in_parts(frame, rows, monkeypatch):
+    from tessella.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    got = [tuple(r) for r in nd.cross_split_pairs(frame, "row_id", "note", "dataset").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, True)
+    assert nd.near_duplicate_groups(frame, "row_id", "note").where("group_id = 3").count() >= 31
+
+
+def test_shared_frequent_words_and_few_rare_ones(spark):
+    """Pairs that share 24 frequent and 3 rare words, one side holding 5 rare words more: 27 of 32."""
+    often = [f"often{i}" for i in range(24)]
+    rows = []
+    for i in range(20):
+        rare = [f"r{i}x{j}" for j in range(3)]
+        rows += [(i, "train", " ".join(often + rare)), (100 + i, "val", " ".join(often + rare + [f"m{i}x{j}" for j in range(5)]))]
+    rng = random.Random(1)
+    rows += [(1000 + i, "train", " ".join(rng.sample(often, 18) + [f"z{i}y{j}" for j in range(12)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, dataset string, note string")
+    got = {tuple(r) for r in nd.cross_split_pairs(df, "row_id", "note", "dataset").collect()}
+    want = brute(rows, True)
+    assert {(i, 100 + i) for i in range(20)} <= got <= want and len(got) >= 0.995 * len(want)
+
+
 def test_empty(spark, frame):
     assert nd.cross_split_pairs(frame.limit(0), "row_id", "note", "dataset").count() == 0
     assert nd.near_duplicate_groups(frame.where("row_id = 8000"), "row_id", "note").count() == 0
@@ -144,5 +205,3 @@ def test_parity_maps_bound_the_difference():
         a, b = rng.choice(pool, 30, replace=False), rng.choice(pool, 25, replace=False)
         maps = sk.parity(np.concatenate([a, b]), np.array([0, 30]))
         assert np.bitwise_count(maps[0] ^ maps[1]) <= len(set(a.tolist()) ^ set(b.tolist()))
-    got = sk.unpack_marks(sk.pack_marks(maps, np.array([30, sk.LONG])))
-    assert (got[0] == maps).all() and got[1].tolist() == [30, sk.LONG]
