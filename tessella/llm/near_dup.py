@@ -6,7 +6,7 @@ Stages, all distributed:
    rows. A text copied into a third of all rows is one class from here on.
 2. *Bands.* Every class is sketched over all its words, so that no kind of pair is out of reach: a pair of similarity s
    shares a band with probability 1 - (1 - s^rows)^bands. Band hashes travel as packed planes per shuffle part, never as
-   rows, with the size of the set and a 32-bit parity map of its words. A part holds about ``PART`` entries however
+   rows, with the size of the set and a 56-bit parity map of its words. A part holds about ``PART`` entries however
    large the data are, and is one task; within it, buckets are told apart by 40 more bits.
 3. *Candidates.* Each part sorts its entries and pairs equal hashes. Words that stand in most texts make most of these
    meet by chance, so a pair goes on only if sizes and parity maps allow the measure: maps differ in no more bits than
@@ -95,14 +95,14 @@ def band_entries(classes: DataFrame, rows: int, n_bands: int, method: str, parts
 
 
 def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star: bool, limit: int | None) -> DataFrame:
-    """Candidate pairs (a, b, bucket, mark) with a < b that may reach ``least``. ``cross``: one must have flag 1 and the
-    other flag 2. ``bucket`` is set for pairs of a star and names it, ``mark`` then holds size and parity map of the
-    member that isn't its centre. Members of buckets beyond ``limit`` come out with null ``b``, the bucket and, as mark,
-    their flag."""
+    """Candidate pairs (a, b, bucket, mark, size) with a < b that may reach ``least``. ``cross``: one must have flag 1 and the
+    other flag 2. ``bucket`` is set for pairs of a star and names it, ``mark`` and ``size`` then are parity
+    map and size of the member that isn't its centre. Members of buckets beyond ``limit`` come out with null ``b``, the
+    bucket and, as mark, their flag."""
     share = (1 - least) / (1 + least)
 
-    def batch(a, b, bucket, mark):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, bucket, mark], names=["a", "b", "bucket", "mark"])
+    def batch(a, b, bucket, mark, size):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, bucket, mark, size], names=["a", "b", "bucket", "mark", "size"])
 
     def runs(part, hashes, tags, flags, maps, sizes):
         order = np.argsort(hashes, kind="stable")
@@ -169,16 +169,15 @@ def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star
                 bucket = (part << sk.LOW) | int(hashes[s])
                 if limit is not None and m > limit:
                     k = len(members)
-                    yield batch(tags[members], pa.nulls(k, pa.int64()), pa.array(np.full(k, bucket)), pa.array(flags[members].astype(np.int64)))
+                    yield batch(tags[members], pa.nulls(k, pa.int64()), pa.array(np.full(k, bucket)), pa.array(flags[members].astype(np.int64)), pa.array(sizes[members]))
                 elif star:
                     for name, what, mine in stars(members, bucket):
                         if name is None:
                             yield None, what, None
                             continue
                         lo, hi = np.minimum(what, tags[mine]), np.maximum(what, tags[mine])
-                        mark = (sizes[mine] << 32) | maps[mine].astype(np.int64)
                         # the centre has the smallest tag, so it is a
-                        yield batch(lo, pa.array(hi, pa.int64()), pa.array(np.full(len(mine), name)), pa.array(mark))
+                        yield batch(lo, pa.array(hi, pa.int64()), pa.array(np.full(len(mine), name)), pa.array(maps[mine].astype(np.int64)), pa.array(sizes[mine]))
                 else:
                     sides = (members[flags[members] & 1 == 1], members[flags[members] & 2 == 2]) if cross else (members, members, True)
                     for found in grid(*sides):
@@ -193,7 +192,7 @@ def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star
         def plain(waiting):
             both = np.unique(np.concatenate(waiting), axis=0)
             none = pa.nulls(len(both), pa.int64())
-            return batch(both[:, 0], pa.array(both[:, 1], pa.int64()), none, none)
+            return batch(both[:, 0], pa.array(both[:, 1], pa.int64()), none, none, none)
 
         for p in list(held):
             entries = (np.concatenate(x) for x in zip(*(sk.unpack(blob) for blob in held.pop(p)), strict=True))
@@ -212,7 +211,7 @@ def bucket_pairs(entries: DataFrame, parts: int, least: float, cross: bool, star
             if count:
                 yield plain(waiting)
 
-    return entries.repartitionById(parts, "part").mapInArrow(run, "a bigint, b bigint, bucket bigint, mark bigint")
+    return entries.repartitionById(parts, "part").mapInArrow(run, "a bigint, b bigint, bucket bigint, mark bigint, size bigint")
 
 
 def jaccard_at_least(wa: Column, wb: Column, least: float) -> Column:
@@ -261,17 +260,16 @@ def similar_classes(
     if not star:
         pairs = cut(found.select("a", "b").distinct())
         return verified(pairs, texts, least).where("ok").select("a", "b")
-    marked = F.collect_set(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "mark"))).alias("buckets")
+    marked = F.collect_set(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "mark", "size"))).alias("buckets")
     checked = cut(verified(cut(found.groupBy("a", "b").agg(marked)), texts, least))
     links = checked.where("ok").select("a", "b")
     stars = checked.where("size(buckets) > 0").select("a", "b", "ok", F.explode("buckets").alias("s")).select("a", "b", "ok", "s.*")
     if stars.where("not ok").isEmpty():
         return links
     # members that aren't linked to their star's centre meet the whole star
-    lone = stars.where("not ok").select("bucket", F.col("b").alias("x"), F.col("mark").alias("mx"))
-    members = stars.select("bucket", F.col("b").alias("y"), F.col("mark").alias("my"))
-    sx, sy = F.shiftright("mx", 32), F.shiftright("my", 32)
-    bits = F.bit_count(F.col("mx").bitwiseXOR(F.col("my")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    lone = stars.where("not ok").select("bucket", F.col("b").alias("x"), F.col("mark").alias("mx"), F.col("size").alias("sx"))
+    members = stars.select("bucket", F.col("b").alias("y"), F.col("mark").alias("my"), F.col("size").alias("sy"))
+    sx, sy, bits = F.col("sx"), F.col("sy"), F.bit_count(F.col("mx").bitwiseXOR(F.col("my")))
     may = F.greatest(bits, F.abs(sx - sy)) <= (1 - least) / (1 + least) * (sx + sy) + 1e-6
     rest = lone.join(members, "bucket").where(F.col("x") != F.col("y")).where(may | (F.greatest(sx, sy) >= sk.LONG))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -8,6 +8,7 @@ import pyarrow as pa
 U = np.uint64
 CACHED = 1024
 LONG = 65_535  # sizes from which they are not told apart
+MAP = 56  # bits of a parity map: fewer let more pairs through by chance, more take more room
 LOW = 40  # bits of a band hash that tell buckets of a part apart
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)  # fixed values: multipliers of the splitmix64 finaliser
@@ -110,13 +111,13 @@ def _from_planes(raw: np.ndarray, n: int, width: int, dtype: str) -> np.ndarray:
 
 
 #: Bytes of a packed entry: 40-bit hash (as the step from the one before), tag, flag, parity map, size.
-_WIDTHS = (5, 8, 1, 4, 2)
+_WIDTHS = (5, 8, 1, MAP // 8, 2)
 
 
 def pack(hashes: np.ndarray, tags: np.ndarray, flags: np.ndarray, maps: np.ndarray, sizes: np.ndarray) -> bytes:
     """Entries of one part in order of their 40-bit hashes, as compressed byte planes."""
     steps = np.diff(hashes.astype("<u8"), prepend=np.uint64(0))
-    columns = (steps, tags.astype("<i8"), flags.astype("u1"), maps.astype("<u4"), sizes.astype("<u2"))
+    columns = (steps, tags.astype("<i8"), flags.astype("u1"), maps.astype("<u8"), sizes.astype("<u2"))
     raw = b"".join(_planes(c, w) for c, w in zip(columns, _WIDTHS, strict=True))
     return len(hashes).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
@@ -125,7 +126,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     n = int.from_bytes(blob[:8], "little")
     raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * sum(_WIDTHS), codec="zstd"), np.uint8)
     out, at = [], 0
-    for w, dtype in zip(_WIDTHS, ("<u8", "<i8", "u1", "<u4", "<u2"), strict=True):
+    for w, dtype in zip(_WIDTHS, ("<u8", "<i8", "u1", "<u8", "<u2"), strict=True):
         out.append(_from_planes(raw[at:], n, w, dtype))
         at += n * w
     hashes, tags, flags, maps, sizes = out
@@ -133,7 +134,6 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 
 def parity(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """32-bit map per set: each element turns over one bit, so two maps differ in at most as many bits as the sets do
+    """Map of ``MAP`` bits per set: each element turns over one bit, so two maps differ in at most as many bits as the sets do
     in elements. No set may be empty."""
-    bits = (U(1) << (mix(values) & U(31))).astype(np.uint32)
-    return np.bitwise_xor.reduceat(bits, starts) if len(starts) else np.array([], dtype=np.uint32)
+    return np.bitwise_xor.reduceat(U(1) << (mix(values) % U(MAP)), starts) if len(starts) else np.array([], dtype=U)

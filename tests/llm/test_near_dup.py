@@ -33,7 +33,7 @@ def test_fast_similarity_fills_every_bin_of_tiny_sets():
 def test_pack_round_trip():
     h = np.sort(np.array([1, 2, 2, 2**40 - 1], np.uint64))
     ids, flags = np.array([0, 5, 2**62, 7], np.int64), np.array([0, 1, 2, 3], np.uint8)
-    maps, sizes = np.array([1, 2**32 - 1, 0, 9], np.uint32), np.array([30, sk.LONG, 1, 300])
+    maps, sizes = np.array([1, 2**56 - 1, 0, 9], np.uint64), np.array([30, sk.LONG, 1, 300])
     got = sk.unpack(sk.pack(h, ids, flags, maps, sizes))
     for x, y in zip(got, (h, ids, flags, maps, sizes), strict=True):
         assert x.tolist() == y.tolist()
