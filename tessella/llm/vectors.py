@@ -2,11 +2,13 @@
 
 A vector is coded as a sum of full-dimensional codewords, one from each codebook: ``x ~ c0[i0] + c1[i1] + ...``. The
 codebooks are fitted on a bounded sample (residual k-means, then least squares on the beam-search codes); every vector
-is encoded by beam search. Scores come from lookup tables of codeword products with the stored norms of the coded
-vectors, and the best are reranked with the exact vectors (``top_k``). Codebook 0 doubles as inverted lists: vectors
-meet in *cells*. ``similar_pairs`` cuts large cells into tiles that all meet each other, so that the size of a cell
-changes no result, and compares all vectors of a tile exactly, as in a group of near copies the codes can't tell the
-best from the others.
+is encoded by beam search. Scores come from lookup tables of query-codeword products, and what may be among the best is
+reranked with the exact vectors. Codebook 0 doubles as inverted lists: vectors meet in *cells*.
+
+``similar_pairs`` (all vectors against all, at a least cosine) keeps with each code the length of what it leaves out, so
+a score can be off by no more than that, and reranks every pair that the bound allows: nothing is capped. Large cells
+are cut into tiles that all meet each other, so the size of a cell changes no result. ``top_k`` (a query set against all
+vectors) scores the nearest cells and reranks the best of each; ``exact`` compares with every vector instead.
 """
 
 from __future__ import annotations
@@ -139,13 +141,25 @@ class AdditiveQuantiser:
                 out += 2 * self.gram[c[:, i], c[:, j]]
         return out
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Cosine of each query with each coded vector, by adding entries of the queries' lookup tables."""
-        table = np.ascontiguousarray((queries @ self.words.T).T)  # codewords x queries
-        out = np.zeros((len(codes), len(queries)), dtype=np.float32)
+    def leftover(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what the codes leave out of each vector."""
+        rest = x.copy()
         for m in range(codes.shape[1]):
+            rest -= self.words[codes[:, m] + self.offsets[m]]
+        return np.sqrt((rest * rest).sum(1))
+
+    def products(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(coded vectors, queries): product of each query with each coded vector, by adding entries of the queries'
+        lookup tables."""
+        table = np.ascontiguousarray((queries @ self.words.T).T)  # codewords x queries
+        out = table[codes[:, 0]]  # codebook 0 has no offset
+        for m in range(1, codes.shape[1]):
             out += table[codes[:, m] + self.offsets[m]]
-        return out.T / np.sqrt(np.maximum(norms, 1e-12))
+        return out
+
+    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Cosine of each query with each coded vector, by the stored norms."""
+        return self.products(queries, codes).T / np.sqrt(np.maximum(norms, 1e-12))
 
 
 def fit_quantiser(vectors: DataFrame, cells: int = 256, others: int = 6, size: int = 256, beam: int = 4) -> AdditiveQuantiser | None:
@@ -165,6 +179,37 @@ def _column(batch, name: str, dim: int) -> np.ndarray:
     return lists.values.to_numpy(zero_copy_only=False)[a:b].reshape(-1, dim)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of an array as binary values of equal length, without a loop."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.dtype.itemsize * rows.shape[1]
+    if not len(rows):
+        return pa.array([], pa.binary())
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def _rows(column, width: int, dtype: str) -> np.ndarray:
+    """Binary values of equal length as rows of an array; null values are left out."""
+    out = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        chunk = chunk.drop_null()
+        if len(chunk):
+            offsets = np.frombuffer(chunk.buffers()[1], "<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
+            out.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    raw = np.concatenate(out) if out else np.empty(0, np.uint8)
+    return raw.view(dtype).reshape(-1, width)
+
+
+def _ranked(rows: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` best per row, by cosine and then smaller id."""
+    order = np.lexsort((ids, -cos, rows))
+    at = rows[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.array([], np.int64)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return order[place < k]
+
+
 def _merged(words: np.ndarray, least: float) -> np.ndarray:
     """Group of each codeword, named by its first member: codewords linked by distances no larger than that of two
     vectors at a cosine of ``least``. Such cells cut a dense group finer than what is sought in it."""
@@ -203,8 +248,8 @@ def _cells(x: np.ndarray, aq: AdditiveQuantiser, groups: np.ndarray, spread: int
 def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.9, spread: int = 3) -> DataFrame:
     """Directed edges (a, b, cos): ``b`` is one of the ``k`` most similar vectors of ``a`` and their cosine is at least
     ``least``. Each vector joins its ``spread`` nearest cells, cells within a dense group being one, so close
-    vectors meet in at least one: of vectors at a cosine of just 0.9 in random directions 99 % do. Vectors that
-    meet are compared exactly, however many they are. Ties, which are cosines equal to 12 digits, go to the smaller id,
+    vectors meet in at least one: of vectors at a cosine of just 0.9 in random directions 99 % do. Of vectors that
+    meet, all pairs whose score is within its error bound of ``least`` are compared exactly, however many they are. Ties, which are cosines equal to 12 digits, go to the smaller id,
     so copies scaled by a factor count as equal.
 
     Of exactly equal vectors the ``k + 1`` of smallest id stay: all of them prefer the same ``k``, and so does any other
@@ -234,62 +279,64 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
     counted = vectors.select("vec").mapInArrow(sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     large = {r.cell: -(-r.n // TILE) for r in counted.where(F.col("n") > CELL).collect()}  # at most one row per codeword
 
+    width = len(aq.books)
+
+    def tiled(ids, row, cell):
+        """Tile and side (0: both query and stored; 1: only query; 2: only stored) of each entry; those of large cells
+        stand in a row and a column of the cell's grid of tiles."""
+        n = np.array([large.get(int(c), 1) for c in cell], dtype=np.int64) if large else np.ones(len(cell), np.int64)
+        mine, times = ids[row] % n, 2 * n - 1
+        at = np.repeat(np.arange(len(row)), times)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        n, mine = n[at], mine[at]
+        asking = place < n
+        other = place - n + (place - n >= mine)
+        tile = np.where(asking, mine * n + place, other * n + mine)
+        return row[at], cell[at], tile, np.where(asking, np.where(place == mine, 0, 1), 2).astype(np.int32)
+
     def place(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             ids, raw = b.column("id").to_numpy(), _column(b, "vec", dim)
-            row, cell = _cells(unit(raw), aq, groups, spread)
-            tile = np.zeros(len(row), dtype=np.int64)
-            side = np.zeros(len(row), dtype=np.int8)  # 0: both query and stored; 1: only query; 2: only stored
-            if large:
-                crowd = np.array([large.get(int(c), 1) for c in cell])
-                many = crowd > 1
-                if many.any():
-                    keep = [(row[~many], cell[~many], tile[~many], side[~many])]
-                    for r, c, n in zip(row[many], cell[many], crowd[many], strict=True):
-                        mine = int(ids[r]) % int(n)
-                        grid = np.arange(n)
-                        one = np.full(n, r), np.full(n, c), mine * n + grid, np.where(grid == mine, 0, 1).astype(np.int8)
-                        rest = grid[grid != mine]
-                        two = np.full(n - 1, r), np.full(n - 1, c), rest * n + mine, np.full(n - 1, 2, np.int8)
-                        keep += [one, two]
-                    row, cell, tile, side = (np.concatenate(z) for z in zip(*keep, strict=True))
+            x = unit(raw)
+            codes = aq.encode(x)
+            left = aq.leftover(x, codes).astype(np.float32)
+            coded = codes.astype("<i2")
+            row, cell, tile, side = tiled(ids, *_cells(x, aq, groups, spread))
             for s in range(0, len(row), 20_000):
                 r = row[s : s + 20_000]
+                columns = [cell[s : s + 20_000], tile[s : s + 20_000], side[s : s + 20_000], ids[r]]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cell[s : s + 20_000], pa.int64()), pa.array(tile[s : s + 20_000], pa.int64()),
-                        pa.array(side[s : s + 20_000].astype(np.int32), pa.int32()), pa.array(ids[r], pa.int64()),
-                        pa.array([v.tobytes() for v in raw[r]], pa.binary()),
-                    ],
-                    names=["cell", "tile", "side", "id", "raw"],
+                    [*map(pa.array, columns), _binary(raw[r]), _binary(coded[r]), pa.array(left[r])],
+                    names=["cell", "tile", "side", "id", "raw", "codes", "left"],
                 )
 
-    entries = vectors.mapInArrow(place, "cell bigint, tile bigint, side int, id bigint, raw binary")
+    entries = vectors.mapInArrow(place, "cell bigint, tile bigint, side int, id bigint, raw binary, codes binary, left float")
 
     def meet(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        side = table.column("side").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), "<f4").reshape(-1, dim)
-        order = np.argsort(ids, kind="stable")
-        ids, side, raw = ids[order], side[order], raw[order]
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        raw, codes = _rows(table.column("raw"), dim, "<f4"), _rows(table.column("codes"), width, "<i2")
         exact = raw.astype(np.float64)
         exact /= np.linalg.norm(exact, axis=1, keepdims=True)
         asks, held = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        floor = (least - 1e-4 - table.column("left").to_numpy()[held])[:, None]  # 1e-4: the tables are of single precision
+        codes = codes[held].astype(np.int64)
         out = []
-        for s in range(0, len(asks) if len(held) else 0, 512):
-            q = asks[s : s + 512]
-            cos = exact[q] @ exact[held].T
-            cos[ids[q][:, None] == ids[held][None, :]] = -2.0
-            some = cos.max(axis=1) >= least
-            q, cos = q[some], cos[some]
-            left, every = np.round(cos, 12), np.arange(len(q))
-            for _ in range(min(k, len(held)) if len(q) else 0):
-                best = left.argmax(axis=1)  # the first of equal ones; held is in order of id
-                at = np.flatnonzero(cos[every, best] >= least)
-                out.append((ids[q[at]], ids[held[best[at]]], left[at, best[at]]))
-                left[every, best] = -3.0
+        step = max(16, min(512, 8_000_000 // max(1, len(held))))
+        for s in range(0, len(asks) if len(held) else 0, step):
+            q = asks[s : s + step]
+            may = aq.products(exact[q].astype(np.float32), codes) >= floor
+            if may.mean() > 0.05:  # a dense group: nearly all of it would be compared one by one
+                j, i = np.nonzero(exact[held] @ exact[q].T >= least - 1e-9)
+            else:
+                j, i = np.nonzero(may)
+            i, j = q[i], held[j]
+            cos = np.round(np.einsum("nd,nd->n", exact[i], exact[j]), 12)
+            good = (cos >= least) & (ids[i] != ids[j])
+            i, j, cos = i[good], j[good], cos[good]
+            best = _ranked(i, ids[j], cos, k)
+            out.append((ids[i[best]], ids[j[best]], cos[best]))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cos": pa.array(c, pa.float64())})
 
@@ -307,17 +354,23 @@ def mutual_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.9
     return edges.groupBy("vec_id_a", "vec_id_b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, dim: int, *, k: int = 5, probes: int = 96, rerank: int = 400, block: int = 16_384) -> DataFrame:
-    """(query_id, rank, id, cos): the ``k`` most similar of all ``vectors`` for each query, itself left out. Every
-    vector is indexed once, under its nearest cell; a query visits ``probes`` cells. Large cells are cut into blocks by
-    a hash of the id, and the queries go to each block."""
+def top_k(
+    queries: DataFrame, vectors: DataFrame, dim: int, *, k: int = 5, cells: int = 1024, probes: int = 128, rerank: int = 400,
+    block: int = 16_384, exact: bool = False,
+) -> DataFrame:
+    """(query_id, rank, id, cos): the ``k`` most similar of all ``vectors`` for each query, itself left out; ties go to
+    the smaller id. Every vector is indexed once, under its nearest of ``cells`` cells; a query visits ``probes`` of
+    them and the best ``rerank`` of each by table score are compared exactly. Stored vectors and queries of a crowded
+    cell are cut into blocks by a hash of the id, so a task holds one block of either. With ``exact`` every vector is
+    compared with every query."""
     spark = vectors.sparkSession
-    schema = "query_id bigint, id bigint, cos double"
     vectors = written(vectors, "vectors")  # read by the fit, the sizes and the index
-    aq = fit_quantiser(vectors)
+    aq = fit_quantiser(vectors, cells=cells)
     if aq is None:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, cos double")
-    n_cells = len(aq.books[0])
+    n_cells, width = len(aq.books[0]), len(aq.books)
+    visits = n_cells if exact else min(probes, n_cells)
+    names = ["cell", "id", "codes", "norm", "raw", "asks"]
 
     def code(batches):
         for b in batches:
@@ -325,72 +378,73 @@ def top_k(queries: DataFrame, vectors: DataFrame, dim: int, *, k: int = 5, probe
                 raw = _column(b, "vec", dim)
                 x = unit(raw)
                 codes = aq.encode(x)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(nearest(x, aq.books[0], 1)[:, 0].astype(np.int64)), b.column("id"), pa.array([v.tobytes() for v in codes.astype("<i2")], pa.binary()),
-                        pa.array(aq.norms(codes), pa.float32()), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(np.zeros(len(x), np.int32)),
-                    ],
-                    names=["cell", "id", "codes", "norm", "raw", "asks"],
-                )
+                cell = nearest(x, aq.books[0], 1)[:, 0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column("id"), _binary(codes.astype("<i2")), pa.array(aq.norms(codes), pa.float32()), _binary(raw), pa.array(np.zeros(len(x), np.int32))], names=names)
 
     def ask(batches):
         for b in batches:
             if b.num_rows:
                 raw = _column(b, "vec", dim)
-                near = nearest(unit(raw), aq.books[0], min(probes, n_cells))
+                near = nearest(unit(raw), aq.books[0], visits)
                 row = np.repeat(np.arange(len(raw)), near.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(near.ravel().astype(np.int64)), b.column("id").take(pa.array(row)), pa.nulls(len(row), pa.binary()),
-                        pa.nulls(len(row), pa.float32()), pa.array([raw[i].tobytes() for i in row], pa.binary()), pa.array(np.ones(len(row), np.int32)),
-                    ],
-                    names=["cell", "id", "codes", "norm", "raw", "asks"],
-                )
-
-    def place(batches):
-        n = np.zeros(n_cells, dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                n += np.bincount(nearest(unit(_column(b, "vec", dim)), aq.books[0], 1)[:, 0], minlength=n_cells)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_cells)), pa.array(n)], names=["cell", "n"])
+                for s in range(0, len(row), 20_000):
+                    r = row[s : s + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel()[s : s + 20_000].astype(np.int64)), b.column("id").take(pa.array(r)), pa.nulls(len(r), pa.binary()), pa.nulls(len(r), pa.float32()), _binary(raw[r]), pa.array(np.ones(len(r), np.int32))], names=names)
+
+    def counts(many: int):
+        def run(batches):
+            n = np.zeros(n_cells, dtype=np.int64)
+            for b in batches:
+                if b.num_rows:
+                    n += np.bincount(nearest(unit(_column(b, "vec", dim)), aq.books[0], many).ravel(), minlength=n_cells)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_cells)), pa.array(n)], names=["cell", "n"])
+
+        return run
+
+    def blocks(df: DataFrame, many: int):
+        """Number of blocks of each cell."""
+        n = df.select("vec").mapInArrow(counts(many), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        over = {r.cell: -(-r.n // block) for r in n.where(F.col("n") > block).collect()}  # at most one row per codeword
+        return F.coalesce(F.create_map(*[F.lit(int(x)) for kv in over.items() for x in kv])[F.col("cell")], F.lit(1)) if over else F.lit(1)
 
     row = "cell bigint, id bigint, codes binary, norm float, raw binary, asks int"
-    index = vectors.mapInArrow(code, row)
-    held = vectors.select("vec").mapInArrow(place, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    sizes = {r.cell: -(-r.n // block) for r in held.where(F.col("n") > block).collect()}  # at most one row per codeword
-    parts = F.lit(1)
-    if sizes:
-        parts = F.coalesce(F.create_map(*[F.lit(int(x)) for kv in sizes.items() for x in kv])[F.col("cell")], F.lit(1))
-    index = index.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    asked = queries.mapInArrow(ask, row).withColumn("block", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
-    width = len(aq.books)
+    stored, asked = blocks(vectors, 1), blocks(queries, visits)
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    index = vectors.mapInArrow(code, row).withColumn("block", own(stored)).withColumn("part", every(asked))
+    wanted = queries.mapInArrow(ask, row).withColumn("part", own(asked)).withColumn("block", every(stored))
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy() == 1
         ids = table.column("id").to_numpy()
-        raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), "<f4").reshape(-1, dim).astype(np.float64)
-        raw = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        held = np.flatnonzero(~asks)
-        held = held[np.argsort(ids[held], kind="stable")]
+        full = _rows(table.column("raw"), dim, "<f4").astype(np.float64)
+        full /= np.linalg.norm(full, axis=1, keepdims=True)
+        held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
         out = []
         if len(held):
-            codes_col = table.column("codes").to_pylist()
-            codes = np.frombuffer(b"".join(codes_col[i] for i in held), "<i2").reshape(-1, width).astype(np.int64)
-            norms = table.column("norm").to_numpy(zero_copy_only=False)[held]
-            for s in range(0, int(asks.sum()), 256):
-                q = np.flatnonzero(asks)[s : s + 256]
-                score = aq.scores(raw[q].astype(np.float32), codes, norms)
-                top = min(rerank, len(held))
-                best = np.sort(np.argpartition(-score, top - 1, axis=1)[:, :top], axis=1)
-                cos = np.einsum("qd,qkd->qk", raw[q], raw[held[best]])
-                cos[ids[q][:, None] == ids[held[best]]] = -2.0
-                first = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                c, b = np.take_along_axis(cos, first, 1), np.take_along_axis(best, first, 1)
-                at = np.nonzero(c > -1.5)
-                out.append((ids[q][at[0]], ids[held[b[at]]], c[at]))
+            codes = _rows(table.column("codes"), width, "<i2").astype(np.int64)
+            norms = table.column("norm").drop_null().to_numpy()
+            top = len(held) if exact else min(rerank, len(held))
+            for s in range(0, len(asking), 256):
+                q = asking[s : s + 256]
+                if top == len(held):
+                    cos = full[q] @ full[held].T
+                    near = np.broadcast_to(np.arange(top), cos.shape)
+                else:
+                    score = aq.scores(full[q].astype(np.float32), codes, norms)
+                    near = np.argpartition(-score, top - 1, axis=1)[:, :top]
+                    cos = np.einsum("qd,qkd->qk", full[q], full[held[near]])
+                cos = np.round(cos, 12)
+                cos[ids[q][:, None] == ids[held[near]]] = -2.0
+                few = np.argpartition(-cos, min(k, top) - 1, axis=1)[:, : min(k, top)]
+                least = np.take_along_axis(cos, few, 1).min(axis=1)
+                i, j = np.nonzero((cos >= least[:, None]) & (cos > -1.5))  # ties with the last one as well
+                best = _ranked(i, ids[held[near[i, j]]], cos[i, j], k)
+                i, j = i[best], j[best]
+                out.append((ids[q[i]], ids[held[near[i, j]]], cos[i, j]))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([]))
         return pa.table({"query_id": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "cos": pa.array(c, pa.float64())})
 
-    found = index.unionByName(asked).groupBy("cell", "block").applyInArrow(search, schema)
+    found = index.unionByName(wanted).groupBy("cell", "block", "part").applyInArrow(search, "query_id bigint, id bigint, cos double")
     rank = F.expr("row_number() over (partition by query_id order by cos desc, id)")
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "id", "cos")

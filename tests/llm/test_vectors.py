@@ -117,3 +117,22 @@ def test_size_of_cells_changes_no_pair(spark, monkeypatch):
         monkeypatch.setattr(v, "TILE", cell)
         found.append({tuple(r) for r in v.mutual_pairs(df, 64).collect()})
     assert len(found[0]) >= 0.95 * 750 and found[0] == found[1]
+
+
+@pytest.mark.parametrize("how", [{"exact": True}, {"exact": True, "block": 7}, {"block": 11, "cells": 20, "probes": 20}])
+def test_top_k_in_blocks_and_exact(spark, how):
+    """Blocks of stored vectors and of queries change nothing; an exact search finds what comparing all finds."""
+    x = data(600)
+    ids = list(range(len(x)))
+    near = brute(x, ids, 5)
+    df = v.usable(frame(spark, x, ids), "vec_id", "vec", 16)
+    out = v.top_k(df.where("id % 10 = 0"), df, 16, **how).collect()
+    assert len(out) == 5 * 60 and {(r.query_id, r.id) for r in out} == {(i, j) for i in range(0, 600, 10) for j in near[i]}
+
+
+def test_binary_round_trip():
+    import pyarrow as pa
+
+    rows = np.arange(12, dtype="<f4").reshape(3, 4)
+    column = pa.chunked_array([v._binary(rows[:2]), pa.nulls(2, pa.binary()), v._binary(rows[2:]), v._binary(rows[:0])])
+    assert (v._rows(column, 4, "<f4") == rows).all() and v._rows(column.slice(1, 4), 4, "<f4").tolist() == rows[1:].tolist()
