@@ -5,8 +5,8 @@ codebooks are fitted on a bounded sample (residual k-means, then least squares o
 is encoded by beam search. Scores come from lookup tables of query-codeword products, and what may be among the best is
 reranked with the exact vectors. Codebook 0 doubles as inverted lists: vectors meet in *cells*.
 
-``similar_pairs`` (all vectors against all, at a least cosine) keeps with each code the length of what it leaves out, so
-a score can be off by no more than that, and reranks every pair that the bound allows: nothing is capped. Large cells
+``similar_pairs`` (all vectors against all, at a least cosine) stores with each code the score below which no such
+vector can lie, and reranks every pair that this bound allows: nothing is capped. Large cells
 are cut into tiles that all meet each other, so the size of a cell changes no result. ``top_k`` (a query set against all
 vectors) scores the nearest cells and reranks the best of each; ``exact`` compares with every vector instead.
 """
@@ -25,6 +25,7 @@ from tessella.session import written
 SAMPLE = 20_000  # vectors the codebooks are fitted on, at most
 CELL = 8_192  # entries from which a cell is cut into tiles
 TILE = 8_192  # entries of a tile
+DENSE = 0.2  # a cell is dense if its mean cosine is at most so far below the one sought
 
 
 def usable(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
@@ -114,22 +115,25 @@ class AdditiveQuantiser:
         return out
 
     def _encode(self, x: np.ndarray) -> np.ndarray:
-        n, L = len(x), self.beam
-        dots = x @ self.words.T
+        n, dim = x.shape
+        every = np.arange(n)
         codes = np.zeros((n, 1, 0), dtype=np.int64)
+        rest = x[:, None, :]  # what each partial sum leaves out
         cost = np.zeros((n, 1), dtype=np.float32)
-        for m in range(len(self.books)):
-            a, b = self.offsets[m], self.offsets[m + 1]
-            new = (self.squares[a:b] - 2 * dots[:, a:b])[:, None, :] + cost[:, :, None]
-            if m:
-                new = new + 2 * self.gram[codes, a:b].sum(axis=2)
-            flat = new.reshape(n, -1)
-            keep = min(L, flat.shape[1]) if m < len(self.books) - 1 else 1
-            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep > 1 else flat.argmin(1)[:, None]
-            cost = np.take_along_axis(flat, best, 1)
-            parent, word = np.divmod(best, b - a)
-            codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), (word + a)[:, :, None]], axis=2)
-        return codes[:, 0, :] - self.offsets[:-1]
+        for m, book in enumerate(self.books):
+            squares = self.squares[self.offsets[m] : self.offsets[m + 1]]
+            flat = (squares - 2 * (rest.reshape(-1, dim) @ book.T)).reshape(n, -1, len(book)) + cost[:, :, None]
+            flat = flat.reshape(n, -1)
+            keep = min(self.beam, flat.shape[1]) if m < len(self.books) - 1 else 1
+            best, cost = np.empty((n, keep), dtype=np.int64), np.empty((n, keep), dtype=np.float32)
+            for i in range(keep):  # the beam is small, so this beats a partition
+                best[:, i] = flat.argmin(1)
+                cost[:, i] = flat[every, best[:, i]]
+                flat[every, best[:, i]] = np.inf
+            parent, word = np.divmod(best, len(book))
+            codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None]], axis=2)
+            rest = np.take_along_axis(rest, parent[:, :, None], 1) - book[word]
+        return codes[:, 0, :]
 
     def norms(self, codes: np.ndarray) -> np.ndarray:
         """Squared lengths of the coded vectors."""
@@ -141,20 +145,25 @@ class AdditiveQuantiser:
                 out += 2 * self.gram[c[:, i], c[:, j]]
         return out
 
-    def leftover(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Length of what the codes leave out of each vector."""
-        rest = x.copy()
+    def floor(self, x: np.ndarray, codes: np.ndarray, least: float) -> np.ndarray:
+        """The product that a query of length 1 has with the coded vector at least, if its cosine with ``x`` (of length
+        1) is ``least`` or more. Of the coded vector p lies along x and h across it, so the product is
+        cos * p + sin * (something within +-h), which grows with the cosine."""
+        coded = np.zeros_like(x)
         for m in range(codes.shape[1]):
-            rest -= self.words[codes[:, m] + self.offsets[m]]
-        return np.sqrt((rest * rest).sum(1))
+            coded += self.words[codes[:, m] + self.offsets[m]]
+        p = (coded * x).sum(1)
+        h = np.sqrt(np.maximum((coded * coded).sum(1) - p * p, 0))
+        return least * p - np.sqrt(1 - least * least) * h
 
     def products(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """(coded vectors, queries): product of each query with each coded vector, by adding entries of the queries'
         lookup tables."""
-        table = np.ascontiguousarray((queries @ self.words.T).T)  # codewords x queries
-        out = table[codes[:, 0]]  # codebook 0 has no offset
+        used, first = np.unique(codes[:, 0], return_inverse=True)  # few, where the vectors are those of a cell
+        table = np.ascontiguousarray((queries @ np.vstack([self.words[used], self.words[self.offsets[1] :]]).T).T)
+        out = table[first]
         for m in range(1, codes.shape[1]):
-            out += table[codes[:, m] + self.offsets[m]]
+            out += table[codes[:, m] + (self.offsets[m] - self.offsets[1] + len(used))]
         return out
 
     def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -211,10 +220,15 @@ def _ranked(rows: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> np.nd
 
 
 def _merged(words: np.ndarray, least: float) -> np.ndarray:
-    """Group of each codeword, named by its first member: codewords linked by distances no larger than that of two
-    vectors at a cosine of ``least``. Such cells cut a dense group finer than what is sought in it."""
+    """Group of each codeword, named by its first member: codewords of dense cells linked by distances no larger than
+    that of two vectors at a cosine of ``least``. Such cells cut a dense group finer than what is sought in it. (The
+    squared length of a codeword is the mean cosine within its cell; words of wide cells are short, and so near to each
+    other without that.)"""
     squares = (words.astype(np.float64) ** 2).sum(1)
     close = squares[:, None] + squares - 2 * words.astype(np.float64) @ words.T <= 2 - 2 * least
+    dense = squares >= least - DENSE
+    close &= dense[:, None] & dense
+    np.fill_diagonal(close, True)
     group = np.arange(len(words))
     while True:
         low = np.where(close, group, len(words)).min(axis=1)  # each word is close to itself
@@ -249,7 +263,7 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
     """Directed edges (a, b, cos): ``b`` is one of the ``k`` most similar vectors of ``a`` and their cosine is at least
     ``least``. Each vector joins its ``spread`` nearest cells, cells within a dense group being one, so close
     vectors meet in at least one: of vectors at a cosine of just 0.9 in random directions 99 % do. Of vectors that
-    meet, all pairs whose score is within its error bound of ``least`` are compared exactly, however many they are. Ties, which are cosines equal to 12 digits, go to the smaller id,
+    meet, all pairs whose score doesn't rule ``least`` out are compared exactly, however many they are. Ties, which are cosines equal to 12 digits, go to the smaller id,
     so copies scaled by a factor count as equal.
 
     Of exactly equal vectors the ``k + 1`` of smallest id stay: all of them prefer the same ``k``, and so does any other
@@ -301,7 +315,7 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
             ids, raw = b.column("id").to_numpy(), _column(b, "vec", dim)
             x = unit(raw)
             codes = aq.encode(x)
-            left = aq.leftover(x, codes).astype(np.float32)
+            left = aq.floor(x, codes, least).astype(np.float32)
             coded = codes.astype("<i2")
             row, cell, tile, side = tiled(ids, *_cells(x, aq, groups, spread))
             for s in range(0, len(row), 20_000):
@@ -309,10 +323,10 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
                 columns = [cell[s : s + 20_000], tile[s : s + 20_000], side[s : s + 20_000], ids[r]]
                 yield pa.RecordBatch.from_arrays(
                     [*map(pa.array, columns), _binary(raw[r]), _binary(coded[r]), pa.array(left[r])],
-                    names=["cell", "tile", "side", "id", "raw", "codes", "left"],
+                    names=["cell", "tile", "side", "id", "raw", "codes", "floor"],
                 )
 
-    entries = vectors.mapInArrow(place, "cell bigint, tile bigint, side int, id bigint, raw binary, codes binary, left float")
+    entries = vectors.mapInArrow(place, "cell bigint, tile bigint, side int, id bigint, raw binary, codes binary, floor float")
 
     def meet(table: pa.Table) -> pa.Table:
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
@@ -320,17 +334,16 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
         exact = raw.astype(np.float64)
         exact /= np.linalg.norm(exact, axis=1, keepdims=True)
         asks, held = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        floor = (least - 1e-4 - table.column("left").to_numpy()[held])[:, None]  # 1e-4: the tables are of single precision
-        codes = codes[held].astype(np.int64)
+        floor = (table.column("floor").to_numpy()[held] - 1e-4)[:, None]  # the tables are of single precision
+        codes, short = codes[held].astype(np.int64), exact.astype(np.float32)
         out = []
         step = max(16, min(512, 8_000_000 // max(1, len(held))))
         for s in range(0, len(asks) if len(held) else 0, step):
             q = asks[s : s + step]
-            may = aq.products(exact[q].astype(np.float32), codes) >= floor
-            if may.mean() > 0.05:  # a dense group: nearly all of it would be compared one by one
-                j, i = np.nonzero(exact[held] @ exact[q].T >= least - 1e-9)
-            else:
-                j, i = np.nonzero(may)
+            may = aq.products(short[q], codes) >= floor
+            if may.mean() > 0.02:  # in single precision first, as that is quicker than one by one
+                may &= short[held] @ short[q].T >= least - 1e-4
+            j, i = np.nonzero(may)
             i, j = q[i], held[j]
             cos = np.round(np.einsum("nd,nd->n", exact[i], exact[j]), 12)
             good = (cos >= least) & (ids[i] != ids[j])
