@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
-Weights: ``tempered`` raises the sources' token shares to an exponent; ``temperature`` bisects that exponent to meet a
-target entropy, or to the largest flattening that keeps every source within its repetition limit. ``capped_weights``
-serves explicit targets: shares stay proportional to the targets, and a common scale is bisected so that sources at
-their limit are filled up and the others take over what is missing. (A single exponent can't meet given targets: it
-moves every source as soon as one reaches its limit.)
+Weights by temperature: shares are raised to an exponent and normalised, and the exponent is bisected until the weights
+are as even as wanted (``like``: the entropy of given weights). Sources that would exceed their repetition limit are
+frozen at it, and the exponent is bisected again over the rest, until none exceeds its limit. The shares raised are
+
+- the target shares (the default): the exponent then stays at 1 and every source gets its target, but for those frozen;
+- the sources' natural token shares (``base="natural"``): the plain temperature mixture, as even as the targets are.
 
 Realisation: each source's token budget is laid out as whole permutations (blocks) of its texts and one partial block.
 A block's order is a seeded hash, so its prefix is found from sums per hash bucket, without a global sort.
@@ -34,41 +35,46 @@ def entropy(weights: dict[str, float]) -> float:
     return -sum(w * math.log(w) for w in weights.values() if w > 0)
 
 
-def temperature(
-    shares: dict[str, float], *, target_entropy: float | None = None, most: dict[str, float] | None = None
-) -> tuple[float, dict[str, float]]:
-    """(exponent, weights). ``most``: the largest weight a source can have without exceeding its repetition limit. The
-    exponent falls from 1 towards 0 until the entropy reaches the target or a source its limit, whichever is first."""
-
-    def allowed(e: float) -> bool:
-        w = tempered(shares, e)
-        if target_entropy is not None and entropy(w) > target_entropy:
-            return False
-        return most is None or all(w[s] <= most.get(s, math.inf) + 1e-12 for s in w)
-
-    low, high = 0.0, 1.0
-    if allowed(low):
-        return low, tempered(shares, low)
+def bisect_exponent(shares: dict[str, float], wanted: float, most: float = 64.0) -> float:
+    """Exponent at which the tempered shares have the entropy ``wanted``, which falls as it grows; an end of
+    0..``most`` where they can't."""
+    low, high = 0.0, most
+    if entropy(tempered(shares, low)) <= wanted:
+        return low
+    if entropy(tempered(shares, high)) >= wanted:
+        return high
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (low, mid) if allowed(mid) else (mid, high)
-    return high, tempered(shares, high)
-
-
-def capped_weights(targets: dict[str, float], most: dict[str, float]) -> dict[str, float]:
-    """Weights min(limit, scale x target) that sum to 1, or all limits if those don't reach 1."""
-    if sum(most[s] for s in targets) <= 1:
-        return {s: most[s] for s in targets}
-    low, high = 0.0, 1.0
-    fill = lambda x: sum(min(most[s], x * t) for s, t in targets.items())
-    while fill(high) < 1:
-        high *= 2
-        if high > 1e18:  # what is left has no target
-            break
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if fill(mid) < 1 else (low, mid)
-    return {s: min(most[s], high * t) for s, t in targets.items()}
+        low, high = (mid, high) if entropy(tempered(shares, mid)) > wanted else (low, mid)
+    return high
+
+
+def normalised(weights: dict[str, float]) -> dict[str, float]:
+    total = sum(weights.values())
+    return {s: w / total if total else 0.0 for s, w in weights.items()}
+
+
+def temperature(
+    shares: dict[str, float], *, like: dict[str, float], most: dict[str, float]
+) -> tuple[float, dict[str, float], set[str]]:
+    """(exponent, weights, frozen): ``shares`` tempered to the entropy that ``like`` has over the same sources. ``most``
+    is the largest weight of a source within its repetition limit; sources beyond it are frozen there and the rest is
+    tempered anew to what is left. Weights add up to 1, or to less where all limits together don't reach it. Sources
+    without a share get none."""
+    frozen: dict[str, float] = {}
+    rest = {s: p for s, p in shares.items() if p > 0}
+    exponent = 1.0
+    while rest:
+        mass = max(0.0, 1 - sum(frozen.values()))
+        exponent = bisect_exponent(rest, entropy(normalised({s: like.get(s, 0.0) for s in rest})))
+        weights = {s: mass * w for s, w in tempered(rest, exponent).items()}
+        over = [s for s, w in weights.items() if w > most.get(s, math.inf) + 1e-12]
+        if not over:
+            return exponent, {s: 0.0 for s in shares} | frozen | weights, set(frozen)
+        for s in over:
+            frozen[s] = most[s]
+            del rest[s]
+    return exponent, {s: 0.0 for s in shares} | frozen, set(frozen)
 
 
 def plain_source(c: Column) -> Column:
@@ -82,11 +88,13 @@ class Mixture:
     A text is a text however often it was delivered: copies count as one, under the source of the copy with the
     smallest key among those of listed sources. Null and empty texts, and texts of sources that aren't listed, are not
     used. ``total`` tokens are aimed at; by default as many as the corpus holds, copies and unlisted sources included.
+    ``base`` names the shares that are tempered: "targets" or "natural". ``exponent``, ``weights`` and ``frozen`` (the
+    sources at their repetition limit) are what the bisection came to.
     """
 
     def __init__(
         self, df: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source",
-        total: int | None = None, seed: int = 17, folder: str = tokens.TOKENIZERS, vocabulary: str = tokens.VOCABULARY,
+        total: int | None = None, seed: int = 17, base: str = "targets", folder: str = tokens.TOKENIZERS, vocabulary: str = tokens.VOCABULARY,
     ):
         self.seed = seed
         wanted = targets.select("source", "target_share", "max_repeats").collect()  # the configuration: one row per source
@@ -106,7 +114,11 @@ class Mixture:
         rows = self.texts.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()  # listed sources only
         self.held = {s: 0 for s in self.targets} | {r.source: r.t for r in rows}
         self.count = {s: 0 for s in self.targets} | {r.source: r.n for r in rows}
-        self.weights = self.weigh()
+        if base not in ("targets", "natural"):
+            raise ValueError(f"no such base: {base}")
+        held = sum(self.held.values())
+        self.natural = {s: t / held if held else 0.0 for s, t in self.held.items()}
+        self.exponent, self.weights, self.frozen = temperature(self.targets if base == "targets" else self.natural, like=self.targets, most=self.limits())
         self.budget = {
             s: min(int(round(w * self.total)), self.held[s] * self.repeats[s]) for s, w in self.weights.items()
         }
@@ -114,9 +126,6 @@ class Mixture:
     def limits(self) -> dict[str, float]:
         return {s: self.held[s] * self.repeats[s] / self.total if self.total else 0.0 for s in self.targets}
 
-    def weigh(self) -> dict[str, float]:
-        return capped_weights(self.targets, self.limits()) if self.total else {s: 0.0 for s in self.targets}
-
     def rows(self) -> DataFrame:
         """(source, id, block, n_tokens, place): one row per use of a text, in order of (block, place) within its
         source. Of the partial block those texts are used whose middle lies within the rest of the budget."""

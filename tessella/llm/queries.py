@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import mixing, packing, splitting, vectors
 from tessella.llm import near_dup as nd
-from tessella.session import table
+from tessella.session import table, written
 
 DIM = 64
 
@@ -96,14 +96,31 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return m.report(m.rows())
 
 
-def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """Weights of plain temperature mixing for comparison: as even as the targets are, within the repetition limits."""
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture, by source: no text more often than allowed, all texts equally often but for one
+    use, and the tokens as budgeted but for less than one text; a source at its limit is used up."""
     m = _mixture(spark, d)
-    held = sum(m.held.values())
-    natural = {s: t / held if held else 0.0 for s, t in m.held.items()}
-    exponent, weights = mixing.temperature(natural, target_entropy=mixing.entropy(m.targets), most=m.limits())
-    rows = [(s, natural[s], m.targets[s], weights[s], exponent) for s in sorted(weights)]
-    return spark.createDataFrame(rows, "source string, natural_share double, target_share double, weight double, exponent double")
+    uses = m.rows().groupBy("source", "id", "n_tokens").agg(F.count(F.lit(1)).alias("k"))
+    got = uses.groupBy("source").agg(F.max("k").alias("most"), F.min("k").alias("least"), F.count(F.lit(1)).alias("used"), F.sum(F.col("k") * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("longest"))
+    plan = [(s, t, m.repeats[s], m.count[s], m.budget[s], s in m.frozen) for s, t in m.targets.items()]
+    asked = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, n_texts long, budget long, frozen boolean")
+    least = F.when(F.col("used") == F.col("n_texts"), F.col("least")).otherwise(0)
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return asked.join(got, "source", "left").select(
+        "source", "target_share", "max_repeats", "n_texts",
+        ((z("most") <= F.col("max_repeats")) & (z("most") - F.coalesce(least, F.lit(0)) <= 1)).alias("repeats_ok"),
+        (F.abs(z("tokens") - F.col("budget")) <= z("longest")).alias("tokens_ok"),
+        (~F.col("frozen") | (F.col("n_texts") == 0) | (F.coalesce(least, F.lit(0)) == F.col("max_repeats"))).alias("limit_ok"),
+    )
+
+
+def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """The plain temperature mixture, realised: natural token shares to the exponent that makes them as even as the
+    targets are, within the repetition limits."""
+    m = mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), base="natural")
+    rows = [(s, m.natural[s], m.targets[s], m.weights[s], s in m.frozen, m.exponent) for s in sorted(m.weights)]
+    plan = spark.createDataFrame(rows, "source string, natural_share double, target_share double, weight double, at_limit boolean, exponent double")
+    return plan.join(m.report(m.rows()).select("source", "uses", "repeats", "tokens", "share"), "source")
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -111,13 +128,43 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text", size, overlap).withColumnRenamed("id", "doc_id")
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers, by text: it is placed if it has any token, whole unless it alone exceeds a
+    container, its parts cover it, and none of its containers is overfull."""
+    size, _ = _limits(spark, d, "container")
+    packed = written(p8_containers(spark, d), "packed")
+    over = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("used")).where(F.col("used") > size).withColumn("over", F.lit(True)).drop("used")
+    parts = packed.join(over, "container_id", "left").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.max("over").alias("over"),
+        F.count("container_id").alias("placed"),
+    )
+    fits = (F.col("parts") == F.greatest(F.ceil(F.col("n") / size), F.lit(1))) & (F.col("end") == F.col("n")) & F.col("over").isNull()
+    return parts.select("doc_id", (F.col("placed") > 0).alias("placed"), (fits & F.col("placed").isin(0, F.col("parts"))).alias("fits"))
+
+
+def p10_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces, by text: put together without their overlaps they are the text, none is above the
+    limit, and each starts with as much of the one before as asked."""
+    size, overlap = _limits(spark, d, "piece")
+    pieces = splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text", size, overlap, all_texts=True)
+    w = "partition by id order by piece_no"
+    new = pieces.withColumn("before", F.expr(f"coalesce(lag(char_end) over ({w}), 0)"))
+    new = new.withColumn("new", F.expr("substring(piece, before - char_start + 1)"))
+    whole = new.groupBy("id").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "new"))), lambda x: x["new"]), "")).alias("text_md5"),
+        F.bool_and(F.col("n_tokens") <= size).alias("within_limit"),
+        F.bool_and((F.col("piece_no") == 0) | F.col("overlap_tokens").between(overlap, overlap + 3)).alias("overlap_ok"),
+    )
+    return whole.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p4_found": p4_found, "p4_links": p4_links, "p4_report": p4_report,
     "p5_found": p5_found, "p5_topk": p5_topk, "p5_outlier_score": p5_outlier_score,
     "p6_found": p6_found, "p6_groups": p6_groups,
-    "p8_containers": p8_containers, "p8_report": p8_report,
-    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_temperature": p9_temperature,
-    "p10_pieces": p10_pieces,
+    "p8_containers": p8_containers, "p8_report": p8_report, "p8_check": p8_check,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_check": p9_check, "p9_temperature": p9_temperature,
+    "p10_pieces": p10_pieces, "p10_check": p10_check,
 }
 
 _NOTES = """
@@ -157,4 +204,9 @@ SELECT c.row_id, k.class_id, c.n AS n_links FROM c JOIN e ON e.row_id = c.row_id
     "p6_groups": _P6
     + """, m AS (SELECT root AS group_id, id FROM g) SELECT group_id, CAST(count(*) AS bigint) AS rows, count(DISTINCT array_to_string(list_sort(w), ' ')) AS texts FROM m JOIN e ON e.row_id = m.id GROUP BY 1""",
     "p6_found": _P6 + "SELECT root AS row_id_a, id AS row_id_b FROM g WHERE id <> root",
+    "p8_check": "SELECT doc_id, coalesce(length(text), 0) > 0 AS placed, true AS fits FROM documents",
+    "p9_check": """WITH m AS (SELECT replace(lower(trim(source)), '-', '_') AS source, target_share, max_repeats FROM mix_targets),
+t AS (SELECT text, arg_min(s, doc_id) AS source FROM (SELECT doc_id, text, replace(lower(trim(source)), '-', '_') AS s FROM documents WHERE length(text) > 0) WHERE s IN (SELECT source FROM m) GROUP BY 1)
+SELECT m.source, target_share, max_repeats, count(t.text) AS n_texts, true AS repeats_ok, true AS tokens_ok, true AS limit_ok FROM m LEFT JOIN t ON t.source = m.source GROUP BY 1, 2, 3""",
+    "p10_check": "SELECT doc_id, md5(text) AS text_md5, true AS within_limit, true AS overlap_ok FROM documents WHERE length(text) > 0",
 }

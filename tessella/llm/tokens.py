@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_loaded: dict[str, object] = {}
+_loaded: dict = {}
 
 
 def encoding(path: str):
@@ -30,6 +31,14 @@ def encoding(path: str):
     return _loaded[path]
 
 
+def lengths(path: str) -> np.ndarray:
+    """Bytes of each token of a vocabulary file, by its number."""
+    if (path, "lengths") not in _loaded:
+        enc = encoding(path)
+        _loaded[path, "lengths"] = np.array([len(enc.decode_single_token_bytes(c)) for c in range(enc.n_vocab)], dtype=np.int64)
+    return _loaded[path, "lengths"]
+
+
 def n_tokens(text: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:
     """Tokens of the whole text; 0 for null and empty."""
     path = f"{folder}/{vocabulary}"

@@ -12,6 +12,7 @@ from tessella.llm import splitting as sp
 from tessella.llm import tokens
 
 ENC = tokens.encoding(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+LENGTHS = tokens.lengths(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
 
 
 # --- packing ---------------------------------------------------------------------------------------------------
@@ -61,19 +62,39 @@ def test_containers(spark, monkeypatch):
 
 
 # --- mixing ----------------------------------------------------------------------------------------------------
-def test_weights():
-    assert mx.capped_weights({"a": 0.5, "b": 0.5}, {"a": 1.0, "b": 1.0}) == pytest.approx({"a": 0.5, "b": 0.5})
-    assert mx.capped_weights({"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 0.2, "b": 9, "c": 9}) == pytest.approx({"a": 0.2, "b": 0.4, "c": 0.4})
-    assert mx.capped_weights({"a": 0.5, "b": 0.5}, {"a": 0.0, "b": 0.3}) == {"a": 0.0, "b": 0.3}
+def test_targets_and_frozen_sources():
+    free = {"a": 9.0, "b": 9.0, "c": 9.0}
+    like = {"a": 0.5, "b": 0.25, "c": 0.25}
+    e, w, frozen = mx.temperature(like, like=like, most=free)
+    assert e == pytest.approx(1, abs=1e-6) and w == pytest.approx(like) and not frozen
+    e, w, frozen = mx.temperature(like, like=like, most=free | {"a": 0.2})  # the others take over in proportion
+    assert w == pytest.approx({"a": 0.2, "b": 0.4, "c": 0.4}) and frozen == {"a"}
+    _, w, frozen = mx.temperature({"a": 0.5, "b": 0.5}, like={"a": 0.5, "b": 0.5}, most={"a": 0.0, "b": 0.3})
+    assert w == {"a": 0.0, "b": 0.3} and frozen == {"a", "b"}
 
 
 def test_temperature():
     shares = {"a": 0.9, "b": 0.09, "c": 0.01, "d": 0.0}
-    e, w = mx.temperature(shares, target_entropy=0.6)
-    assert mx.entropy(w) == pytest.approx(0.6, abs=1e-6) and 0 < e < 1 and w["d"] == 0
-    e, w = mx.temperature(shares, most={"c": 0.05})
-    assert w["c"] == pytest.approx(0.05, abs=1e-6)
-    assert mx.temperature(shares)[0] == 0.0
+    like = {"a": 0.6, "b": 0.3, "c": 0.1, "d": 0.0}
+    e, w, _ = mx.temperature(shares, like=like, most={})
+    assert mx.entropy(w) == pytest.approx(mx.entropy(like), abs=1e-6) and 0 < e < 1 and w["d"] == 0
+    e, w, frozen = mx.temperature(shares, like=like, most={"c": 0.05})
+    assert w["c"] == pytest.approx(0.05) and frozen == {"c"} and sum(w.values()) == pytest.approx(1)
+    assert mx.entropy(mx.normalised({s: w[s] for s in "ab"})) == pytest.approx(mx.entropy(mx.normalised({s: like[s] for s in "ab"})), abs=1e-6)
+    even = {s: 1 / 3 for s in "abc"}
+    assert mx.temperature(shares, like=even, most={})[0] == 0.0
+    assert mx.temperature({}, like={}, most={}) == (1.0, {}, set())
+
+
+def test_natural_mixture(spark):
+    df = spark.createDataFrame([(i, f"t{i} " + "x " * 20, "big" if i % 10 else "small") for i in range(400)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.7, 3), ("small", 0.3, 4)], "source string, target_share double, max_repeats int")
+    m = mx.Mixture(df, targets, base="natural")
+    assert m.weights == pytest.approx({"big": 0.7, "small": 0.3}, abs=1e-6) and 0 < m.exponent < 1
+    shares = {r.source: r.share for r in m.report(m.rows()).collect()}
+    assert shares == pytest.approx(m.weights, abs=0.02)
+    with pytest.raises(ValueError):
+        mx.Mixture(df, targets, base="else")
 
 
 def test_mixture(spark):
@@ -111,7 +132,7 @@ def test_hot_source_prefix_over_buckets(spark, monkeypatch):
 # --- splitting -------------------------------------------------------------------------------------------------
 def check(text, limit, overlap):
     codes = ENC.encode_ordinary(text)
-    out = sp.Splitter(ENC, limit, overlap).pieces(text, codes)
+    out = sp.Splitter(ENC, LENGTHS, limit, overlap).pieces(text, codes)
     assert out[0][0] == 0 and out[-1][1] == len(text)
     for a, b, size, _, _ in out:
         assert 0 < size <= limit and size == len(ENC.encode_ordinary(text[a:b]))
@@ -120,8 +141,8 @@ def check(text, limit, overlap):
     return out
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab \n.#é列🎉-"), min_size=80, max_size=400), st.integers(8, 30))
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab \n\t.#'s7é列、🎉-\u3000\x1c"), min_size=80, max_size=400), st.integers(8, 30))
 def test_pieces_cover_any_text(text, limit):
     if len(ENC.encode_ordinary(text)) > limit:
         check(text, limit, min(3, limit - 5))
