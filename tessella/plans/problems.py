@@ -9,7 +9,7 @@ from tessella.operators import mixture_impute as mi
 from tessella.operators import parsing
 from tessella.operators import quality_profile as qp
 from tessella.operators import schema_drift as sd
-from tessella.session import cut, table
+from tessella.session import cut, table, written
 
 
 # --- 1: rows that fail to parse ------------------------------------------------------------------------------------
@@ -31,17 +31,20 @@ def p1_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- 2: column profile ---------------------------------------------------------------------------------------------
-def _profile(spark: SparkSession, d: str):
+def _counts(spark: SparkSession, d: str):
     rules = qp.rules_from(table(spark, d, "column_rules"))
-    rows = table(spark, d, "split_rows").where("dataset = 'train'")
-    return rules, rows, qp.states(qp.value_counts(rows, rules, "load_id", "row_id"), rules)
+    return rules, qp.value_counts(table(spark, d, "split_rows").where("dataset = 'train'"), rules, "load_id", "row_id")
+
+
+def _profile(spark: SparkSession, d: str):
+    rules, counts = _counts(spark, d)
+    return rules, qp.states(counts, rules)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rules, rows, state = _profile(spark, d)
-    state = cut(state)  # a row per load and column; read by every check
-    shared = [r for r in rules if r.column in ("channel", "age_band")]
-    counts = qp.value_counts(rows, shared, "load_id", "row_id")
+    rules, counts = _counts(spark, d)
+    counts = written(counts, "counts")  # one scan serves the states and the divergence
+    state = cut(qp.states(counts, rules))  # a row per load and column; read by every check
     reported = table(spark, d, "profile_statistics").where("dataset = 'train'")
     return qp.findings(
         state, counts, table(spark, d, "loads"), reported, rules,
@@ -50,7 +53,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    rules, _, state = _profile(spark, d)
+    rules, state = _profile(spark, d)
     m = qp.metrics(state, rules)
     return m.select(
         "load_id", "column_name", "row_count", "null_count", "n_unique", F.round("null_rate", 6).alias("null_rate"),
@@ -60,7 +63,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_control_limits(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of loads outside the limits that earlier loads of the same drop set."""
-    rules, _, state = _profile(spark, d)
+    rules, state = _profile(spark, d)
     m = qp.metrics(state, rules)
     long = m.select("load_id", "column_name", F.expr("stack(4, 'null_rate', null_rate, 'n_unique', cast(n_unique as double), 'mean', mean, 'std', std) as (metric, value)"))
     loads = table(spark, d, "loads").select("load_id", "loaded_at", F.regexp_extract("file_name", "^(drop_[0-9]+)", 1).alias("series"))
@@ -70,7 +73,7 @@ def p2_control_limits(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_merged(spark: SparkSession, d: str) -> DataFrame:
     """States of all loads merged per column, as an incremental profile would."""
-    _, _, state = _profile(spark, d)
+    _, state = _profile(spark, d)
     return qp.merge_states(state, ["column_name"]).select("column_name", "row_count", "null_count", "min_value", "max_value", "out_of_range", "pattern_misses", "list_misses")
 
 
@@ -85,8 +88,12 @@ WHOLE_SCHEMA = FEED_SCHEMA.promote({
 })
 
 
+def _rescued(spark: SparkSession, d: str) -> DataFrame:
+    return sd.rescued_records(table(spark, d, "file_records"), "body", "rec_key", ["record_id", "file_id"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return sd.drift_ledger(table(spark, d, "file_records"), table(spark, d, "split_files"))
+    return sd.drift_ledger(_rescued(spark, d), table(spark, d, "split_files"))
 
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
@@ -102,10 +109,13 @@ def p3_typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
-    """All files as one table with every base field typed, also where the ledger found it under another name; what
-    can't be cast without changing what it says is rescued."""
-    schema = WHOLE_SCHEMA.promote(aliases=sd.approved_aliases(p3_found(spark, d), WHOLE_SCHEMA.columns))
-    return sd.ingest(table(spark, d, "file_records"), "body", schema, ["record_id", "file_id"])
+    """All files as one table: everything but the record key is rescued first, then every base field is promoted, with
+    the names that the ledger found for it, and its values are replayed into its typed column; what can't be cast
+    without changing what it says stays rescued."""
+    rescued = _rescued(spark, d)
+    ledger = sd.drift_ledger(rescued, table(spark, d, "split_files"))
+    schema = sd.TargetSchema({"rec_key": "string"}).promote(WHOLE_SCHEMA.columns, sd.approved_aliases(ledger, WHOLE_SCHEMA.columns))
+    return sd.replay(rescued, schema, ["record_id", "file_id"])
 
 
 # --- 7: missing values ---------------------------------------------------------------------------------------------
@@ -208,6 +218,7 @@ SELECT file_id, 'renamed' AS change_kind, old_field, new_field FROM ren
 UNION ALL SELECT file_id, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_id = g.file_id AND r.old_field = g.field)
 UNION ALL SELECT file_id, 'added', '', field FROM new n WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_id = n.file_id AND r.new_field = n.field)
 UNION ALL SELECT file_id, 'retyped', field, field FROM kn WHERE prev_id IS NOT NULL AND kind <> known
+  AND (EXISTS (SELECT 1 FROM h x WHERE x.file_id = kn.prev_id AND x.field = kn.field) OR EXISTS (SELECT 1 FROM ren r WHERE r.file_id = kn.file_id AND r.new_field = kn.field))
 """
 
 _P7_SQL = """
