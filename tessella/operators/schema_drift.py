@@ -71,7 +71,7 @@ def _place(df: DataFrame, fields: Column, schema: TargetSchema, keep: list[str],
             options.append(value)
         cells.append(F.coalesce(*options).alias(name))
     typed = df.select("*", F.struct(*cells).alias("_typed"), F.array(*[F.when(fills, F.lit(h)) for h, fills in used]).alias("_placed"))
-    unplaced = lambda k: ~F.array_contains(F.array_compact("_placed"), k)
+    unplaced = lambda k: ~F.coalesce(F.array_contains("_placed", k), F.lit(False))
     if as_map:
         rest = F.map_filter("_fields", lambda k, v: unplaced(k))
         return typed.withColumn("_rescued", rest).select(*[F.col(f"`{c}`") for c in keep], "_typed.*", "_rescued")
@@ -92,7 +92,8 @@ def rescue(records: DataFrame, body: str, schema: TargetSchema, keep: list[str],
     b = F.col(f"`{body}`")
     taken = {c.lower() for c in schema.columns}
     named = {c: f"source_{c}" if c.lower() in taken else c for c in keep}
-    base = records.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], b.alias("_body"), json_map(b).alias("_map"))
+    # a generator, as a plain column would be parsed again wherever it is used
+    base = records.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], b.alias("_body"), F.explode(F.array(json_map(b))).alias("_map"))
     base = base.withColumn("_broken", F.when(F.col("_map").isNull(), F.col("_body")))
     return _place(base, F.col("_map"), schema, [*named.values(), "_broken"], as_map)
 

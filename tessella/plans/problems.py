@@ -57,7 +57,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     m = qp.metrics(state, rules)
     return m.select(
         "load_id", "column_name", "row_count", "null_count", "n_unique", F.round("null_rate", 6).alias("null_rate"),
-        F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min_value", "max_value", "out_of_range", "pattern_misses",
+        F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min_value", "max_value", "out_of_range", "pattern_misses",
     )
 
 
@@ -257,7 +257,7 @@ SQL = {
   CAST(nullif(v[5], '') AS double) AS soil_c, CAST(nullif(v[6], '') AS int) AS moisture, CAST(nullif(v[7], '') AS boolean) AS is_irrigated, nullif(v[8], '') AS note FROM h WHERE reason IS NULL""",
     "p2_found": _P2_FOUND_SQL,
     "p2_profile": _P2_SQL
-    + """SELECT load_id, column_name, n AS row_count, nulls AS null_count, uniq AS n_unique, round(nulls / n, 6) AS null_rate, round(mean, 4) AS mean, round(sd, 4) AS std, lo AS min_value, hi AS max_value, oor AS out_of_range, bad AS pattern_misses FROM s""",
+    + """SELECT load_id, column_name, n AS row_count, nulls AS null_count, uniq AS n_unique, round(nulls / n, 6) AS null_rate, round(mean, 6) AS mean, round(sd, 6) AS std, lo AS min_value, hi AS max_value, oor AS out_of_range, bad AS pattern_misses FROM s""",
     "p2_merged": _P2_SQL
     + """SELECT u.column_name, count(*) AS row_count, count(*) FILTER (txt IS NULL AND num IS NULL) AS null_count, min(num) AS min_value, max(num) AS max_value, count(*) FILTER (num < lo OR num > hi) AS out_of_range,
   count(*) FILTER (NOT regexp_full_match(txt, value_pattern)) AS pattern_misses, count(*) FILTER (NOT list_contains(list_transform(value_list, lambda v: lower(trim(v))), lower(trim(txt)))) AS list_misses
