@@ -74,19 +74,16 @@ def association(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def correlated_groups(matrix: DataFrame, columns: list[str], threshold: float = 0.95) -> list[tuple[str, ...]]:
-    """Star groups of a (small) matrix: each column not seen yet takes all columns it correlates with. Not transitive:
-    a column that was taken can't seed, but may be taken again."""
-    strong = {frozenset((r.col_a, r.col_b)) for r in matrix.where(F.abs("value") >= threshold).select("col_a", "col_b").collect()}
-    seen: set[str] = set()
-    groups = []
+    """Stars of the (small) graph of strong pairs. Its centres are the first independent set in the order of
+    ``columns``: a column is a centre unless it touches an earlier one. A column may belong to several stars, columns
+    without a strong pair to none."""
+    pairs = [tuple(r) for r in matrix.where(F.abs("value") >= threshold).select("col_a", "col_b").collect()]
+    touching = {c: {d for pair in pairs if c in pair for d in pair if d in columns} for c in columns}
+    centres: list[str] = []
     for c in columns:
-        if c in seen:
-            continue
-        group = [c] + [d for d in columns if d != c and frozenset((c, d)) in strong]
-        if len(group) > 1:
-            groups.append(tuple(sorted(group)))
-            seen |= set(group)
-    return groups
+        if len(touching[c]) > 1 and touching[c].isdisjoint(centres):
+            centres.append(c)
+    return [tuple(sorted(touching[c])) for c in centres]
 
 
 def top_correlations(matrix: DataFrame, column: str, n: int = 5) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
 from itertools import combinations
 
+import numpy as np
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -12,15 +14,16 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.types import is_numeric
 from tessella.operators.features import medians
 from tessella.operators.profile import correlation, number, q
 from tessella.operators.split import folds
+from tessella.sources.io import read_text, write_text
 
-#: Trees and depth by preset, from fast to thorough.
+#: The names of the presets. Trees and depth are our own, from fast to thorough.
 PRESETS = {"medium": (10, 4), "good": (20, 5), "high": (40, 6), "best": (80, 8), "max": (120, 10)}
 
 
@@ -31,14 +34,16 @@ def _features(df: DataFrame, target: str, skip: tuple[str, ...]) -> tuple[list[s
 
 class TabularModel:
     """Trains on a frame, predicts on frames with the same columns. Missing numbers take the median of the training
-    data, missing or new categories a category of their own."""
+    data, missing or new categories a category of their own. ``estimator`` replaces the candidate families: one of Spark
+    ML that reads ``_features`` and ``_label`` and, for classes, gives ``probability``."""
 
-    def __init__(self, target: str, problem_type: str, preset: str = "good", skip: tuple[str, ...] = ("row_id", "dataset"), seed: int = 42):
+    def __init__(self, target: str, problem_type: str, preset: str = "good", skip: tuple[str, ...] = ("row_id", "dataset"), seed: int = 42, estimator=None):
         if preset not in PRESETS:
             raise ValueError(f"unknown preset {preset}")
         if problem_type not in ("binary", "multiclass", "regression"):
             raise ValueError(f"problem type {problem_type} isn't supported")
         self.target, self.problem_type, self.preset, self.skip, self.seed = target, problem_type, preset, skip, seed
+        self.estimator = estimator
         self.model: PipelineModel | None = None
 
     def _clean(self, df: DataFrame) -> DataFrame:
@@ -73,8 +78,8 @@ class TabularModel:
             self.classes = sorted(r[0] for r in df.select(q(self.target).cast("string")).distinct().collect())  # the classes
             x = x.withColumn("_label", (F.array_position(F.array(*[F.lit(c) for c in self.classes]), q(self.target).cast("string")) - 1).cast("double"))
             judge = MulticlassClassificationEvaluator(labelCol="_label", metricName="f1")
-        candidates = self._candidates()
-        if families is not None:
+        candidates = self._candidates() if self.estimator is None else [self.estimator]
+        if families is not None and self.estimator is None:
             candidates = [candidates[i] for i in families if i < len(candidates)]
         if len(candidates) > 1:
             held = F.pmod(F.xxhash64(*[q(c) for c in (*self.numeric, *self.categorical)], F.lit(self.seed)), F.lit(5)) == 0
@@ -121,14 +126,34 @@ class TabularModel:
         return spark.createDataFrame(rows, "feature string, importance double")
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
-
-
-def cross_validated(df: DataFrame, key: str, target: str, problem_type: str, *, k: int = 5, seed: int = 42, skip: tuple[str, ...] = ("row_id", "dataset")) -> DataFrame:
-    """Out-of-fold ``prediction`` (and ``probability``) of a forest for every labelled row; folds by hash of the key."""
-    x, parts = folds(df.where(q(target).isNotNull()), key, k, seed).persist(), []
+        """The pipeline, and beside it what cleaning and naming classes need."""
+        self.model.write().overwrite().save(f"{path}/pipeline")
+        held = {n: getattr(self, n, None) for n in ("target", "problem_type", "preset", "seed", "numeric", "categorical", "medians", "classes")}
+        spread = [float(v) for v in self.spread] if hasattr(self, "spread") else None
+        write_text(SparkSession.active(), f"{path}/model.json", json.dumps(held | {"skip": list(self.skip), "spread": spread}))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TabularModel:
+        text = read_text(spark, f"{path}/model.json")
+        if text is None:
+            raise ValueError(f"no model in {path}")
+        held = json.loads(text)
+        out = TabularModel(held["target"], held["problem_type"], held["preset"], tuple(held["skip"]), held["seed"])
+        out.numeric, out.categorical, out.medians, out.classes = held["numeric"], held["categorical"], held["medians"], held["classes"]
+        if held["spread"] is not None:
+            out.spread = np.array(held["spread"])
+        out.model = PipelineModel.load(f"{path}/pipeline")
+        return out
+
+
+def cross_validated(
+    df: DataFrame, key: str, target: str, problem_type: str, *, k: int = 5, seed: int = 42, skip: tuple[str, ...] = ("row_id", "dataset"), estimator=None
+) -> DataFrame:
+    """Out-of-fold ``prediction`` (and ``probability``) for every labelled row, of a forest or of an own ``estimator`` of
+    Spark ML that reads ``_features`` and ``_label``; for classes the folds are dealt within each class."""
+    x, parts = folds(df.where(q(target).isNotNull()), key, k, seed, None if problem_type == "regression" else target).persist(), []
     for i in range(k):
-        model = TabularModel(target, problem_type, "medium", (*skip, key, "fold"), seed).fit(x.where(F.col("fold") != i), families=(1,))
+        model = TabularModel(target, problem_type, "medium", (*skip, key, "fold"), seed, estimator).fit(x.where(F.col("fold") != i), families=(1,))
         parts.append(model.transform(x.where(F.col("fold") == i)))
     out = parts[0]
     for p in parts[1:]:
@@ -138,18 +163,20 @@ def cross_validated(df: DataFrame, key: str, target: str, problem_type: str, *,
 
 def synthesise(df: DataFrame, target: str, numeric: list[str], categorical: list[str] = (), n: int = 10) -> tuple[DataFrame, list[str]]:
     """The ``n`` best crossed features by |correlation| with the (numeric) target, all judged in one aggregate: sums,
-    differences, products and ratios of number pairs, and the frequency of each category."""
+    differences, products and ratios of number pairs, the frequency of each category, and the means of the numbers
+    within it."""
     made = {}
     for a, b in combinations(numeric, 2):
         x, y = number(q(a)), number(q(b))
         made |= {f"{a}+{b}": x + y, f"{a}-{b}": x - y, f"{a}*{b}": x * y, f"{a}/{b}": x / F.nullif(y, F.lit(0.0))}
     out = df
     for c in categorical:
-        freq = df.groupBy(q(c).alias("_v")).agg(F.count(F.lit(1)).cast("double").alias(f"freq({c})"))
+        means = [F.avg(number(q(x))).alias(f"mean({x}|{c})") for x in numeric]
+        freq = df.groupBy(q(c).alias("_v")).agg(F.count(F.lit(1)).cast("double").alias(f"freq({c})"), *means)
         out = out.join(freq, q(c).eqNullSafe(F.col("_v")), "left").drop("_v")
     if not made and not categorical:
         return df, []
-    names = [*made, *[f"freq({c})" for c in categorical]]
+    names = [*made, *[n for c in categorical for n in (f"freq({c})", *[f"mean({x}|{c})" for x in numeric])]]
     wide = out.withColumns(made)
     r = wide.agg(*[F.abs(correlation(q(m), F.when(q(m).isNotNull(), number(q(target))))).alias(f"r{i}") for i, m in enumerate(names)]).first()
     good = [(m, r[i]) for i, m in enumerate(names) if r[i] is not None and r[i] == r[i]]

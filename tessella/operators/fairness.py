@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import group_key
+from tessella.operators.features import grouped_medians
 from tessella.operators.profile import q
 
 EPS = 2.0**-52
@@ -21,7 +22,7 @@ def feature_sets(features: list[str], intersections: bool = True) -> list[tuple[
     """Single features, then intersections up to a size that falls with their number."""
     n = len(features)
     most = 1
-    if intersections:
+    if intersections:  # fixed values: features up to which intersections of a size are made
         most = 5 if n <= 5 else 4 if n <= 7 else 3 if n <= 9 else 2 if n <= 12 else 1
     return [c for k in range(1, min(n, most) + 1) for c in combinations(features, k)]
 
@@ -98,10 +99,29 @@ def regression_metrics(df: DataFrame, sets: list[tuple[str, ...]], y: str, pred:
     base = df.where(q(y).isNotNull() & q(pred).isNotNull())
     rows = grouped(base, sets, q(y).cast("double").alias("y"), q(pred).cast("double").alias("p"))
     e = F.col("y") - F.col("p")
-    return rows.groupBy("feature_set", "grp").agg(
-        F.count(F.lit(1)).alias("count"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("mdae"),
+    out = rows.groupBy("feature_set", "grp").agg(
+        F.count(F.lit(1)).alias("count"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e) / F.greatest(F.abs("y"), F.lit(EPS))).alias("mape"), (1 - F.avg(e * e) / F.nullif(F.var_pop("y"), F.lit(0.0))).alias("r2"),
     )
+    middle = grouped_medians(rows.select("feature_set", "grp", F.abs(e).alias("e")), ["feature_set", "grp"], "e").withColumnRenamed("median", "mdae")
+    return out.join(middle, ["feature_set", "grp"], "left").select("feature_set", "grp", "count", "mae", "mse", "rmse", "mdae", "mape", "r2")
+
+
+def absolute_error(y: Column, p: Column) -> Column:
+    """Error of one row: |y - p|, which is the root of its square."""
+    return F.abs(y - p)
+
+
+def overall(df: DataFrame, kind: str, y: str, pred: str, pos=None) -> DataFrame:
+    """(metric, value) over all rows together: the row that stands beside the groups."""
+    one, sets = df.withColumn("_all", F.lit("all")), [("_all",)]
+    if kind == "regression":
+        wide = regression_metrics(one, sets, y, pred)
+    elif kind == "multiclass":
+        wide = multiclass_metrics(one, sets, y, pred)
+    else:
+        wide = binary_metrics(confusion(one, sets, y, pred, pos))
+    return tidy_metrics(wide).select("metric", "value")
 
 
 def tidy_metrics(wide: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import words
-from tessella.operators.profile import number, q, value_counts
+from tessella.operators.profile import BROADCAST, number, q, value_counts
+from tessella.operators.split import ranked
+from tessella.session import cut
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -36,6 +38,26 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     return out
 
 
+def grouped_medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(*by, median): exact medians (mean of the two middle values) of any number of groups of any size, in two scans:
+    bounds around the middle from a sketch, then counts below them and of the few values between. Null values don't
+    count; keys may be null."""
+    x = df.select(*[q(c) for c in by], q(value).cast("double").alias("_v")).where("_v is not null")
+    bounds = cut(x.groupBy(*by).agg(F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_e"), F.count(F.lit(1)).alias("_n")))
+    named = bounds.withColumnsRenamed({c: f"_b{i}" for i, c in enumerate(by)})
+    if bounds.count() <= BROADCAST:  # few groups, on which rows would crowd
+        named = F.broadcast(named)
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= q(c).eqNullSafe(F.col(f"_b{i}"))
+    near = x.join(named, same).where(F.col("_v") <= F.col("_e")[1])
+    near = near.groupBy(*by, "_n", F.when(F.col("_v") >= F.col("_e")[0], F.col("_v")).alias("_w")).agg(F.count(F.lit(1)).alias("_k"))
+    upto = near.withColumn("_u", F.sum("_k").over(Window.partitionBy(*by).orderBy(F.col("_w").asc_nulls_first())))
+    reach = lambda rank: F.min(F.when((F.col("_u") > rank) & F.col("_w").isNotNull(), F.col("_w")))
+    n = F.col("_n")
+    return upto.groupBy(*by).agg(((reach(F.floor((n - 1) / 2)) + reach(F.floor(n / 2))) / 2).alias("median"))
+
+
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     """Most frequent non-null value as string, ties to the smallest."""
     counts = value_counts(df.withColumn("_all", F.lit("all")), columns, "_all").where("value is not null")
@@ -66,8 +88,8 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     """0-based rank among the sorted distinct values; null stays null. The dictionary is a join, not a driver map."""
     known = df.select(q(column).alias("_v")).where("_v is not null").distinct()
-    ranked = known.withColumn(out, F.row_number().over(Window.orderBy("_v")) - 1)
-    return df.join(ranked, q(column) == F.col("_v"), "left").drop("_v")
+    codes = ranked(known, [F.lit(0)], [F.col("_v")]).select("_v", (F.col("_rank") - 1).cast("int").alias(out))
+    return df.join(codes, q(column) == F.col("_v"), "left").drop("_v")
 
 
 def text_vectors(df: DataFrame, column: str, max_dim: int = 50, share: float = 0.95, buckets: int = 1024, embed: Callable | None = None) -> DataFrame:

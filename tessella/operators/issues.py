@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _median(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.median(column).alias("middle"))
+from tessella.operators.features import medians
+from tessella.session import cut
 
 
 def outliers(edges: DataFrame, threshold: float = 0.37) -> DataFrame:
     """(row_id, mean_dist, is_outlier, score) of a neighbour graph: flagged if the mean distance exceeds the median of
     the means / ``threshold``; score exp(-mean / median), low = isolated. All-zero distances: nobody is flagged."""
-    means = edges.groupBy(F.col("src_id").alias("row_id")).agg(F.avg("dist").alias("mean_dist"))
-    middle = _median(means, "mean_dist")
-    joined = means.join(F.broadcast(middle))  # one row
-    return joined.select(
+    means = cut(edges.groupBy(F.col("src_id").alias("row_id")).agg(F.avg("dist").alias("mean_dist")))
+    middle = medians(means, ["mean_dist"])["mean_dist"]
+    return means.withColumn("middle", F.lit(middle).cast("double")).select(
         "row_id", "mean_dist", F.coalesce(F.col("mean_dist") > F.col("middle") / threshold, F.lit(False)).alias("is_outlier"),
         F.when(F.col("middle") > 0, F.exp(-F.col("mean_dist") / F.col("middle"))).otherwise(F.lit(1.0)).alias("score"),
     )
@@ -24,8 +22,8 @@ def outliers(edges: DataFrame, threshold: float = 0.37) -> DataFrame:
 
 def near_duplicate_pairs(edges: DataFrame, threshold: float = 0.13) -> DataFrame:
     """(a < b) of edges at most ``threshold`` x the median nearest distance; either direction suffices."""
-    middle = _median(edges.where("rank = 1"), "dist")
-    close = edges.join(F.broadcast(middle)).where(F.col("dist") <= threshold * F.col("middle"))  # one row
+    middle = medians(edges.where("rank = 1"), ["dist"])["dist"]
+    close = edges.where(F.col("dist") <= F.lit(threshold * middle if middle is not None else None).cast("double"))
     return close.select(F.least("src_id", "dst_id").alias("a"), F.greatest("src_id", "dst_id").alias("b")).distinct()
 
 

@@ -24,8 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.session import written
+
 BARE = re.compile(r'[^",\r\n]*')
 LINE = re.compile(r"\r\n|\n|\r")
+OPEN = "quote is never closed"
 
 
 def _real_datetime(text: str) -> bool:
@@ -111,7 +114,7 @@ class RecordGrammar:
         while True:
             end = text.find('"', pos)
             if end < 0:
-                raise SyntaxFault("quote is never closed", opened)
+                raise SyntaxFault(OPEN, opened)
             parts.append(text[pos:end])
             if not text.startswith('"', end + 1):
                 break
@@ -244,29 +247,83 @@ def rejected_records(parsed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def parse_files(spark, paths: str | list[str], rules: list[FieldRule], encoding: str = "utf-8") -> DataFrame:
-    """Parse whole export files (many records each). One row per record or error: ``path, start, reason, message,
-    record``. A file is one task's work, as its quotes can only be read from its start."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    schema = "path string, start long, reason string, message string, fields array<string>"
+def parse_files(spark, paths: str | list[str], rules: list[FieldRule]) -> DataFrame:
+    """Parse export files of many records each, UTF-8, of any size. One row per record or located error: ``path,
+    block, start, pos, reason, message, record``; ``start`` and ``pos`` count characters within the block, which is the
+    byte the split begins at.
 
-    def run(batches):
-        grammar = RecordGrammar(rules)
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                block = []
-                for p in grammar.parse(bytes(content).decode(encoding, "replace"), single=False):
-                    block.append((path, p.start, p.reason, p.message, None if p.reason else p.fields))
-                    if len(block) == 10_000:
-                        yield pd.DataFrame(block, columns=["path", "start", "reason", "message", "fields"])
-                        block = []
-                yield pd.DataFrame(block, columns=["path", "start", "reason", "message", "fields"])
+    A file is read in splits. Within a split the records from its first anchor on are parsed at once; what stands before
+    it belongs to a record of the split before, and a quote that is still open at the end, without any anchor behind it,
+    to the split after. These ends, one pair a split, are put together per file and parsed in a second step. Lines that
+    hold nothing are no records. An empty file gives no row."""
+    lines = spark.read.text(paths, lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    out = "path string, block long, start long, pos long, reason string, message string, fields array<string>"
+    names = ["path", "block", "start", "pos", "reason", "message", "fields"]
+
+    def rows_of(grammar, text, path, block, offset):
+        for p in grammar.parse(text, single=False):
+            if p.reason is None and p.fields == [""]:
+                continue
+            yield path, block, p.start + offset, None if p.pos is None else p.pos + offset, p.reason, p.message, None if p.reason else p.fields
 
+    def blocks(batches):
+        key, held = None, []
+        for pdf in batches:
+            for value, path, block in zip(pdf["value"], pdf["path"], pdf["block"], strict=True):
+                if key != (path, block):
+                    if key is not None:
+                        yield *key, "\n".join(held)
+                    key, held = (path, block), []
+                held.append(value)
+        if key is not None:
+            yield *key, "\n".join(held)
+
+    def frame(rows, *ends):
+        """Parsed rows, and the ends of a split as one more."""
+        done = pd.DataFrame([(*r, None, None, True) for r in rows] + [(path, block, *[None] * 5, head, tail, anchored) for path, block, head, tail, anchored in ends], columns=[*names, "head", "tail", "anchored"])
+        return done.astype({"start": "Int64", "pos": "Int64"})
+
+    def first(batches):
+        grammar = RecordGrammar(rules)
+        for path, block, text in blocks(batches):
+            at = 0 if block == 0 else grammar.anchor("\n" + text, 0)
+            if at is None:
+                yield frame([], (path, block, text, None, False))
+                continue
+            at = max(0, at - 1) if block else 0
+            rows, tail = [], None
+            for row in rows_of(grammar, text[at:], path, block, at):
+                rows.append(row)
+                if len(rows) == 10_000:
+                    yield frame(rows[:-1])
+                    rows = rows[-1:]
+            # the grammar goes on at an anchor; only an open quote without one is the last thing it reports
+            if rows and rows[-1][5] == OPEN:
+                tail = text[rows.pop()[2] :]
+            yield frame(rows, (path, block, text[:at].removesuffix("\n") if at else None, tail, True))
+
+    parsed = written(lines.mapInPandas(first, f"{out}, head string, tail string, anchored boolean"), "parsed")
+    whole = parsed.where("start is not null").select(*names)
+
+    def second(pdf):
+        grammar, rows, carry, since = RecordGrammar(rules), [], [], 0
+        for r in pdf.sort_values("block").itertuples():
+            carry += [] if r.head is None else [r.head]
+            if not r.anchored:
+                continue
+            if carry:
+                rows += rows_of(grammar, "\n".join(carry), r.path, since, 0)
+            carry, since = ([] if r.tail is None else [r.tail]), r.block
+        if carry:
+            rows += rows_of(grammar, "\n".join(carry), pdf["path"].iloc[0], since, 0)
+        return pd.DataFrame(rows, columns=names).astype({"start": "Int64", "pos": "Int64"})
+
+    ends = parsed.where("start is null").select("path", "block", "head", "tail", "anchored")  # one row a split
     cells = [
         F.nullif(F.get("fields", F.lit(i)), F.lit("")).cast(KINDS[r.kind][1]).alias(r.name) for i, r in enumerate(rules)
     ]
-    return files.mapInPandas(run, schema).select(
-        "path", "start", "reason", "message", F.when(F.col("fields").isNotNull(), F.struct(*cells)).alias("record")
+    return whole.unionByName(ends.groupBy("path").applyInPandas(second, out)).select(
+        "path", "block", "start", "pos", "reason", "message", F.when(F.col("fields").isNotNull(), F.struct(*cells)).alias("record")
     )
 
 

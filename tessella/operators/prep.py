@@ -94,6 +94,13 @@ def rarest_class(df: DataFrame, target: str):
     return r.t if r else None
 
 
+def positive_label(ds: Dataset, df: DataFrame):
+    """The positive label of two classes: the dataset's own if the data hold it, else the rarest class of train."""
+    if ds.pos_label is not None and not df.where(q(ds.target) == F.lit(ds.pos_label)).isEmpty():
+        return ds.pos_label
+    return rarest_class(df.where(q(ds.split) == "train"), ds.target)
+
+
 def prepare(ds: Dataset) -> Dataset:
     """Validation folded into train, a stratified test split if there is none, problem type, numeric strings decided on
     train and applied to all splits, unusable targets dropped, metric and positive label set."""
@@ -107,7 +114,7 @@ def prepare(ds: Dataset) -> Dataset:
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in (ds.target, ds.split, ds.key)]
     df = coerce_numbers(df, numeric_strings(df.where(q(ds.split) == "train"), strings))
     df = df.where(usable_target(df, ds.target))
-    label = ds.pos_label if ds.pos_label is not None or kind != "binary" else rarest_class(df.where(q(ds.split) == "train"), ds.target)
+    label = positive_label(ds, df) if kind == "binary" else ds.pos_label
     from dataclasses import replace
 
     return replace(ds, df=df, problem_type=kind, eval_metric="rmse" if kind == "regression" else "f1_weighted", pos_label=label)

@@ -6,32 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.profile import number, q
+from tessella.session import cut
 
 
 def order_key(key: str, seed: int) -> Column:
     return F.xxhash64(q(key), F.lit(seed))
 
 
-def stratified_split(df: DataFrame, key: str, target: str, *, share: float = 0.8, order: Column | None = None, seed: int = 42, salt: int = 64) -> DataFrame:
-    """Adds ``dataset``: per class of ``target`` (null is one) the first ceil(share x n) rows in hashed order are train,
-    the rest test. Ranks are found per (class, hash bucket) with bucket offsets, so a large class spreads over tasks.
-    With an own ``order`` the ranks are per class."""
-    if order is not None:
-        w = Window.partitionBy(q(target))
-        return df.withColumn("_r", F.row_number().over(w.orderBy(order, q(key)))).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn(
-            "dataset", F.when(F.col("_r") <= F.ceil(F.col("_n") * share), "train").otherwise("test")
-        ).drop("_r", "_n")
-    h = order_key(key, seed)
-    x = df.withColumn("_h", h).withColumn("_b", F.floor((F.col("_h") / F.lit(2.0**63) + 1) / 2 * salt))
-    sizes = x.groupBy(q(target).alias("_t"), "_b").agg(F.count(F.lit(1)).alias("_c"))
-    per = Window.partitionBy("_t")
-    sizes = sizes.select(
-        "_t", F.col("_b").alias("_b2"), F.coalesce(F.sum("_c").over(per.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"), F.sum("_c").over(per).alias("_n")
-    )
-    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy(q(target), "_b").orderBy("_h", q(key))))
-    joined = ranked.join(sizes, q(target).eqNullSafe(F.col("_t")) & (F.col("_b") == F.col("_b2")))
-    train = F.col("_first") + F.col("_r") <= F.ceil(F.col("_n") * share)
-    return joined.withColumn("dataset", F.when(train, "train").otherwise("test")).drop("_h", "_b", "_t", "_b2", "_first", "_n", "_r")
+def ranked(df: DataFrame, groups: list[Column], order: list[Column]) -> DataFrame:
+    """Adds ``_rank``, from 1, and ``_size`` within each group (null is one), in the given order. Rows are laid out in
+    ranges of (group, order), so a group may span many tasks; the ranges' sizes give the offsets."""
+    names = [f"_g{i}" for i in range(len(groups))]
+    keyed = df.withColumns({n: g for n, g in zip(names, groups, strict=True)} | {f"_o{i}": o for i, o in enumerate(order)})
+    along = [F.col(n).asc_nulls_first() for n in (*names, *[f"_o{i}" for i in range(len(order))])]
+    keyed = cut(keyed.repartitionByRange(*along).withColumn("_part", F.spark_partition_id()))  # partition numbers are kept from here on
+    sizes = keyed.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    per = Window.partitionBy(*names)
+    first = F.coalesce(F.sum("_c").over(per.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(n).alias(f"{n}_s") for n in names], F.col("_part").alias("_part_s"), first.alias("_first"), F.sum("_c").over(per).alias("_size"))
+    inside = F.row_number().over(Window.partitionBy(*names, "_part").orderBy(*along[len(names):]))
+    same = F.col("_part") == F.col("_part_s")
+    for n in names:
+        same &= F.col(n).eqNullSafe(F.col(f"{n}_s"))
+    joined = keyed.withColumn("_in", inside).join(sizes, same)
+    return joined.select(*df.columns, (F.col("_first") + F.col("_in")).alias("_rank"), "_size")
+
+
+def stratified_split(df: DataFrame, key: str, target: str, *, share: float = 0.8, order: Column | None = None, seed: int = 42) -> DataFrame:
+    """Adds ``dataset``: per class of ``target`` (null is one) the first ceil(share x n) rows in hashed order, or in an
+    own ``order``, are train, the rest test."""
+    out = ranked(df, [q(target)], [order_key(key, seed) if order is None else order, q(key)])
+    return out.withColumn("dataset", F.when(F.col("_rank") <= F.ceil(F.col("_size") * share), "train").otherwise("test")).drop("_rank", "_size")
 
 
 def fold_validation(df: DataFrame, split: str = "dataset") -> DataFrame:
@@ -39,22 +44,17 @@ def fold_validation(df: DataFrame, split: str = "dataset") -> DataFrame:
     return df.withColumn(split, F.when(q(split) == "val", "train").otherwise(q(split)))
 
 
-def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Adds ``fold`` 0..k-1 by hash of the key."""
-    return df.withColumn("fold", F.pmod(order_key(key, seed), F.lit(k)).cast("int"))
+def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, target: str | None = None) -> DataFrame:
+    """Adds ``fold`` 0..k-1 by hash of the key; with a ``target`` in turn within each class, so that the folds of a class
+    differ by at most one row."""
+    if target is None:
+        return df.withColumn("fold", F.pmod(order_key(key, seed), F.lit(k)).cast("int"))
+    return ranked(df, [q(target)], [order_key(key, seed), q(key)]).withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_size")
 
 
 def row_index(df: DataFrame, key: str, split: str) -> DataFrame:
-    """0-based index within each split in key order. Offsets per range partition keep it distributed."""
-    keyed = df.repartitionByRange(q(split), q(key)).sortWithinPartitions(q(split), q(key)).withColumn("_p", F.spark_partition_id())
-    from tessella.session import cut
-
-    keyed = cut(keyed)  # partition numbers are kept from here on
-    sizes = keyed.groupBy(q(split).alias("_s"), F.col("_p").alias("_p2")).agg(F.count(F.lit(1)).alias("_c"))
-    first = F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_p2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_s", "_p2", first.alias("_first"))
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(q(split), "_p").orderBy(q(key))) - 1)
-    return ranked.join(sizes, q(split).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_p2"))).withColumn("new_id", F.col("_first") + F.col("_r")).drop("_p", "_s", "_p2", "_first", "_r")
+    """0-based index within each split in key order."""
+    return ranked(df, [q(split)], [q(key)]).withColumn("new_id", F.col("_rank") - 1).drop("_rank", "_size")
 
 
 def sample_values(df: DataFrame, column: str, kind: str, n: int, *, key: str, seed: int = 42) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.types import feature_types
@@ -47,7 +47,8 @@ def exact_neighbours(df: DataFrame, key: str, vec: str, k: int, metric: str) ->
 @dataclass
 class DataSummary:
     """``neighbours`` gives the graph (src_id, dst_id, rank, dist); the default is exact and quadratic, so large
-    collections plug in an index. ``pred_probs`` (key, probability array) replaces the cross-validated classifier.
+    collections plug in an index. ``pred_probs`` (key, probability array) replaces the cross-validated classifier, ``classifier``
+    its estimator (one of Spark ML, see ``TabularModel``).
     Column ``dataset`` of the frame names the splits; row identity is the dataset's key."""
 
     ds: Dataset
@@ -57,6 +58,7 @@ class DataSummary:
     namer: Callable[[str, str, list[str]], str] = semantic.name_by_rules
     embed: Callable | None = None
     pred_probs: DataFrame | None = None
+    classifier: object | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
     groups: list[tuple[str, ...]] = field(default_factory=list)
 
@@ -138,7 +140,7 @@ class DataSummary:
         if self.pred_probs is not None:
             scored = df.join(self.pred_probs, ds.key)
         else:
-            scored = automl.cross_validated(df, ds.key, ds.target, "multiclass", k=self.settings.cv_folds, seed=ds.seed, skip=skip)
+            scored = automl.cross_validated(df, ds.key, ds.target, "multiclass", k=self.settings.cv_folds, seed=ds.seed, skip=skip, estimator=self.classifier)
         scored = scored.withColumn("_label", profile.q(ds.target).cast("string"))
         return issues.confident_learning(scored, ds.key, "_label", classes, "probability")
 
@@ -216,7 +218,33 @@ class DataSummary:
         return replace(ds, df=df)
 
     def export(self) -> dict[str, DataFrame]:
-        return dict(self.tables)
+        """All result tables, and as tables the feature types and the groups of high correlation."""
+        spark = self.ds.df.sparkSession
+        types = spark.createDataFrame(sorted(self.types.items()), "column string, dformat string")
+        groups = spark.createDataFrame([(i, c) for i, g in enumerate(self.groups) for c in g], "group int, column string")
+        return self.tables | {"feature_types": types, "correlated_groups": groups}
+
+    def statistics_plot(self, columns: list[str] | None = None) -> DataFrame:
+        """(column, split, statistic, value): the numeric statistics as a plot would show them."""
+        p = self.tables["profile_num"] if columns is None else self.tables["profile_num"].where(F.col("column").isin(columns))
+        names = ("mean", "std", "min", "max", "skewness", "kurtosis", "null_count")
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).cast("double").alias("value")) for n in names])).alias("s")
+        return p.select("column", F.col(self.ds.split).alias("split"), cells).select("column", "split", "s.*")
+
+    def category_plot(self, column: str, top: int = 20) -> DataFrame:
+        """(split, value, count, share) of the most frequent values of a category, by all splits together."""
+        counts = self.tables["value_counts"].where(F.col("column") == column).withColumnRenamed(self.ds.split, "split")
+        best = counts.groupBy(F.col("value").alias("_v")).agg(F.sum("count").alias("_n")).orderBy(F.col("_n").desc(), "_v").limit(top)
+        share = F.col("count") / F.sum("count").over(Window.partitionBy("split"))
+        return counts.withColumn("share", share).join(F.broadcast(best), F.col("value").eqNullSafe(F.col("_v"))).select("split", "value", "count", "share")
+
+    def correlation_plot(self) -> DataFrame:
+        """(x, y, value): the whole symmetric matrix of associations, its diagonal included."""
+        m = self.tables["assoc"]
+        one = m.select(F.col("col_a").alias("x"), F.col("col_b").alias("y"), "value")
+        names = sorted(c for c, t in self.types.items() if t in ("num", "cat"))
+        same = self.ds.df.sparkSession.createDataFrame([(c, c, 1.0) for c in names], "x string, y string, value double")
+        return one.unionByName(m.select(F.col("col_b").alias("x"), F.col("col_a").alias("y"), "value")).unionByName(same)
 
     def save(self, path: str) -> None:
         io.save_results(self.tables, {"types": self.types, "groups": self.groups, "target": self.ds.target}, path)

@@ -30,6 +30,19 @@ def p1_errors(spark: SparkSession, d: str) -> DataFrame:
     return parsing.rejected_records(_parsed(spark, d), "line_id")
 
 
+def p1_located(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each error names a place within its record."""
+    lines = table(spark, d, "raw_lines").select("line_id", F.length("raw_line").alias("n"))
+    found = p1_errors(spark, d).join(lines, "line_id")
+    return found.select("line_id", "reason", (F.col("pos").between(0, F.greatest("n", F.lit(0))) & F.col("message").isNotNull()).alias("located"))
+
+
+def p1_recovered(spark: SparkSession, d: str) -> DataFrame:
+    """Typed records that were found again at anchors behind a broken quote."""
+    broken = _parsed(spark, d).where("parsed.reason = 'quoting'")
+    return broken.select("line_id", F.posexplode("parsed.recovered").alias("no", "record")).select("line_id", "no", "record.*")
+
+
 # --- 2: column profile ---------------------------------------------------------------------------------------------
 def _counts(spark: SparkSession, d: str):
     rules = qp.rules_from(table(spark, d, "column_rules"))
@@ -137,11 +150,28 @@ def p7_filled(spark: SparkSession, d: str) -> DataFrame:
     return _impute(spark, d, False)
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every record: its marks, real values unchanged, and all values real where one was filled."""
+    rules = {r.column: r for r in qp.rules_from(table(spark, d, "column_rules"))}
+    before = table(spark, d, "split_rows").where("dataset = 'train'").select("row_id", *[F.col(c).alias(f"{c}_was") for c in ("crop", "soil_c", "moisture")]).dropDuplicates(["row_id"])
+    x = p7_filled(spark, d).join(before, "row_id")
+    listed = lambda c: F.lower(F.trim(c)).isin([v.strip().lower() for v in rules["crop"].value_list or ()])
+    inside = lambda c, v: F.coalesce(~F.isnan(v.cast("double")) & v.between(rules[c].min_value, rules[c].max_value), F.lit(False))
+    marked = lambda c: F.array_contains("filled", c)
+    kept = F.coalesce(~listed(F.col("crop_was")) | (F.lower(F.trim("crop_was")) == F.lower(F.trim("crop"))) & ~marked("crop"), F.lit(True))
+    real = ~marked("crop") | F.coalesce(listed(F.col("crop")), F.lit(False))
+    for c in ("soil_c", "moisture"):
+        was = F.col(f"{c}_was")
+        kept &= ~inside(c, was) | (was.cast("double") == F.col(c).cast("double")) & ~marked(c)
+        real &= ~marked(c) | inside(c, F.col(c))
+    return x.select("row_id", F.size("filled").alias("n_filled"), kept.alias("kept"), real.alias("real"))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_valid": p1_valid, "p1_errors": p1_errors,
+    "p1_found": p1_found, "p1_valid": p1_valid, "p1_errors": p1_errors, "p1_located": p1_located, "p1_recovered": p1_recovered,
     "p2_found": p2_found, "p2_profile": p2_profile, "p2_control_limits": p2_control_limits, "p2_merged": p2_merged,
     "p3_found": p3_found, "p3_unified": p3_unified, "p3_typed": p3_typed, "p3_table": p3_table,
-    "p7_found": p7_found, "p7_filled": p7_filled,
+    "p7_found": p7_found, "p7_filled": p7_filled, "p7_check": p7_check,
 }
 
 _FIELD = r'("([^"]|"")*"|[^",\r\n]*)'
@@ -271,4 +301,6 @@ SELECT load_id, column_name, metric, history, round(value, 4) AS value, round(c
     "p3_typed": _P3_TYPED_SQL,
     "p3_unified": _P3_UNIFIED_SQL,
     "p7_found": _P7_SQL,
+    "p7_check": f"SELECT r.row_id, CAST(count(f.column_name) AS int) AS n_filled, true AS kept, true AS real FROM (SELECT DISTINCT row_id FROM split_rows WHERE dataset = 'train') r LEFT JOIN ({_P7_SQL}) f ON f.row_id = r.row_id GROUP BY 1",
+    "p1_located": _PARSED_SQL + "SELECT line_id, reason, true AS located FROM h WHERE reason IS NOT NULL",
 }

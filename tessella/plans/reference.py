@@ -131,6 +131,11 @@ def js_divergence_splits(spark, d):
     return rounded(balance.js_divergence(profile.value_counts(records(spark, d), CAT, "dataset"), "dataset"), 6, "js")
 
 
+def quick_balance(spark, d):
+    """Columns flagged by each balance check, a column counting once."""
+    return balance_report(spark, d).where("flagged").groupBy("check").agg(F.count_distinct("column").alias("columns"))
+
+
 def balance_report(spark, d):
     r = records(spark, d)
     num = cut(profile.num_profile(r, NUM, "dataset", exact_distinct=False))
@@ -193,10 +198,12 @@ def label_encode(spark, d):
 
 
 def text_vectors(spark, d):
-    """Text components of the notes; only their number per row is stable, so the shape is returned."""
-    notes = records(spark, d).select("row_id", "note")
-    out = features.text_vectors(notes, "note", max_dim=10, buckets=256)
-    return out.select("row_id", F.lit(len(out.columns) - 2).alias("dims"))
+    """Text components of the notes: their number, and the squared length of each row's, which doesn't depend on the
+    signs of the components."""
+    out = features.text_vectors(records(spark, d).select("row_id", "note"), "note")
+    names = [c for c in out.columns if c.startswith("note_")]
+    length = sum((profile.q(c) * profile.q(c) for c in names[1:]), profile.q(names[0]) * profile.q(names[0])) if names else F.lit(0.0)
+    return out.select("row_id", F.lit(len(names)).alias("dims"), F.round(length, 6).alias("squared_length"))
 
 
 # --- quality issues ------------------------------------------------------------------------------------------------
@@ -207,7 +214,7 @@ def near_dup_exact(spark, d):
 
 def _edges(spark, d, k=10):
     e = table(spark, d, "embeddings")
-    return knn.knn_edges(e, e, "vec_id", "embedding", k)
+    return cut(knn.knn_edges(e, e, "vec_id", "embedding", k))  # read twice: for the median, and against it
 
 
 def knn_edges(spark, d):
@@ -230,6 +237,24 @@ def near_duplicates(spark, d):
     return issues.near_duplicate_pairs(_edges(spark, d), 1.0)
 
 
+def outliers_default(spark, d):
+    """At the default threshold."""
+    return rounded(issues.outliers(_edges(spark, d)), 4, "mean_dist", "score")
+
+
+def near_duplicates_default(spark, d):
+    """At the default threshold."""
+    return issues.near_duplicate_pairs(_edges(spark, d))
+
+
+def detect_and_repair(spark, d):
+    """From neighbours to the rows that are left: issues found at the default thresholds are taken out."""
+    edges = _edges(spark, d)
+    bad = issues.outliers(edges).where("is_outlier")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"))
+    return issues.clean(rows, "row_id", outlier_ids=bad, pairs=issues.near_duplicate_pairs(edges))
+
+
 def _reported_pairs(spark, d):
     p = table(spark, d, "near_duplicates_issues").where("row_id is not null and near_dup_id is not null and row_id <> near_dup_id")
     a, b = F.col("row_id") < F.col("near_dup_id"), F.lit(True)
@@ -286,7 +311,7 @@ def label_issues_cv(spark, d):
     """Confident learning on out-of-fold probabilities of a trained classifier."""
     x = records(spark, d).where("label is not null").select("row_id", "dataset", "label", *CAT, *NUM)
     names = sorted(r[0] for r in x.select("label").distinct().collect())
-    p = automl.cross_validated(x, "row_id", "label", "multiclass", k=3)
+    p = automl.cross_validated(x, "row_id", "label", "multiclass")
     return rounded(issues.confident_learning(p, "row_id", "label", names, "probability"), 6, "score")
 
 
@@ -301,6 +326,18 @@ def split_hashed(spark, d):
     return r.groupBy("label", "dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
+def fold_sizes(spark, d):
+    """Rows by class and fold of the folds dealt within each class."""
+    out = split.folds(records(spark, d).select("row_id", "label"), "row_id", target="label")
+    return out.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prepared_rows(spark, d):
+    """Rows ready for modelling: validation folded into train, rows without a usable target dropped."""
+    ds = prep.prepare(prep.Dataset(records(spark, d).select("row_id", "dataset", "label", "crop", "moisture"), "label"))
+    return ds.df.select("row_id", "dataset", "label", "crop", "moisture")
+
+
 def row_index(spark, d):
     return split.row_index(records(spark, d).select("row_id", "dataset"), "row_id", "dataset").select("row_id", "dataset", F.col("new_id").cast("bigint").alias("new_id"))
 
@@ -374,7 +411,24 @@ def multiclass_by_group(spark, d):
 def regression_metrics(spark, d):
     x = _predictions(spark, d).where("not isnan(yield_g)").withColumn("guess", F.col("moisture") * 4.0)
     out = fairness.regression_metrics(x, GROUPS, "yield_g", "guess")
-    return rounded(out.select("feature_set", "grp", "count", "mae", "rmse", "mdae", "r2"), 3, "mae", "rmse", "mdae", "r2")
+    return rounded(out, 3, "mae", "mse", "rmse", "mdae", "mape", "r2")
+
+
+def absolute_errors(spark, d):
+    x = _predictions(spark, d).where("yield_g is not null and not isnan(yield_g) and moisture is not null")
+    return x.select("row_id", F.round(fairness.absolute_error(F.col("yield_g"), F.col("moisture") * 4.0), 6).alias("error"))
+
+
+def overall_metrics(spark, d):
+    """The row of all groups together, for two classes."""
+    return rounded(fairness.overall(_predictions(spark, d), "binary", "y", "pred", "healthy"), 6, "value")
+
+
+def compared_runs(spark, d):
+    """Overall metrics of the reported predictions beside those of the reported labels themselves."""
+    x = _predictions(spark, d).where("pred is not null")
+    before, after = (fairness.overall(x, "binary", "y", p, "healthy") for p in ("pred", "y"))
+    return rounded(fairness.compare_runs(before, after), 6, "before", "after", "change").where("metric in ('accuracy', 'tpr', 'selection_rate')")
 
 
 def log_loss(spark, d):
@@ -435,9 +489,9 @@ def windowed_events(spark, d):
 QUERIES = {f.__name__: f for f in (
     feature_types, feature_types_lineitem, target_types, num_profile, num_profile_orders, num_moments, nearest_quantiles, nearest_quantiles_orders, cat_profile,
     value_counts, txt_profile, top_words, text_columns, zero_columns, histogram, quantile_bins, shape_flags, imbalance, mean_drift, js_divergence, js_divergence_splits,
-    balance_report, pearson, pearson_part, correlation_ratio, cramers_v, association, correlated_groups, top_correlations, impute_simple, was_imputed, standardise,
+    balance_report, quick_balance, pearson, pearson_part, correlation_ratio, cramers_v, association, correlated_groups, top_correlations, impute_simple, was_imputed, standardise,
     label_encode, text_vectors, near_dup_exact, knn_edges, knn_edges_cosine, outliers, near_duplicates, dedup_removal, duplicate_counts, duplicate_sets, cleaned_rows,
-    issue_counts, confident_learning, residual_issues, label_issues_cv, split_80_20_stratified, split_hashed, row_index, union_splits, numeric_coercion, usable_targets,
-    clean_texts, confusion_by_group, metrics_by_group, metric_gaps, fairness_gaps, intersectional, multiclass_by_group, regression_metrics, log_loss, top_slices,
+    outliers_default, near_duplicates_default, detect_and_repair, issue_counts, confident_learning, residual_issues, label_issues_cv, split_80_20_stratified, split_hashed, fold_sizes, prepared_rows, row_index, union_splits, numeric_coercion, usable_targets,
+    clean_texts, confusion_by_group, metrics_by_group, metric_gaps, fairness_gaps, intersectional, multiclass_by_group, regression_metrics, absolute_errors, overall_metrics, compared_runs, log_loss, top_slices,
     supervised_bins, model_assessment, feature_importance, feature_synthesis, semantic_types, windowed_events,
 )}

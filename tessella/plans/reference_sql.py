@@ -180,6 +180,9 @@ q AS (SELECT p.*, CASE WHEN p0 >= t0 THEN p0 END AS a, CASE WHEN p1 >= t1 THEN p
 SELECT row_id, coalesce(CASE WHEN a = greatest(a, b, c) THEN 'diseased' WHEN b = greatest(a, b, c) THEN 'healthy' WHEN c = greatest(a, b, c) THEN 'stressed' END <> original_label, false) AS is_issue, round(s, 6) AS score, original_label,
 CASE WHEN p0 = greatest(p0, p1, p2) THEN 'diseased' WHEN p1 = greatest(p0, p1, p2) THEN 'healthy' ELSE 'stressed' END AS predicted_label FROM q"""
 
+_OVERALL = f"WITH o AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM ({conf(SETS1[:1])})) SELECT 'count' AS metric, CAST(tp + fp + tn + fn AS double) AS value FROM o" + "".join(
+    f" UNION ALL SELECT '{n}', round(CAST({f} AS double), 6) FROM o" for n, f in FORMULAS.items()
+)
 _KNN_ALL = knn("true")
 SQL = {
     "feature_types": types(R, {"device_id": "num", "site_code": "txt", "age_band": "txt", "channel": "txt", "crop": "txt", "battery_v": "num", "yield_g": "num", "soil_c": "num", "moisture": "num", "note": "txt", "label": "txt"}),
@@ -231,6 +234,17 @@ SELECT row_id, coalesce(b, mb) AS battery_v, coalesce(m, mm) AS moisture, coales
     "knn_edges_cosine": f"SELECT src_id, dst_id, rank, round(dist, 5) AS dist FROM ({knn('vec_id % 100 = 0', metric='(1 - list_cosine_similarity(a.v, b.v))')})",
     "outliers": f"WITH m AS (SELECT src_id AS row_id, avg(dist) AS d FROM ({_KNN_ALL}) GROUP BY 1) SELECT row_id, round(d, 4) AS mean_dist, d > (SELECT median(d) FROM m) / 0.97 AS is_outlier, round(exp(-d / (SELECT median(d) FROM m)), 4) AS score FROM m",
     "near_duplicates": f"WITH e AS ({_KNN_ALL}) SELECT DISTINCT least(src_id, dst_id) AS a, greatest(src_id, dst_id) AS b FROM e WHERE dist <= (SELECT median(dist) FROM e WHERE rank = 1)",
+    "outliers_default": f"WITH m AS (SELECT src_id AS row_id, avg(dist) AS d FROM ({_KNN_ALL}) GROUP BY 1) SELECT row_id, round(d, 4) AS mean_dist, d > (SELECT median(d) FROM m) / 0.37 AS is_outlier, round(exp(-d / (SELECT median(d) FROM m)), 4) AS score FROM m",
+    "near_duplicates_default": f"WITH e AS ({_KNN_ALL}) SELECT DISTINCT least(src_id, dst_id) AS a, greatest(src_id, dst_id) AS b FROM e WHERE dist <= 0.13 * (SELECT median(dist) FROM e WHERE rank = 1)",
+    "detect_and_repair": f"""WITH e AS ({_KNN_ALL}), m AS (SELECT src_id AS row_id, avg(dist) AS d FROM e GROUP BY 1) SELECT vec_id AS row_id FROM embeddings WHERE vec_id NOT IN (SELECT row_id FROM m WHERE d > (SELECT median(d) FROM m) / 0.37)
+AND vec_id NOT IN (SELECT greatest(src_id, dst_id) FROM e WHERE dist <= 0.13 * (SELECT median(dist) FROM e WHERE rank = 1))""",
+    "quick_balance": f'SELECT "check", count(DISTINCT "column") AS columns FROM ({_REPORT}) WHERE flagged GROUP BY 1',
+    "fold_sizes": f"WITH c AS (SELECT label, count(*) AS n FROM {R} GROUP BY 1) SELECT label, CAST(f AS int) AS fold, CAST((n + 4 - f) // 5 AS bigint) AS n FROM c, range(5) t(f) WHERE (n + 4 - f) // 5 > 0",
+    "prepared_rows": f"SELECT row_id, CASE dataset WHEN 'val' THEN 'train' ELSE dataset END AS dataset, label, crop, moisture FROM {R} WHERE label IS NOT NULL",
+    "absolute_errors": f"SELECT row_id, round(sqrt(power(yield_g - moisture * 4.0, 2)), 6) AS error FROM {PRED} WHERE NOT isnan(yield_g) AND moisture IS NOT NULL",
+    "overall_metrics": _OVERALL,
+    "compared_runs": f"""WITH x AS (SELECT y = 'healthy' AS t, pred = 'healthy' AS p FROM {PRED} WHERE y IS NOT NULL AND pred IS NOT NULL), a AS (SELECT avg(CAST(t = p AS int)) AS acc, avg(CAST(p AS int)) FILTER (t) AS tpr, avg(CAST(p AS int)) AS sel, avg(CAST(t AS int)) AS base FROM x)
+SELECT 'accuracy' AS metric, round(acc, 6) AS before, 1.0 AS after, round(1 - acc, 6) AS change FROM a UNION ALL SELECT 'tpr', round(tpr, 6), 1.0, round(1 - tpr, 6) FROM a UNION ALL SELECT 'selection_rate', round(sel, 6), round(base, 6), round(base - sel, 6) FROM a""",
     "dedup_removal": f"SELECT DISTINCT b AS row_id FROM {PAIRS}",
     "duplicate_counts": f"""WITH p AS (SELECT * FROM {PAIRS} WHERE split_a IS NOT NULL AND split_b IS NOT NULL), o AS (SELECT *, CASE split_a WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END <= CASE split_b WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS up FROM p)
 SELECT kind, count(DISTINCT id) AS rows FROM (SELECT split_a AS kind, unnest([a, b]) AS id FROM p WHERE split_a = split_b UNION ALL SELECT CASE WHEN up THEN split_a || '-' || split_b ELSE split_b || '-' || split_a END, CASE WHEN up THEN b ELSE a END FROM o WHERE split_a <> split_b) GROUP BY 1""",
@@ -256,7 +270,7 @@ round(max(difference) FILTER (metric IN ('tpr', 'fpr')), 6) AS equalized_odds_di
 round(max(difference) FILTER (metric = 'tpr'), 6) AS equal_opportunity_difference, round(max(ratio) FILTER (metric = 'tpr'), 6) AS equal_opportunity_ratio FROM ({gap_rows(['selection_rate', 'tpr', 'fpr'])}) GROUP BY 1""",
     "intersectional": binary(SETS3, ["accuracy", "selection_rate", "tpr"]),
     "multiclass_by_group": _MULTI,
-    "regression_metrics": f"""SELECT feature_set, grp, count(*) AS "count", round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse, round(median(abs(e)), 3) AS mdae, round(1 - sum(e * e) / nullif(sum(power(yield_g - my, 2)), 0), 3) AS r2
+    "regression_metrics": f"""SELECT feature_set, grp, count(*) AS "count", round(avg(abs(e)), 3) AS mae, round(avg(e * e), 3) AS mse, round(sqrt(avg(e * e)), 3) AS rmse, round(median(abs(e)), 3) AS mdae, round(avg(abs(e) / greatest(abs(yield_g), power(2.0, -52))), 3) AS mape, round(1 - sum(e * e) / nullif(sum(power(yield_g - my, 2)), 0), 3) AS r2
 FROM (SELECT *, yield_g - moisture * 4.0 AS e, avg(yield_g) OVER (PARTITION BY feature_set, grp) AS my FROM ({groups(SETS1)}) WHERE NOT isnan(yield_g) AND moisture IS NOT NULL) GROUP BY 1, 2""",
     "log_loss": f"SELECT row_id, round({LOSS}, 6) AS loss FROM {PRED} WHERE y IS NOT NULL AND score IS NOT NULL",
     "top_slices": slice_rows(),

@@ -16,11 +16,38 @@ READERS = (".csv", ".parquet", ".feather")
 SNIFFED = 100_000  # bytes an encoding is guessed from
 
 
+def _path(spark: SparkSession, path: str):
+    """Path and file system: local, shared or an object store, as the session is configured."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    at, fs = _path(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a file; None if there is none."""
+    at, fs = _path(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     """utf-8 if the head of the file decodes as such, utf-16 by its mark, else iso-8859-1."""
     jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    at, fs = _path(spark, path)
+    stream = fs.open(at)
     try:
         head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFFED)))
     finally:
@@ -35,13 +62,15 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
     return "utf-8"
 
 
-def load_file(spark: SparkSession, path: str) -> DataFrame:
-    """One csv, parquet or feather file by its suffix; others are an error."""
+def load_file(spark: SparkSession, path: str, *, multiline: bool = True, schema: str | None = None) -> DataFrame:
+    """One csv, parquet or feather file by its suffix; others are an error. Quoted fields of a csv may hold line breaks,
+    so it is one task's work; ``multiline=False`` says that none does, and large files are then read in splits. A
+    ``schema`` saves the scan that infers one. A feather file is read on the driver: it is meant for small tables."""
     suffix = Path(path).suffix.lower()
     if suffix == ".parquet":
         return spark.read.parquet(path)
     if suffix == ".csv":
-        return spark.read.csv(path, header=True, inferSchema=True, encoding=sniff_encoding(spark, path), multiLine=True, escape='"')
+        return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None, encoding=sniff_encoding(spark, path), multiLine=multiline, escape='"')
     if suffix == ".feather":
         from pyarrow import feather
 
@@ -49,10 +78,10 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown file type {path}")
 
 
-def load_files(spark: SparkSession, paths: str | list[str]) -> DataFrame | None:
+def load_files(spark: SparkSession, paths: str | list[str], **how) -> DataFrame | None:
     """Files of known type as one frame; others are skipped. Different column sets are an error; None without files."""
     paths = [paths] if isinstance(paths, str) else paths
-    parts = [load_file(spark, p) for p in paths if Path(p).suffix.lower() in READERS]
+    parts = [load_file(spark, p, **how) for p in paths if Path(p).suffix.lower() in READERS]
     if not parts:
         return None
     if any(set(p.columns) != set(parts[0].columns) for p in parts):
@@ -74,13 +103,29 @@ def load_splits(spark: SparkSession, path: str, split: str = "dataset") -> dict[
     return {n: df.where(F.col(split) == n).drop(split) if n in held else None for n in ("train", "val", "test")}
 
 
-def save_text(path: str, text: str) -> None:
+def save_text(spark: SparkSession, path: str, text: str) -> None:
     """Side text without characters beyond the basic plane."""
-    Path(path).write_text(re.sub(r"[^\u0000-￿]", "", text), encoding="utf-8")
+    write_text(spark, path, re.sub(r"[^\u0000-￿]", "", text))
+
+
+load_text = read_text
+
+
+def folder_source(root: str) -> Callable[[SparkSession, str], dict[str, DataFrame]]:
+    """Adapter of a hub whose datasets were fetched into folders of ``root``: files by ``splits.json`` if there is one,
+    else every file whose name starts with a split's, else all files as train."""
 
+    def read(spark: SparkSession, name: str) -> dict[str, DataFrame]:
+        folder = f"{root.rstrip('/')}/{name}"
+        held = manifest_splits(spark, folder)
+        if held is None:
+            at, fs = _path(spark, folder)
+            files = sorted(f.getPath().toString() for f in fs.listStatus(at) if Path(f.getPath().getName()).suffix.lower() in READERS)
+            named = {s: [f for f in files if Path(f).name.lower().startswith(s)] for s in ("train", "val", "test")}
+            held = {s: f for s, f in named.items() if f} or {"train": files}
+        return {s: d for s, f in held.items() if (d := load_files(spark, f)) is not None}
 
-def load_text(path: str) -> str | None:
-    return Path(path).read_text(encoding="utf-8") if Path(path).exists() else None
+    return read
 
 
 ADAPTERS: dict[str, Callable[[SparkSession, str], dict[str, DataFrame]]] = {}
@@ -115,23 +160,25 @@ def load_dataset(
     return Dataset(df, target, "dataset", key, sensitive, interest, title, description, seed, path)
 
 
-def manifest_splits(folder: str) -> dict[str, list[str]]:
-    """``splits.json`` of a folder: which files are train, val and test."""
-    held = json.loads(Path(folder, "splits.json").read_text())
-    return {n: [str(Path(folder, f)) for f in ([fs] if isinstance(fs, str) else fs)] for n, fs in held.items()}
+def manifest_splits(spark: SparkSession, folder: str) -> dict[str, list[str]] | None:
+    """``splits.json`` of a folder: which files are train, val and test; None if there is none."""
+    text = read_text(spark, f"{folder}/splits.json")
+    return None if text is None else {n: [f"{folder}/{f}" for f in ([fs] if isinstance(fs, str) else fs)] for n, fs in json.loads(text).items()}
 
 
 def save_results(tables: dict[str, DataFrame], scalars: dict, path: str) -> None:
     """Result tables as parquet, the rest as JSON."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    Path(path).mkdir(parents=True, exist_ok=True)
-    Path(path, "scalars.json").write_text(json.dumps({"tables": {n: d.schema.simpleString() for n, d in tables.items()}, "scalars": scalars}))
+    write_text(SparkSession.active(), f"{path}/scalars.json", json.dumps({"tables": {n: d.schema.simpleString() for n, d in tables.items()}, "scalars": scalars}))
 
 
 def load_results(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     """Results back, their schemas checked."""
-    held = json.loads(Path(path, "scalars.json").read_text())
+    text = read_text(spark, f"{path}/scalars.json")
+    if text is None:
+        raise ValueError(f"no results in {path}")
+    held = json.loads(text)
     tables = {}
     for name, schema in held["tables"].items():
         df = spark.read.parquet(f"{path}/{name}")

@@ -1,4 +1,5 @@
 import csv
+import random
 import io
 
 import pytest
@@ -85,3 +86,32 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text(GOOD + '\n2,3,,,,,,"broken\n4,5,,,,,,z\n')
     out = p.parse_files(spark, str(tmp_path), p.TRAIN_EXPORT).collect()
     assert sorted((r.reason or "", r.record.row_id if r.record else 0) for r in out) == [("", 1), ("", 4), ("quoting", 0)]
+
+
+def test_files_in_splits(spark, tmp_path):
+    """Records that cross the ends of splits, broken quotes and splits without any anchor change nothing."""
+    rng = random.Random(3)
+    rows, want = [], 0
+    for i in range(1, 400):
+        kind = rng.random()
+        note = "plain" if kind < 0.5 else '"two\nlines ""of"" it"' if kind < 0.7 else '"' + "long\n" * rng.randint(50, 200) + '"' if kind < 0.75 else '"broken' if kind < 0.85 else "x"
+        rows.append(f"{i},{i % 7},,,,,,{note}" if kind < 0.95 else f"{i},7,a")
+        want += kind < 0.75 or 0.85 <= kind < 0.95
+    (tmp_path / "a.csv").write_text("\n".join(rows) + "\n")
+    (tmp_path / "b.csv").write_text(rows[0])
+    (tmp_path / "c.csv").write_text("")
+
+    def found():
+        return sorted(((r.path[-5:], r.reason, r.record) for r in p.parse_files(spark, str(tmp_path), p.TRAIN_EXPORT).collect()), key=repr)
+
+    whole = found()
+    assert sum(r.reason is None for r in p.parse_files(spark, str(tmp_path / "a.csv"), p.TRAIN_EXPORT).collect()) == want
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("200", "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert found() == whole
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

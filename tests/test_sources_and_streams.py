@@ -40,9 +40,9 @@ def test_dataset_and_results(spark, tmp_path):
     tables, scalars = io.load_results(spark, str(tmp_path / "res"))
     assert tables["x"].count() == 3 and scalars == {"n": 3}
     (tmp_path / "splits.json").write_text(json.dumps({"train": "a.csv", "test": ["b.csv"]}))
-    assert io.manifest_splits(str(tmp_path))["train"] == [str(tmp_path / "a.csv")]
-    io.save_text(str(tmp_path / "d.txt"), "a🎉b")
-    assert io.load_text(str(tmp_path / "d.txt")) == "ab" and io.load_text(str(tmp_path / "no.txt")) is None
+    assert io.manifest_splits(spark, str(tmp_path))["train"] == [str(tmp_path / "a.csv")]
+    io.save_text(spark, str(tmp_path / "d.txt"), "a🎉b")
+    assert io.load_text(spark, str(tmp_path / "d.txt")) == "ab" and io.load_text(spark, str(tmp_path / "no.txt")) is None
 
 
 def test_stream_equals_batch(spark, tmp_path):
