@@ -3,7 +3,7 @@
 Model: every group (a device) belongs to one latent component k. Its categorical fields are drawn from theta_k; the
 group's mean of numeric field j is N(mu_kj, tau_kj^2) and its rows scatter around that mean with a within-group
 covariance shared by all groups, time among the fields, so that a fill follows the record's own time and the fields
-it does have.
+it does have. All of pi, mu, tau, theta and the variances within groups are re-estimated in each iteration.
 
 Fitting is expectation-maximisation on *sufficient statistics per group* (counts, sums, cross sums, category counts).
 They are aggregated once over all rows with map-side combination; an iteration then only reads the table of groups and
@@ -104,17 +104,20 @@ class MixtureImputer:
 
     # --- rows and group statistics -----------------------------------------------------------------------------
     def rows(self, df: DataFrame, key: str, group: str, time: str | None) -> DataFrame:
-        """Narrow view of the records, each key once."""
+        """Narrow view of the records, each key once: of copies that differ the smallest counts, so that fitting and
+        filling see the same."""
         when = F.lit(None).cast("double")
         if time is not None:
             when = F.col(f"`{time}`").cast("timestamp").cast("double") / 86400.0 - 19000.0  # days, near zero
-        return df.select(
+        x = df.select(
             F.col(f"`{key}`").alias("_key"),
             F.col(f"`{group}`").alias("_group"),
             when.alias("_time"),
             *[real_number(F.col(f"`{s.name}`"), s).alias(f"x{j}") for j, s in enumerate(self.numeric)],
             *[real_category(F.col(f"`{s.name}`"), s).alias(f"c{j}") for j, s in enumerate(self.categorical)],
-        ).dropDuplicates(["_key"])
+        )
+        cells = [c for c in x.columns if c != "_key"]
+        return x.groupBy("_key").agg(F.min(F.struct(*cells)).alias("_r")).select("_key", "_r.*")
 
     def group_stats(self, rows: DataFrame) -> DataFrame:
         """Sufficient statistics per group; groups without a name are left out."""
@@ -170,8 +173,8 @@ class MixtureImputer:
         # the first pass starts from the groups' main category, so that components have a meaning and a fixed order
         start = rng.normal(size=(K, J))
         cols = ["weight", *[f"n_x{j}" for j in range(J)], *[f"s_x{j}" for j in range(J)], *[f"counts{j}" for j in range(len(self.categorical))]]
-        table = stats.select(*cols)
-        width = 1 + 3 * J + sum(len(c.values) for c in self.categorical)
+        table = stats.select(*cols, *[F.col(f"sp_x{j}_x{j}").alias(f"q_x{j}") for j in range(J)])
+        width = 1 + 5 * J + sum(len(c.values) for c in self.categorical)
         for step in range(self.iterations + 1):
             sums, loglik, groups = self.expect(table, model, start if step == 0 else None, width, K)
             if groups == 0:
@@ -181,6 +184,10 @@ class MixtureImputer:
                 model.loglik.append(loglik)
                 if step > 1 and abs(loglik - model.loglik[-2]) <= self.tolerance * abs(loglik):
                     break
+        # the variances as fitted, with the correlations of the pooled statistics
+        scale = np.ones(len(cov))
+        scale[:J] = np.sqrt(model.sigma2 / np.diag(cov)[:J])
+        model.within = cov * np.outer(scale, scale)
         return model
 
     def read(self, pdf: pd.DataFrame):
@@ -199,6 +206,8 @@ class MixtureImputer:
                 if not len(pdf):
                     continue
                 n, s, cats = read(pdf)
+                squares = pdf[[f"q_x{j}" for j in range(n.shape[1])]].to_numpy(float).reshape(n.shape)
+                own = s / np.maximum(n, 1)  # the group's own mean
                 r, m, v, ll = model.posterior(n, s, cats)
                 if start is not None:
                     m = np.where(n > 0, s / np.maximum(n, 1), np.nan)
@@ -211,7 +220,10 @@ class MixtureImputer:
                     m, v = np.nan_to_num(m)[:, None, :].repeat(K, 1), np.zeros((len(pdf), K, m.shape[1]))
                 # only groups that have the field speak on its component's mean
                 held = (n > 0)[:, None, :] * r[:, :, None]
-                parts = [r.sum(0)[:, None], held.sum(0), (held * m).sum(0), (held * (m * m + v)).sum(0), *[r.T @ c for c in cats]]
+                # squares of the rows around the group's expected mean: those around its own, and how far the two are apart
+                apart = n[:, None, :] * held * ((own[:, None, :] - m) ** 2 + v)
+                around = held * np.maximum(squares - n * own**2, 0)[:, None, :]
+                parts = [r.sum(0)[:, None], held.sum(0), (held * m).sum(0), (held * (m * m + v)).sum(0), (n[:, None, :] * held).sum(0), (around + apart).sum(0), *[r.T @ c for c in cats]]
                 total += np.hstack(parts)
                 loglik += ll
                 groups += len(pdf)
@@ -235,10 +247,12 @@ class MixtureImputer:
         second = sums[:, 1 + 2 * J : 1 + 3 * J] / np.maximum(held, 1e-9)
         overall = sums[:, 1 + J : 1 + 2 * J].sum(0) / np.maximum(held.sum(0), 1e-9)
         empty = held < 1e-6
+        rows, spread = sums[:, 1 + 3 * J : 1 + 4 * J].sum(0), sums[:, 1 + 4 * J : 1 + 5 * J].sum(0)
+        model.sigma2 = np.maximum(np.where(rows > groups, spread / np.maximum(rows, 1), model.sigma2), 1e-6)
         model.pi = (weight + 1) / (weight.sum() + K)
         model.mu = np.where(empty, overall, mean)
         model.tau2 = np.maximum(np.where(empty, 1.0, second - mean**2), 1e-3 * model.sigma2 + 1e-9)
-        at = 1 + 3 * J
+        at = 1 + 5 * J
         for j, c in enumerate(self.categorical):
             part = sums[:, at : at + len(c.values)] + 0.5
             model.theta[j] = part / part.sum(axis=1, keepdims=True)

@@ -132,10 +132,10 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- 7: missing values ---------------------------------------------------------------------------------------------
-def _impute(spark: SparkSession, d: str, only_missing: bool) -> DataFrame:
+def _impute(spark: SparkSession, d: str, only_missing: bool, rows: DataFrame | None = None) -> DataFrame:
     rules = {r.column: r for r in qp.rules_from(table(spark, d, "column_rules"))}
     return mi.impute(
-        table(spark, d, "split_rows").where("dataset = 'train'"), key="row_id", group="device_id", time="observed_at",
+        table(spark, d, "split_rows").where("dataset = 'train'") if rows is None else rows, key="row_id", group="device_id", time="observed_at",
         numeric=[mi.NumericField(c, rules[c].min_value, rules[c].max_value) for c in ("soil_c", "moisture")],
         categorical=[mi.CategoryField("crop", rules["crop"].value_list or ())], only_missing=only_missing,
     )
@@ -150,6 +150,27 @@ def p7_filled(spark: SparkSession, d: str) -> DataFrame:
     return _impute(spark, d, False)
 
 
+def p7_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How good the fills are: every twentieth record by hash has its real values hidden and filled again. Root mean
+    square error of numbers and share of wrong crops, beside those of the device's mean and most frequent crop."""
+    rules = {r.column: r for r in qp.rules_from(table(spark, d, "column_rules"))}
+    rows = table(spark, d, "split_rows").where("dataset = 'train'").select("row_id", "device_id", "observed_at", "crop", "soil_c", "moisture").groupBy("row_id").agg(
+        F.min(F.struct("device_id", "observed_at", "crop", "soil_c", "moisture")).alias("r")
+    ).select("row_id", "r.*")
+    numbers, crops = ("soil_c", "moisture"), mi.CategoryField("crop", rules["crop"].value_list or ())
+    real = rows.select("row_id", "device_id", "observed_at", mi.real_category(F.col("crop"), crops).alias("crop"), *[mi.real_number(F.col(c), mi.NumericField(c, rules[c].min_value, rules[c].max_value)).alias(c) for c in numbers])
+    real = written(real.withColumn("hidden", F.pmod(F.xxhash64("row_id", F.lit(5)), F.lit(20)) == 0), "real")
+    shown = real.where("not hidden")
+    model = _impute(spark, d, True, real.select("row_id", "device_id", "observed_at", *[F.when(~F.col("hidden"), F.col(c)).alias(c) for c in ("crop", *numbers)]))
+    plain = shown.groupBy("device_id").agg(F.mode("crop").alias("p_crop"), *[F.avg(c).alias(f"p_{c}") for c in numbers])
+    x = real.where("hidden").join(model.select("row_id", *[F.col(c).alias(f"m_{c}") for c in ("crop", *numbers)]), "row_id").join(plain, "device_id")
+    wrong = lambda a, b: F.avg(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), (F.col(a) != F.col(b)).cast("double")))
+    rmse = lambda a, b: F.sqrt(F.avg((F.col(a) - F.col(b)) ** 2))
+    cells = [F.struct(F.lit("crop").alias("column_name"), F.count("crop").alias("n"), wrong("crop", "m_crop").alias("error"), wrong("crop", "p_crop").alias("device_error"))]
+    cells += [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), rmse(c, f"m_{c}").alias("error"), rmse(c, f"p_{c}").alias("device_error")) for c in numbers]
+    return x.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.column_name", "c.n", F.round("c.error", 4).alias("error"), F.round("c.device_error", 4).alias("device_error"))
+
+
 def p7_check(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of every record: its marks, real values unchanged, and all values real where one was filled."""
     rules = {r.column: r for r in qp.rules_from(table(spark, d, "column_rules"))}
@@ -171,7 +192,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_valid": p1_valid, "p1_errors": p1_errors, "p1_located": p1_located, "p1_recovered": p1_recovered,
     "p2_found": p2_found, "p2_profile": p2_profile, "p2_control_limits": p2_control_limits, "p2_merged": p2_merged,
     "p3_found": p3_found, "p3_unified": p3_unified, "p3_typed": p3_typed, "p3_table": p3_table,
-    "p7_found": p7_found, "p7_filled": p7_filled, "p7_check": p7_check,
+    "p7_found": p7_found, "p7_filled": p7_filled, "p7_check": p7_check, "p7_quality": p7_quality,
 }
 
 _FIELD = r'("([^"]|"")*"|[^",\r\n]*)'
