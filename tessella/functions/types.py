@@ -47,9 +47,12 @@ def distinct_ratio_is_below(df: DataFrame, columns: list[str], threshold: float)
             doubtful.append((i, c))
         out[c] = seen < threshold * first.n
     if doubtful:
-        exact = df.agg(*[F.count_distinct(q(c)).alias(f"u{i}") for i, c in doubtful]).first()
+        # by (column, value), combined before the shuffle; one aggregate of several distinct counts would copy each row per column
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("v")) for i, c in doubtful])
+        pairs = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null").distinct()
+        exact = {r.i: r["count"] for r in pairs.groupBy("i").count().collect()}
         for i, c in doubtful:
-            out[c] = (exact[f"u{i}"] + first[f"z{i}"]) / first.n < threshold
+            out[c] = (exact.get(i, 0) + first[f"z{i}"]) / first.n < threshold
     return out
 
 

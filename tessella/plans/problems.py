@@ -131,6 +131,13 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
     return sd.replay(rescued, schema, ["record_id", "file_id"])
 
 
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Fields with a value of each record of the whole table, typed and rescued together: nothing may be lost."""
+    t = p3_table(spark, d)
+    typed = [F.col(c).isNotNull().cast("int") for c in ("rec_key", *WHOLE_SCHEMA.columns)]
+    return t.select("record_id", (sum(typed[1:], typed[0]) + F.coalesce(F.size(F.json_object_keys("_rescued")), F.lit(0))).cast("bigint").alias("n_fields"))
+
+
 # --- 7: missing values ---------------------------------------------------------------------------------------------
 def _impute(spark: SparkSession, d: str, only_missing: bool, rows: DataFrame | None = None) -> DataFrame:
     rules = {r.column: r for r in qp.rules_from(table(spark, d, "column_rules"))}
@@ -191,7 +198,7 @@ def p7_check(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_valid": p1_valid, "p1_errors": p1_errors, "p1_located": p1_located, "p1_recovered": p1_recovered,
     "p2_found": p2_found, "p2_profile": p2_profile, "p2_control_limits": p2_control_limits, "p2_merged": p2_merged,
-    "p3_found": p3_found, "p3_unified": p3_unified, "p3_typed": p3_typed, "p3_table": p3_table,
+    "p3_found": p3_found, "p3_unified": p3_unified, "p3_typed": p3_typed, "p3_table": p3_table, "p3_kept": p3_kept,
     "p7_found": p7_found, "p7_filled": p7_filled, "p7_check": p7_check, "p7_quality": p7_quality,
 }
 
@@ -321,6 +328,7 @@ SELECT load_id, column_name, metric, history, round(value, 4) AS value, round(c
     "p3_found": _P3_SQL,
     "p3_typed": _P3_TYPED_SQL,
     "p3_unified": _P3_UNIFIED_SQL,
+    "p3_kept": """SELECT record_id, count(*) FILTER (json_type(body, '$."' || k || '"') <> 'NULL') AS n_fields FROM (SELECT record_id, body, unnest(json_keys(body)) AS k FROM file_records) GROUP BY 1""",
     "p7_found": _P7_SQL,
     "p7_check": f"SELECT r.row_id, CAST(count(f.column_name) AS int) AS n_filled, true AS kept, true AS real FROM (SELECT DISTINCT row_id FROM split_rows WHERE dataset = 'train') r LEFT JOIN ({_P7_SQL}) f ON f.row_id = r.row_id GROUP BY 1",
     "p1_located": _PARSED_SQL + "SELECT line_id, reason, true AS located FROM h WHERE reason IS NOT NULL",

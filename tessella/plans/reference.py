@@ -476,6 +476,13 @@ def feature_synthesis(spark, d):
     return out.select("p_partkey", *[profile.q(b) for b in best])
 
 
+def best_feature(spark, d):
+    """The crossed feature that follows a product best is the product."""
+    x = table(spark, d, "part").withColumn("t", F.col("p_retailprice") * F.col("p_size"))
+    out, best = automl.synthesise(x, "t", ["p_retailprice", "p_size", "p_partkey"], ["p_brand"], 1)
+    return out.select("p_partkey", F.lit(best[0]).alias("feature"), F.round(profile.q(best[0]), 4).alias("value"))
+
+
 def semantic_types(spark, d):
     r = records(spark, d)
     return semantic.semantic_types(r, {c: t for c, t in ty.feature_types(r, TYPED).items()}, "row_id")
@@ -493,5 +500,5 @@ QUERIES = {f.__name__: f for f in (
     label_encode, text_vectors, near_dup_exact, knn_edges, knn_edges_cosine, outliers, near_duplicates, dedup_removal, duplicate_counts, duplicate_sets, cleaned_rows,
     outliers_default, near_duplicates_default, detect_and_repair, issue_counts, confident_learning, residual_issues, label_issues_cv, split_80_20_stratified, split_hashed, fold_sizes, prepared_rows, row_index, union_splits, numeric_coercion, usable_targets,
     clean_texts, confusion_by_group, metrics_by_group, metric_gaps, fairness_gaps, intersectional, multiclass_by_group, regression_metrics, absolute_errors, overall_metrics, compared_runs, log_loss, top_slices,
-    supervised_bins, model_assessment, feature_importance, feature_synthesis, semantic_types, windowed_events,
+    supervised_bins, model_assessment, feature_importance, feature_synthesis, best_feature, semantic_types, windowed_events,
 )}

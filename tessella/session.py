@@ -35,10 +35,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a compressed columnar table of the shared folder and read it back. Smaller on disk than
-    ``cut`` for wide rows, and column pruning still applies to later reads."""
+    ``cut`` for wide rows, and column pruning still applies to later reads. The table stays until ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables ``written`` in this process and return their number. Results that still read from them are
+    void, so it is called once those are saved."""
+    conf = spark._jsc.hadoopConfiguration()
+    n = 0
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n

@@ -1,5 +1,6 @@
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -338,3 +339,61 @@ def test_slices_reach_all_features_by_default(spark):
     df = spark.createDataFrame(rows, "row_id long, a string, b string, c string, e double")
     best = one(slices.find_slices(df, ["a", "b", "c"], "e"))
     assert (best.slice, best.level, best.n) == ("a=a0 & b=b0 & c=c0", 3, 10)
+
+
+@pytest.mark.parametrize(("column", "kind", "samples", "name"), [
+    ("x", "txt", ["10.0.0.1", "192.168.1.20"], "ip address"), ("x", "txt", ["2024-01-02 10:11:12", "2024-01-02T10:11:12Z"], "timestamp"), ("x", "cat", ["yes", "no", "No"], "boolean"),
+    ("x", "txt", ["12 cm", "3.5 kg"], "measurement"), ("x", "txt", ["18-25", "26-40", "65+"], "range"), ("x", "txt", ["€ 3,50", "12 EUR"], "currency"), ("x", "txt", ["a sentence here"], "text"),
+    ("birthYear", "num", ["1980.0", "1999.0"], "year"), ("p", "num", ["0.2", "0.9"], "proportion"), ("b", "num", ["0", "1"], "flag"), ("sale_price", "num", ["3", "9"], "price"), ("e", "txt", [], "text"),
+    ("m", "txt", ["a@b.org"] * 19 + ["none"], "email"),
+])
+def test_names_by_rules(column, kind, samples, name):
+    assert semantic.name_by_rules(column, kind, samples) == name
+
+
+def test_grouped_medians(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([None, *[rng.gauss(0, 1) for _ in range(5)]])) for _ in range(3000)] + [("lone", 1, 4.0), ("empty", 1, None)]
+    held = {}
+    for g, h, v in rows:
+        if v is not None:
+            held.setdefault((g, h), []).append(v)
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    got = {(r.g, r.h): r["median"] for r in features.grouped_medians(df, ["g", "h"], "v").collect()}
+    assert got == pytest.approx({k: statistics.median(v) for k, v in held.items()})
+
+
+def test_ranks_over_ranges_and_folds(spark):
+    df = spark.range(500).selectExpr("id as row_id", "if(id % 10 = 0, null, if(id % 3 = 0, 'hot', 'b')) as label", "1 as _p")
+    ranks = split.ranked(df, [F.col("label")], [-F.col("row_id")]).collect()
+    for label in (None, "hot", "b"):
+        mine = sorted((r._rank, r.row_id) for r in ranks if r.label == label)
+        assert [i for i, _ in mine] == list(range(1, len(mine) + 1)) and [k for _, k in mine] == sorted((k for _, k in mine), reverse=True)
+        assert {r._size for r in ranks if r.label == label} == {len(mine)}
+    sizes = {}
+    for r in split.folds(df, "row_id", 5, target="label").collect():
+        sizes.setdefault(r.label, {}).setdefault(r.fold, 0)
+        sizes[r.label][r.fold] += 1
+    assert all(max(v.values()) - min(v.values()) <= 1 and len(v) == 5 for v in sizes.values())
+    assert split.ranked(df.limit(0), [F.col("label")], [F.col("row_id")]).count() == 0
+
+
+def test_bins_mean_the_same_in_every_frame(spark):
+    df = spark.range(300).selectExpr("id as row_id", "cast(id % 30 as double) as x", "if(id % 30 < 12, 1, 0) as y")
+    train, (test,) = binning.auto_bin(df.where("row_id % 2 = 0"), [df.where("row_id % 2 = 1 and x > 20")], ["x"], "y", 1)
+    assert {r.x_bin for r in train.select("x_bin").distinct().collect()} >= {r.x_bin for r in test.select("x_bin").distinct().collect()}
+
+
+def test_group_means_are_offered_as_features(spark):
+    df = spark.range(400).selectExpr("id % 20 as g", "cast(hash(id) % 100 as double) as a").selectExpr("cast(g as string) as g", "a")
+    t = df.join(df.groupBy("g").agg(F.avg("a").alias("t")), "g")
+    _, best = automl.synthesise(t, "t", ["a"], ["g"], n=1)
+    assert best == ["mean(a|g)"]
+
+
+def test_written_tables_can_be_discarded(spark):
+    from tessella import session
+
+    session.discard(spark)
+    t = session.written(spark.range(5).toDF("x"), "trial")
+    assert t.count() == 5 and session.discard(spark) == 1 and session.discard(spark) == 0
