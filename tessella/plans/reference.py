@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tessella.functions import text as tx
 from tessella.functions import types as ty
 from tessella.operators import assoc, automl, balance, binning, fairness, features, issues, knn, prep, profile, semantic, slices, split
-from tessella.session import cut, table
+from tessella.operators.summary import DataSummary, load_summary
+from tessella.session import cut, fresh_path, table
+from tessella.sources import io
 from tessella.streaming import incremental
 
 NUM = ["battery_v", "yield_g", "moisture"]
@@ -315,6 +317,43 @@ def label_issues_cv(spark, d):
     return rounded(issues.confident_learning(p, "row_id", "label", names, "probability"), 6, "score")
 
 
+# --- the summary of a dataset, and what is saved of it -------------------------------------------------------------
+def _summary(spark, d):
+    r = records(spark, d).select("row_id", "dataset", "label", *CAT, *NUM, "note")
+    return DataSummary(prep.Dataset(r, "label"), {c: "cat" for c in ("label", *CAT)} | {c: "num" for c in NUM} | {"note": "txt"})
+
+
+def summary_statistics(spark, d):
+    """The numeric part of a summary's statistics."""
+    return rounded(_summary(spark, d).static_profiling()["profile_num"], 4, "mean", "std", "kurtosis", "skewness")
+
+
+def summary_reloaded(spark, d):
+    """Value counts of a summary that was saved and loaded again."""
+    s = _summary(spark, d)
+    s.tables = {"value_counts": s.static_profiling()["value_counts"]}
+    path = fresh_path(spark, "summary")
+    s.save(path)
+    return load_summary(s.ds, path).tables["value_counts"].where(F.col("column") != "label")
+
+
+def splits_reloaded(spark, d):
+    """Splits saved as one partitioned table and loaded again by name."""
+    r = records(spark, d).select("row_id", "dataset", "crop", "moisture")
+    path = fresh_path(spark, "splits")
+    io.save_splits({s: r.where(F.col("dataset") == s).drop("dataset") for s in ("train", "val", "test")}, path)
+    held = io.load_splits(spark, path)
+    return held["train"].select("row_id", F.lit("train").alias("dataset"), "crop", "moisture").unionByName(held["test"].select("row_id", F.lit("test").alias("dataset"), "crop", "moisture"))
+
+
+def csv_files(spark, d):
+    """Files by suffix as one frame, types inferred; notes with line breaks, commas and quotes stay whole."""
+    r = records(spark, d).where("note is not null and note <> ''").select("row_id", "battery_v", F.concat("note", F.lit(' said "so",\nthen')).alias("note"))
+    path = fresh_path(spark, "files")
+    r.where("battery_v is not null and not isnan(battery_v)").write.option("header", True).options(escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/a.csv")
+    return io.load_files(spark, [f"{path}/a.csv", f"{path}/other.docx"])
+
+
 # --- splitting and preparation -------------------------------------------------------------------------------------
 def split_80_20_stratified(spark, d):
     r = records(spark, d).select("row_id", "label")
@@ -498,7 +537,7 @@ QUERIES = {f.__name__: f for f in (
     value_counts, txt_profile, top_words, text_columns, zero_columns, histogram, quantile_bins, shape_flags, imbalance, mean_drift, js_divergence, js_divergence_splits,
     balance_report, quick_balance, pearson, pearson_part, correlation_ratio, cramers_v, association, correlated_groups, top_correlations, impute_simple, was_imputed, standardise,
     label_encode, text_vectors, near_dup_exact, knn_edges, knn_edges_cosine, outliers, near_duplicates, dedup_removal, duplicate_counts, duplicate_sets, cleaned_rows,
-    outliers_default, near_duplicates_default, detect_and_repair, issue_counts, confident_learning, residual_issues, label_issues_cv, split_80_20_stratified, split_hashed, fold_sizes, prepared_rows, row_index, union_splits, numeric_coercion, usable_targets,
+    outliers_default, near_duplicates_default, detect_and_repair, issue_counts, confident_learning, residual_issues, label_issues_cv, summary_statistics, summary_reloaded, splits_reloaded, csv_files, split_80_20_stratified, split_hashed, fold_sizes, prepared_rows, row_index, union_splits, numeric_coercion, usable_targets,
     clean_texts, confusion_by_group, metrics_by_group, metric_gaps, fairness_gaps, intersectional, multiclass_by_group, regression_metrics, absolute_errors, overall_metrics, compared_runs, log_loss, top_slices,
     supervised_bins, model_assessment, feature_importance, feature_synthesis, best_feature, semantic_types, windowed_events,
 )}

@@ -239,6 +239,10 @@ SELECT row_id, coalesce(b, mb) AS battery_v, coalesce(m, mm) AS moisture, coales
     "detect_and_repair": f"""WITH e AS ({_KNN_ALL}), m AS (SELECT src_id AS row_id, avg(dist) AS d FROM e GROUP BY 1) SELECT vec_id AS row_id FROM embeddings WHERE vec_id NOT IN (SELECT row_id FROM m WHERE d > (SELECT median(d) FROM m) / 0.37)
 AND vec_id NOT IN (SELECT greatest(src_id, dst_id) FROM e WHERE dist <= 0.13 * (SELECT median(dist) FROM e WHERE rank = 1))""",
     "best_feature": "SELECT p_partkey, 'p_retailprice*p_size' AS feature, round(CAST(p_retailprice AS double) * p_size, 4) AS value FROM part",
+    "summary_statistics": num_profile(R, "dataset", NUM, 4),
+    "summary_reloaded": f'SELECT dataset, "column", value, count(*) AS "count" FROM ({long_cat(R, "dataset", CAT)}) GROUP BY 1, 2, 3',
+    "splits_reloaded": f"SELECT row_id, dataset, crop, moisture FROM {R} WHERE dataset IN ('train', 'test')",
+    "csv_files": f"SELECT CAST(row_id AS int) AS row_id, battery_v, note || ' said \"so\",' || chr(10) || 'then' AS note FROM {R} WHERE note <> '' AND NOT isnan(battery_v)",
     "quick_balance": f'SELECT "check", count(DISTINCT "column") AS columns FROM ({_REPORT}) WHERE flagged GROUP BY 1',
     "fold_sizes": f"WITH c AS (SELECT label, count(*) AS n FROM {R} GROUP BY 1) SELECT label, CAST(f AS int) AS fold, CAST((n + 4 - f) // 5 AS bigint) AS n FROM c, range(5) t(f) WHERE (n + 4 - f) // 5 > 0",
     "prepared_rows": f"SELECT row_id, CASE dataset WHEN 'val' THEN 'train' ELSE dataset END AS dataset, label, crop, moisture FROM {R} WHERE label IS NOT NULL",

@@ -38,12 +38,18 @@ def cut(df: DataFrame) -> DataFrame:
 _made: list[str] = []
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path of the shared folder that nothing has yet."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a compressed columnar table of the shared folder and read it back. Smaller on disk than
     ``cut`` for wide rows, and column pruning still applies to later reads. The table stays until ``discard``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

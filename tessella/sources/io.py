@@ -44,9 +44,15 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """utf-8 if the head of the file decodes as such, utf-16 by its mark, else iso-8859-1."""
+    """utf-8 if the head of the file decodes as such, utf-16 by its mark, else iso-8859-1. Of a folder its first file
+    counts."""
     jvm = spark._jvm
     at, fs = _path(spark, path)
+    if fs.getFileStatus(at).isDirectory():
+        inside = sorted((f.getPath() for f in fs.listStatus(at) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda p: p.getName())
+        if not inside:
+            return "utf-8"
+        at = inside[0]
     stream = fs.open(at)
     try:
         head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFFED)))

@@ -54,3 +54,21 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     plain = lambda d: sorted((r.window_start, r.group, r.n, r.null_count, round(r.mean, 9), round(r.std, 9), r.min, r.max) for r in d.collect())
     assert plain(spark.table("prof")) == plain(incremental.windowed_profile(df, "ts", "kind", "v"))
+
+
+def test_folder_source_and_split_reading(spark, tmp_path):
+    """A fetched dataset by its manifest, by the names of its files, or as train; lines without breaks in splits."""
+    one, two = tmp_path / "hub" / "one", tmp_path / "hub" / "two"
+    for folder in (one, two):
+        folder.mkdir(parents=True)
+        (folder / "train_0.csv").write_text("row_id,x,label\n1,2.5,a\n2,3.5,b\n")
+        (folder / "test_0.csv").write_text("row_id,x,label\n3,4.5,a\n")
+    (one / "splits.json").write_text('{"train": ["train_0.csv", "test_0.csv"]}')
+    io.register_source("hub", io.folder_source(str(tmp_path / "hub")))
+    ds = io.load_dataset(spark, "hub://one", "label", key="row_id")
+    assert {r.dataset for r in ds.df.collect()} == {"train"} and ds.df.count() == 3
+    ds = io.load_dataset(spark, "hub://two", "label", key="row_id")
+    assert {(r.row_id, r.dataset) for r in ds.df.collect()} == {(1, "train"), (2, "train"), (3, "test")}
+    df = io.load_file(spark, str(one / "train_0.csv"), multiline=False, schema="row_id bigint, x double, label string")
+    assert [r.x for r in df.collect()] == [2.5, 3.5]
+    assert io.load_file(spark, str(one).replace("one", "two") + "/train_0.csv").count() == 2
