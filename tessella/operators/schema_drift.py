@@ -70,18 +70,20 @@ def _place(df: DataFrame, fields: Column, schema: TargetSchema, keep: list[str],
             used.append((held, value.isNotNull() & F.coalesce(*options).isNull() if options else value.isNotNull()))
             options.append(value)
         cells.append(F.coalesce(*options).alias(name))
-    typed = df.select("*", F.struct(*cells).alias("_typed"), F.array(*[F.when(fills, F.lit(h)) for h, fills in used]).alias("_placed"))
-    unplaced = lambda k: ~F.coalesce(F.array_contains("_placed", k), F.lit(False))
+    placed = F.array_compact(F.array(*[F.when(fills, F.lit(h)) for h, fills in used]))
+    # a generator again: within the filter below the casts would be made anew for every field
+    typed = df.select("*", F.explode(F.array(F.struct(F.struct(*cells).alias("typed"), placed.alias("placed")))).alias("_t"))
+    unplaced = lambda k: ~F.array_contains("_t.placed", k)
     if as_map:
         rest = F.map_filter("_fields", lambda k, v: unplaced(k))
-        return typed.withColumn("_rescued", rest).select(*[F.col(f"`{c}`") for c in keep], "_typed.*", "_rescued")
+        return typed.withColumn("_rescued", rest).select(*[F.col(f"`{c}`") for c in keep], "_t.typed.*", "_rescued")
     left = F.map_filter("_fields", lambda k, v: unplaced(k) & (v != "null"))
     rescued = F.concat(
         F.lit("{"),
         F.array_join(F.transform(F.array_sort(F.map_entries(left)), lambda e: F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"), e["value"])), ","),
         F.lit("}"),
     )
-    return typed.withColumn("_rescued", F.when(F.size(left) > 0, rescued)).select(*[F.col(f"`{c}`") for c in keep], "_typed.*", "_rescued")
+    return typed.withColumn("_rescued", F.when(F.size(left) > 0, rescued)).select(*[F.col(f"`{c}`") for c in keep], "_t.typed.*", "_rescued")
 
 
 def rescue(records: DataFrame, body: str, schema: TargetSchema, keep: list[str], as_map: bool = True) -> DataFrame:
