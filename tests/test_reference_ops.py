@@ -397,3 +397,13 @@ def test_written_tables_can_be_discarded(spark):
     session.discard(spark)
     t = session.written(spark.range(5).toDF("x"), "trial")
     assert t.count() == 5 and session.discard(spark) == 1 and session.discard(spark) == 0
+
+
+@pytest.mark.parametrize("n", [499, 500, 501, 9_999, 10_000])
+def test_quantiles_at_the_sizes_where_the_bounds_change(spark, n):
+    rng = random.Random(n)
+    values = [float(rng.randint(0, 3 * n)) for _ in range(n)]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, x double")
+    got = {r.prob: r.value for r in profile.nearest_quantiles(df, ["x"], "g").collect()}
+    values.sort()
+    assert got == {p: values[math.floor((n - 1) * p + 0.5)] for p in got} and len(got) > 2
