@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import written
+from tessella.operators.skew import salted_join
+from tessella.session import cut, written
 
 SAMPLE = 20_000  # vectors the codebooks are fitted on, at most
 CELL = 8_192  # entries from which a cell is cut into tiles
@@ -37,6 +38,14 @@ def usable(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("bigint").alias("id"), v.alias("vec")).where(ok & F.col("id").isNotNull()).dropDuplicates(["id"])
 
 
+def equal_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, class_id, n): the class of exactly equal vectors each belongs to, named by its smallest id, and its size.
+    A class may hold much of the data, so it is joined in parts."""
+    rows = vectors.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2"))
+    classes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")))
+    return salted_join(rows, classes, ["h1", "h2"], "n", "id").select("id", "class_id", "n")
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
@@ -267,8 +276,8 @@ def similar_pairs(vectors: DataFrame, dim: int, *, k: int = 5, least: float = 0.
     so copies scaled by a factor count as equal.
 
     Of exactly equal vectors the ``k + 1`` of smallest id stay: all of them prefer the same ``k``, and so does any other
-    vector, so the others are in nobody's list but their own; a list of their own is not given. No partner of the
-    mutual relation is lost by this.
+    vector, so the others are in nobody's list but their own, and that list is known without a search: the ``k``
+    smallest ids of their class, which ``equal_vectors`` gives. No partner of the mutual relation is lost by this.
     """
     spark = vectors.sparkSession
     schema = "a bigint, b bigint, cos double"

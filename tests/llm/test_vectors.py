@@ -136,3 +136,17 @@ def test_binary_round_trip():
     rows = np.arange(12, dtype="<f4").reshape(3, 4)
     column = pa.chunked_array([v._binary(rows[:2]), pa.nulls(2, pa.binary()), v._binary(rows[2:]), v._binary(rows[:0])])
     assert (v._rows(column, 4, "<f4") == rows).all() and v._rows(column.slice(1, 4), 4, "<f4").tolist() == rows[1:].tolist()
+
+
+def test_classes_of_equal_vectors(spark, monkeypatch):
+    from tessella.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    x = np.vstack([data(20), np.ones((40, 16), np.float32), data(20)[:3]])
+    df = v.usable(frame(spark, x, list(range(len(x)))), "vec_id", "vec", 16)
+    got = {r.id: (r.class_id, r.n) for r in v.equal_vectors(df).collect()}
+    want = {i: (i, 2 if i < 3 else 1) for i in range(20)} | {i: (20, 40) for i in range(20, 60)} | {60 + i: (i, 2) for i in range(3)}
+    assert got == want and v.equal_vectors(df.limit(0)).count() == 0
+    # such a vector's list is the smallest ids of its class
+    out = v.top_k(df.where("id = 59"), df, 16, exact=True).collect()
+    assert [r.id for r in sorted(out, key=lambda r: r.rank)] == [20, 21, 22, 23, 24]
