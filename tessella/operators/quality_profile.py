@@ -5,8 +5,10 @@ Checks are declared as data (``ColumnRule``); they are compiled into ONE shared
 1. records are made unique by key (one narrow shuffle: key, load and the profiled columns only);
 2. the columns are unpivoted and counted by (load, column, value), pre-aggregated map-side, so a load or value that
    holds a third of all rows spreads over tasks;
-3. the value counts fold into one *state* per (load, column): counts, shifted sums, range, violation counts and a
+3. the value counts fold into one *state* per (load, column): counts, exact sums, range, violation counts and a
    distinct-count sketch. States merge (``merge_states``), so partitions of a load can be profiled apart and added.
+   Sums are kept as integers per band of magnitude, so mean and deviation are those of the exact sums in any order,
+   whatever the offset of the values is.
 
 Null and NaN both count as null. Infinite values are values, and lie outside any range.
 """
@@ -14,6 +16,8 @@ Null and NaN both count as null. Infinite values are values, and lie outside any
 from __future__ import annotations
 
 from dataclasses import dataclass
+from fractions import Fraction
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +32,12 @@ class ColumnRule:
     value_pattern: str | None = None
     value_list: tuple[str, ...] | None = None
 
-    @property
-    def shift(self) -> float:
-        """Fixed offset of the sums, so that squares don't cancel; the same in all partitions, so states add."""
-        known = [x for x in (self.min_value, self.max_value) if x is not None]
-        return sum(known) / len(known) if known else 0.0
+
+#: A number of band b is a whole multiple of 2 ** (BAND * b - 53), and that multiple (its limb) has 61 bits at most.
+BAND = 8
+#: What adds over disjoint sets of rows.
+ADDS = ("row_count", "null_count", "number_count", "infinite", "out_of_range", "pattern_misses", "list_misses")
+SUMS = ("limbs", "high2", "cross", "low2")
 
 
 def rules_from(df: DataFrame) -> list[ColumnRule]:
@@ -90,7 +95,6 @@ def states(counts: DataFrame, rules: list[ColumnRule]) -> DataFrame:
     """One mergeable state per (load_id, column_name)."""
     x, n = F.col("number"), F.col("n")
     real = F.coalesce(F.col("text").isNotNull() | x.isNotNull(), F.lit(False))
-    shifted = x - _chosen(rules, lambda r: F.lit(r.shift) if r.dformat == "num" else None).cast("double")
     low = _chosen(rules, lambda r: F.lit(float(r.min_value)) if r.min_value is not None else None).cast("double")
     high = _chosen(rules, lambda r: F.lit(float(r.max_value)) if r.max_value is not None else None).cast("double")
     fits = _chosen(
@@ -101,44 +105,94 @@ def states(counts: DataFrame, rules: list[ColumnRule]) -> DataFrame:
         lambda r: F.lower(F.trim("text")).isin([v.strip().lower() for v in r.value_list]) if r.value_list else None,
     ).cast("boolean")
     total = lambda cond: F.sum(F.when(cond, n).otherwise(0))
-    return counts.groupBy("load_id", "column_name").agg(
-        F.sum(n).alias("row_count"),
-        total(~real).alias("null_count"),
-        F.count(F.when(real, 1)).alias("n_unique"),
-        F.hll_sketch_agg(F.when(real, F.coalesce("text", x.cast("string")))).alias("sketch"),
-        F.sum(F.when(x.isNotNull(), n)).alias("number_count"),
-        F.sum(shifted * n).alias("sum1"),
-        F.sum(shifted * shifted * n).alias("sum2"),
-        F.min(x).alias("min_value"),
-        F.max(x).alias("max_value"),
-        total((x < low) | (x > high)).alias("out_of_range"),
-        total(~fits).alias("pattern_misses"),
-        total(~listed).alias("list_misses"),
+    finite = F.abs(x) < float("inf")
+    band = F.when(finite, F.when(x == 0, 0).otherwise(F.floor(F.log2(F.abs(x)) / BAND))).cast("int")
+    half = F.pow(F.lit(2.0), F.col("band") * (-BAND // 2))  # twice, as the whole power may not be a double
+    limb, high_part = F.col("limb"), F.shiftright("limb", 31)
+    low_part = limb - high_part * 2**31
+    times = lambda v: F.sum(v.cast("decimal(19,0)") * n.cast("decimal(19,0)"))
+    banded = counts.withColumn("band", band).withColumn("limb", F.when(finite, x * half * half * 2.0**53).cast("bigint"))
+    return _folded(
+        banded.groupBy("load_id", "column_name", "band").agg(
+            F.sum(n).alias("row_count"),
+            total(~real).alias("null_count"),
+            F.count(F.when(real, 1)).alias("n_unique"),  # a value is in one band
+            F.hll_sketch_agg(F.when(real, F.coalesce("text", x.cast("string")))).alias("sketch"),
+            F.sum(F.when(x.isNotNull(), n)).alias("number_count"),
+            F.sum(F.when(~finite, x)).alias("infinite"),
+            times(limb).alias("limbs"),
+            times(high_part * high_part).alias("high2"),
+            times(high_part * low_part).alias("cross"),
+            times(low_part * low_part).alias("low2"),
+            F.min(x).alias("min_value"),
+            F.max(x).alias("max_value"),
+            total((x < low) | (x > high)).alias("out_of_range"),
+            total(~fits).alias("pattern_misses"),
+            total(~listed).alias("list_misses"),
+        ),
+        ["load_id", "column_name"],
+        F.sum("n_unique").alias("n_unique"),
+    )
+
+
+def _folded(bands: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Bands put together; ``moments`` lists the sums of each."""
+    sums = F.when(F.col("band").isNotNull(), F.struct("band", *SUMS))
+    return bands.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ADDS],
+        F.min("min_value").alias("min_value"),
+        F.max("max_value").alias("max_value"),
+        F.hll_union_agg("sketch").alias("sketch"),
+        F.collect_list(sums).alias("moments"),
+        *more,
     )
 
 
 def merge_states(parts: DataFrame, by: list[str]) -> DataFrame:
     """Add states of partitions or of many loads. ``n_unique`` becomes the sketch's estimate, as exact distinct
     counts don't add; everything else stays exact."""
-    adds = ("row_count", "null_count", "number_count", "sum1", "sum2", "out_of_range", "pattern_misses", "list_misses")
-    return parts.groupBy(*by).agg(
-        *[F.sum(c).alias(c) for c in adds],
+    bands = parts.select("*", F.posexplode_outer("moments").alias("place", "moment"))
+    once = F.coalesce("place", F.lit(0)) == 0
+    merged = bands.groupBy(*by, F.col("moment.band").alias("band")).agg(
+        *[F.sum(F.when(once, F.col(c))).alias(c) for c in ADDS],
+        *[F.sum(f"moment.{c}").cast("decimal(38,0)").alias(c) for c in SUMS],
         F.min("min_value").alias("min_value"),
         F.max("max_value").alias("max_value"),
         F.hll_union_agg("sketch").alias("sketch"),
-    ).withColumn("n_unique", F.hll_sketch_estimate("sketch"))
+    )
+    return _folded(merged, by).withColumn("n_unique", F.hll_sketch_estimate("sketch"))
+
+
+def mean_and_deviation(n: int | None, infinite: float | None, moments) -> tuple[float | None, float | None]:
+    """Mean and sample standard deviation of the exact sums of a state, each rounded once. An infinite value makes the
+    mean infinite, or NaN beside one of the other sign, and the deviation NaN."""
+    if not n:
+        return None, None
+    if infinite is not None:
+        return infinite, float("nan") if n > 1 else None
+    one = two = Fraction(0)
+    for band, limbs, high2, cross, low2 in moments:
+        unit = Fraction(2) ** (BAND * band - 53)
+        one += int(limbs) * unit
+        two += ((int(high2) << 62) + (int(cross) << 32) + int(low2)) * unit * unit
+    mean = float(one / n)
+    if n == 1:
+        return mean, None
+    var = (two - one * one / n) / (n - 1)
+    shift = max(0, 66 - (var.numerator.bit_length() - var.denominator.bit_length()) // 2)  # for a root of 64 bits or more
+    root = isqrt((var.numerator << 2 * shift) // var.denominator)
+    return mean, float(Fraction(root, 1 << shift))
 
 
 def metrics(state: DataFrame, rules: list[ColumnRule]) -> DataFrame:
     """Readable figures of a state: rates, mean and sample standard deviation."""
-    n = F.col("number_count")
-    shift = _chosen(rules, lambda r: F.lit(r.shift) if r.dformat == "num" else None).cast("double")
-    m2 = F.greatest(F.col("sum2") - F.col("sum1") * F.col("sum1") / n, F.lit(0.0))
+    figures = F.udf(lambda *state: mean_and_deviation(*state), "mean double, std double")
     return (
         state.withColumn("null_rate", F.col("null_count") / F.col("row_count"))
-        .withColumn("mean", F.when(n > 0, F.col("sum1") / n + shift))
-        .withColumn("std", F.when(n > 1, F.sqrt(m2 / (n - 1))))
-        .drop("sum1", "sum2", "number_count", "sketch")
+        .withColumn("_figures", figures("number_count", "infinite", "moments"))
+        .withColumn("mean", F.col("_figures.mean"))
+        .withColumn("std", F.col("_figures.std"))
+        .drop("_figures", "number_count", "infinite", "moments", "sketch")
     )
 
 

@@ -1,4 +1,6 @@
 import math
+import statistics
+from fractions import Fraction
 
 import pytest
 
@@ -48,3 +50,27 @@ def test_control_limits(spark):
     rows = [("s", "x", "mean", i, 10.0 + (i % 2)) for i in range(8)] + [("s", "x", "mean", 8, 30.0)]
     out = qp.control_limits(spark.createDataFrame(rows, "series string, column_name string, metric string, at int, value double"), "series", ["at"]).collect()
     assert [r.at for r in out if r.anomalous] == [8] and all(r.anomalous is None for r in out if r.at < 5)
+
+
+def test_mean_and_deviation_are_of_exact_sums(spark):
+    """Means that end in a 5 of the seventh decimal, equal values far from any range, far and tiny ones, infinite ones."""
+    rules = [qp.ColumnRule("x", "num", 0.0, 20000.0), qp.ColumnRule("y", "num")]
+    cents = [0.1 * i + 277.0 for i in range(319)]
+    cents.append(round(320 * 292.2690625 - sum(cents), 4))
+    wide = [1e20, 1e20, -1e20, 3.0, 5e-324, 1e300, -1e300, 0.0]
+    y = {1: [45000.1] * 320, 2: wide, 3: [1e9, 1e9 + 1, 1e9 + 2], 4: [math.inf, 1.0], 5: [math.inf, -math.inf], 6: [7.5]}
+    x = {1: cents}
+    rows = [(1000 * k + i, k, x.get(k, [None] * 999)[i], v) for k, vs in y.items() for i, v in enumerate(vs)]
+    counts = qp.value_counts(spark.createDataFrame(rows, "id long, load long, x double, y double"), rules, "load", "id")
+    state = qp.states(counts, rules)
+    m = {(r.load_id, r.column_name): (r.mean, r.std) for r in qp.metrics(state, rules).collect()}
+    exact = sum(map(Fraction, cents))
+    assert m[1, "x"][0] == float(exact / 320) and math.isclose(m[1, "x"][1], statistics.stdev(cents), rel_tol=1e-14)
+    assert m[1, "y"] == (45000.1, 0.0) and m[3, "y"] == (1e9 + 1, 1.0) and m[6, "y"] == (7.5, None)
+    assert m[2, "y"][0] == float(sum(map(Fraction, wide)) / 8) and math.isclose(m[2, "y"][1], 1e300 * math.sqrt(2 / 7), rel_tol=1e-14)
+    assert m[4, "y"][0] == math.inf and math.isnan(m[4, "y"][1]) and math.isnan(m[5, "y"][0]) and m[2, "x"] == (None, None)
+    some = state.where("load_id in (1, 3, 6)")
+    merged = {r.column_name: r for r in qp.metrics(qp.merge_states(some, ["column_name"]), rules).collect()}
+    want = y[1] + y[3] + y[6]
+    assert merged["y"].mean == float(sum(map(Fraction, want)) / len(want)) and math.isclose(merged["y"].std, statistics.stdev(map(Fraction, want)), rel_tol=1e-14)
+    assert merged["x"].row_count == merged["y"].row_count == 324 and merged["x"].null_count == 4 and merged["x"].mean == m[1, "x"][0]
