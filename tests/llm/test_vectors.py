@@ -150,3 +150,40 @@ def test_classes_of_equal_vectors(spark, monkeypatch):
     # such a vector's list is the smallest ids of its class
     out = v.top_k(df.where("id = 59"), df, 16, exact=True).collect()
     assert [r.id for r in sorted(out, key=lambda r: r.rank)] == [20, 21, 22, 23, 24]
+
+
+def test_bound_rules_out_nearly_all_pairs_but_no_similar_one():
+    """Pairs of a cell that tables and exact vectors must look at are few, however many vectors it holds."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(4000, 64)) * np.linspace(1, 2, 64)
+    x[1::2] = x[::2] + rng.normal(size=(2000, 64)) * np.linspace(0.1, 0.9, 2000)[:, None]
+    x = v.unit(x)
+    aq = v.AdditiveQuantiser.fit(x, 16, 6, 64, 2)
+    at = v.nearest(x, aq.books[0], 1)[:, 0]
+    x = x[at == np.bincount(at).argmax()]
+    cos, most = x @ x.T, (rows := v.bounding(x, aq.axes())) @ rows.T
+    assert (most >= cos - 1e-5).all() and rows.shape[1] == 33
+    similar = cos >= 0.9
+    assert similar.sum() > len(x) and (most >= 0.9 - 1e-4)[similar].all()
+    left = ((most >= 0.9 - 1e-4) & ~similar).mean()
+    assert left < 0.01 and aq.coded(aq.encode(x)).shape == x.shape
+
+
+def test_parts_of_a_large_cell_meet_once(spark, monkeypatch):
+    """Members of a dense cell in many parts have the neighbours that they have in one part, on both sides of a pair."""
+    x = (np.ones(16) + np.random.default_rng(16).normal(size=(300, 16)) * 0.1).astype(np.float32)
+    df = v.usable(frame(spark, x, list(range(300))), "vec_id", "vec", 16)
+    near = brute(x, list(range(300)), 5, 0.9)
+    for cell in (10_000, 20):
+        monkeypatch.setattr(v, "CELL", cell)
+        monkeypatch.setattr(v, "TILE", cell)
+        edges = v.similar_pairs(df, 16).collect()
+        assert {(r.a, r.b) for r in edges} == {(a, b) for a in near for b in near[a]} and len(edges) == 1500
+
+
+def test_usable_vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    kept = [[1.0, 0.0], [0.0, -2.0], [-1.0, -0.0]]
+    odd = [[0.0, -0.0], [1.0, None], [None, None], [None, nan], [nan, 1.0], [inf, 1.0], [1.0, -inf], [1.0], [1.0, 2.0, 3.0], [], None]
+    df = spark.createDataFrame(list(enumerate(kept + odd)), "vec_id long, vec array<double>")
+    assert sorted(r.id for r in v.usable(df, "vec_id", "vec", 2).collect()) == [0, 1, 2]
